@@ -6,18 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelloom.llm import exact_dedup
+from pixelloom.llm import bpe, exact_dedup, packing, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op3_packing": packing.op3_packing,
+        "op4_byte_bpe": bpe.op4_byte_bpe,
+        "op6_url_filter": url_filter.op6_url_filter,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_url_filter": url_filter.OP6_SQL,
         "op9_exact_dedup": exact_dedup.OP9_SQL,
     }
