@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelloom.llm import bpe, exact_dedup, packing, url_filter
+from pixelloom.llm import ann, bpe, exact_dedup, near_dedup, packing, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,12 +16,15 @@ def queries() -> dict[str, Query]:
         "op3_packing": packing.op3_packing,
         "op4_byte_bpe": bpe.op4_byte_bpe,
         "op6_url_filter": url_filter.op6_url_filter,
+        "op8_near_dedup": near_dedup.op8_near_dedup,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+        "op10_ann": ann.op10_ann,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_url_filter": url_filter.OP6_SQL,
+        "op8_near_dedup": near_dedup.OP8_SQL,
         "op9_exact_dedup": exact_dedup.OP9_SQL,
     }
