@@ -5,12 +5,13 @@ is the smallest distance, and are rotated at random.  An inverted file over k-me
 centroids (fitted on at most ``SAMPLE`` vectors, every vector indexed) deals them into
 lists; a query scans the ``PROBES`` share of the lists that is nearest to it.  A scan takes the rotated columns in
 blocks of ``COLUMNS``; after each block a hypothesis test on the partial distance abandons
-the candidates whose whole distance cannot be expected to beat the list's best so far.
+the candidates whose whole distance cannot be expected to beat the best known so far.
 Survivors are scored exactly, in double precision on the original vectors.
 
 Equal vectors are folded before the shuffle: of a vector's copies only the ``k + 1``
 smallest ids can be anyone's neighbours, ties going to the smaller id.  Equal queries are
-searched once.  Lists longer than ``BLOCK`` are split over several tasks.
+searched once.  A task scans about ``BLOCK`` vectors for ``QUERIES`` queries;
+longer lists are split.
 
 Results for odd input: vectors that are null, empty, zero, or hold null or non-finite
 components take no part, nor do those without a vec_id or of another than the most
@@ -35,7 +36,8 @@ SAMPLE = 16_384  # vectors the centroids are fitted on, at most
 LIST = 400  # vectors in a list, on average, up to MOST_LISTS
 MOST_LISTS = 2_048
 PROBES = 0.75  # share of the lists that a query scans: vectors without clusters need as many
-BLOCK = 8_192
+BLOCK = 16_384  # vectors that a task scans
+QUERIES = 1_024  # queries that a task scans for
 COLUMNS = 16
 EPSILON = 2.1
 
@@ -77,22 +79,51 @@ def lifted(x: np.ndarray, top: float) -> np.ndarray:
     return np.hstack([x, np.sqrt(np.maximum(top - (x * x).sum(1), 0))[:, None]])
 
 
-def scan(xr: np.ndarray, qr: np.ndarray, k: int, columns: int = COLUMNS, epsilon: float = EPSILON) -> np.ndarray:
-    """Rows of one list that the tests did not abandon; ``qr`` has a last coordinate of 0 before rotation."""
-    n, d = xr.shape
-    seed = ((xr[: 4 * k] - qr) ** 2).sum(1)
-    if n <= 4 * k:
-        return np.arange(n)
-    radius = np.partition(seed, k - 1)[k - 1]
-    alive, partial = np.arange(4 * k, n), np.zeros(n - 4 * k)
-    for a in range(0, d, columns):
-        b = min(d, a + columns)
-        rest = xr[alive, a:b] - qr[a:b]
-        partial = partial + np.einsum("ij,ij->i", rest, rest)
-        bound = radius * (1 + 1e-9) if b == d else radius * b / d * (1 + epsilon / np.sqrt(b)) ** 2
-        good = partial <= bound
-        alive, partial = alive[good], partial[good]
-    return np.concatenate([np.flatnonzero(seed <= radius * (1 + 1e-9)), alive])
+class Cell:
+    """Vectors of some lists, rotated and cut into blocks of columns."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, lists: np.ndarray, turn: np.ndarray, top: float, columns: int = COLUMNS):
+        order = np.argsort(lists, kind="stable")
+        self.ids, self.x, self.lists = ids[order], x[order], lists[order]
+        xr = (lifted(self.x, top) @ turn).astype(np.float32)
+        self.turn, self.d = turn, xr.shape[1]
+        self.cuts = [(a, min(self.d, a + columns)) for a in range(0, self.d, columns)]
+        self.blocks = [np.ascontiguousarray(xr[:, a:b]) for a, b in self.cuts]
+        self.squares = (self.blocks[0] ** 2).sum(1)
+
+    def near(self, q: np.ndarray, probes: list[np.ndarray], k: int, epsilon: float = EPSILON) -> Iterator[np.ndarray]:
+        """For each query the rows of its probed lists that no test abandoned; ``probes`` are nearest first."""
+        qr = (np.hstack([q, np.zeros((len(q), 1))]) @ self.turn).astype(np.float32)
+        for lo in range(0, len(q), 64):
+            first = qr[lo : lo + 64, : self.cuts[0][1]]
+            partial = self.squares[:, None] + (first**2).sum(1) - 2 * self.blocks[0] @ first.T
+            for i in range(partial.shape[1]):
+                yield self._scan(qr[lo + i], partial[:, i], probes[lo + i], k, epsilon)
+
+    def _whole(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return sum(((x[rows] - q[a:b]) ** 2).sum(1) for x, (a, b) in zip(self.blocks, self.cuts, strict=True))
+
+    def _scan(self, q: np.ndarray, partial: np.ndarray, probes: np.ndarray, k: int, epsilon: float) -> np.ndarray:
+        lows = np.searchsorted(self.lists, probes, "left")
+        highs = np.searchsorted(self.lists, probes, "right")
+        rows = np.concatenate([np.arange(a, b) for a, b in zip(lows, highs, strict=True)])
+        if len(rows) <= 4 * k:
+            return rows
+        # the exact distances of those that look nearest so far bound what can still win
+        p = partial[rows]
+        probe = rows[np.argpartition(p, 3 * k)[: 3 * k]]
+        radius = np.partition(self._whole(probe, q), k - 1)[k - 1]
+        for (a, b), x in zip(self.cuts, self.blocks, strict=True):
+            if a:
+                p = p + ((x[rows] - q[a:b]) ** 2).sum(1)
+            slack = 1e-5 * (1 + radius)
+            bound = radius + slack if b == self.d else radius * b / self.d * (1 + epsilon / np.sqrt(b)) ** 2 + slack
+            good = p <= bound
+            rows, p = rows[good], p[good]
+            if 4 * k < len(rows) and b < self.d:
+                probe = rows[np.argpartition(p, 2 * k)[: 2 * k]]
+                radius = min(radius, np.partition(self._whole(probe, q), k - 1)[k - 1])
+        return rows
 
 
 def usable(vector: Column) -> Column:
@@ -157,56 +188,69 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: float = P
     sizes = np.zeros(len(sent.value[0]), np.int64)
     for row in indexed.groupBy("list").count().collect():  # MOST_LISTS rows at most
         sizes[row["list"]] = row["count"]
+    # lists go to cells of about BLOCK vectors; a longer list gets cells of its own
     blocks = np.maximum(1, -(-sizes // BLOCK))
+    cell_of, cells, filled = np.zeros(len(sizes), np.int64), 0, 0
+    for c, size in enumerate(sizes):
+        if blocks[c] > 1 or filled + size > BLOCK:
+            cells, filled = cells + 1, 0
+        cell_of[c] = cells
+        filled += size
+        if blocks[c] > 1:
+            cells, filled = cells + int(blocks[c]), 0
 
     kinds = q.groupBy("embedding").agg(F.min("vec_id").alias("kind"))
-    probe = spark.sparkContext.broadcast((sizes, blocks))
+    probe = spark.sparkContext.broadcast((sizes, blocks, cell_of))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centroids, turn = sent.value
-        sizes, blocks = probe.value
+        sizes, blocks, cell_of = probe.value
         for batch in batches:
-            if not len(batch):
-                continue
-            m = _matrix(batch.column(1), d)
-            near = nearest(np.hstack([m, np.zeros((len(m), 1))]) @ turn, centroids, len(centroids))
-            row, cell = [], []
-            for i, order in enumerate(near):
-                enough = int(np.searchsorted(np.cumsum(sizes[order]), 4 * k)) + 1
-                for c in order[: max(int(np.ceil(probes * len(order))), enough)]:
-                    for b in range(blocks[c]):
-                        row.append(i)
-                        cell.append(int(c) * (1 << 20) + b)
-            for a in range(0, len(row), 20_000):
-                take = pa.array(row[a : a + 20_000], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(cell[a : a + 20_000], pa.int64()), *(c.take(take) for c in batch.columns)], names=["cell", "kind", "embedding"])
-
-    asked = kinds.select("kind", "embedding").mapInArrow(choose, "cell bigint, kind bigint, embedding array<double>")
-    split = F.array(*(F.lit(int(b)) for b in blocks)) if lists > 1 or blocks[0] > 1 else None
-    part = F.pmod(F.xxhash64("vec_id"), F.element_at(split, F.col("list") + 1).cast("bigint")) if split is not None else F.lit(0)
-    stored = indexed.select((F.col("list").cast("bigint") * (1 << 20) + part).alias("cell"), "vec_id", "embedding")
+            for some in (batch.slice(a, 512) for a in range(0, len(batch), 512)):
+                m = _matrix(some.column(1), d)
+                near = nearest(np.hstack([m, np.zeros((len(m), 1))]) @ turn, centroids, len(centroids))
+                row, cell, lists = [], [], []
+                for i, order in enumerate(near):
+                    enough = int(np.searchsorted(np.cumsum(sizes[order]), 4 * k)) + 1
+                    order = order[: max(int(np.ceil(probes * len(order))), enough)]
+                    where = cell_of[order]
+                    for c in np.unique(where):
+                        mine = order[where == c]
+                        for b in range(blocks[mine[0]]):
+                            row.append(i)
+                            cell.append(int(c) + b)
+                            lists.append(mine)
+                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), *(c.take(pa.array(row, pa.int64())) for c in some.columns), pa.array(lists, pa.list_(pa.int32()))], names=["cell", "kind", "embedding", "lists"])
+
+    asked = kinds.select("kind", "embedding").mapInArrow(choose, "cell bigint, kind bigint, embedding array<double>, lists array<int>")
+    turns = F.array(*(F.lit(int(b)) for b in blocks))
+    bases = F.array(*(F.lit(int(c)) for c in cell_of))
+    at = F.col("list") + 1
+    place = F.element_at(bases, at) + F.pmod(F.xxhash64("vec_id"), F.element_at(turns, at).cast("bigint"))
+    stored = indexed.select(place.cast("bigint").alias("cell"), "list", "vec_id", "embedding")
 
     def look(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [[], [], []]
         if len(left) and len(right):
             ids, m = left.column("vec_id").to_numpy(), _matrix(left.column("embedding"), d)
             keep = _folded(ids, m, k + 1)
-            ids, m = ids[keep], m[keep]
-            turn = sent.value[1]
-            xr = lifted(m, top) @ turn
+            cell = Cell(ids[keep], m[keep], left.column("list").to_numpy()[keep], sent.value[1], top)
             qs = _matrix(right.column("embedding"), d)
-            qr = np.hstack([qs, np.zeros((len(qs), 1))]) @ turn
-            for kind, v, r in zip(right.column("kind").to_pylist(), qs, qr, strict=True):
-                found = scan(xr, r, k + 1)
-                score = (m[found] * v).sum(1)
-                best = np.lexsort((ids[found], -score))[: k + 1]
+            lists = [np.asarray(x) for x in right.column("lists").to_pylist()]
+            for kind, v, found in zip(right.column("kind").to_pylist(), qs, cell.near(qs, lists, k + 1), strict=True):
+                score = (cell.x[found] * v).sum(1)
+                best = np.lexsort((cell.ids[found], -score))[: k + 1]
                 out[0].append(np.full(len(best), kind))
-                out[1].append(ids[found][best])
+                out[1].append(cell.ids[found][best])
                 out[2].append(score[best])
         whole = [np.concatenate(c) if c else np.zeros(0) for c in out]
         return pa.table([pa.array(whole[0].astype(np.int64)), pa.array(whole[1].astype(np.int64)), pa.array(whole[2].astype(np.float64))], names=["kind", "vec_id", "score"])
 
-    hits = stored.groupBy("cell").cogroup(asked.groupBy("cell")).applyInArrow(look, "kind bigint, vec_id bigint, score double")
+    # the queries of a cell are dealt over tasks, each with a copy of the cell
+    waves = max(1, -(-int(kinds.count()) // QUERIES))
+    asked = asked.withColumn("wave", F.pmod(F.xxhash64("kind"), F.lit(waves)))
+    stored = stored.withColumn("wave", F.explode(F.sequence(F.lit(0), F.lit(waves - 1)).cast("array<bigint>")))
+    hits = stored.groupBy("cell", "wave").cogroup(asked.groupBy("cell", "wave")).applyInArrow(look, "kind bigint, vec_id bigint, score double")
     order = [F.desc("score"), F.asc("vec_id")]
     top_of = hits.distinct().withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(*order))).where(F.col("place") <= k + 1).drop("place")
     names = kinds.withColumnRenamed("embedding", "of")
