@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelloom.llm import ann, bpe, exact_dedup, near_dedup, packing, secrets, url_filter
+from pixelloom.llm import ann, bpe, exact_dedup, near_dedup, packing, secrets, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ def queries() -> dict[str, Query]:
         "op2_secret_scan": secrets.op2_secret_scan,
         "op3_packing": packing.op3_packing,
         "op4_byte_bpe": bpe.op4_byte_bpe,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op6_url_filter": url_filter.op6_url_filter,
         "op8_near_dedup": near_dedup.op8_near_dedup,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
