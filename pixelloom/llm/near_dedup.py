@@ -9,14 +9,17 @@ each of the two groups by itself, which loses no key that two sets share.
 
 Equal sets fold into one class first.  Links are confirmed on the full sets:
 
-1. each bucket's members against its smallest member, then connected components;
-2. the buckets that still hold two components, against a leader drawn at random;
-3. what is left, exactly: the sets of those buckets meet in a prefix join over shingles
-   in order of their frequency, in which any two sets that are similar enough share a
-   shingle of their prefixes; only pairs of different components are looked at.
-
-So a large group of copies costs a star and not all its pairs, and a large bucket of sets
-that are not copies is settled by shingles that few of them have.  No bucket is capped.
+1. each set against the one of its buckets' smallest members that it shares most tables
+   with, then connected components;
+2. in buckets that still hold two components, each set against the leader, drawn at
+   random, that it shares most tables with, then components again;
+3. what is left, whole: sets of those buckets that share a group of the first collection
+   and are of different components are compared by sketches of ``SKETCH`` one-byte
+   minhashes, block against block; pairs within ``DEVIATIONS`` standard deviations of the
+   least similarity (odds of 4e-6 to miss one) are confirmed.
+
+So a large group of copies costs a star and not all its pairs, and of a large bucket of
+sets that are not copies only those pairs leave a task that may be.  No bucket is capped.
 
 Results for odd input: a null or empty text, or one without words, has an empty set and
 is linked with nothing, not even with its like; a text with fewer words than a shingle is
@@ -31,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.llm.graph import connected_components
@@ -42,10 +45,14 @@ TABLES = 16  # hash groups in each of the two collections
 WIDTH = 3  # minhashes in a group
 SHINGLE = 5
 PERCENT = 80
+SKETCH = 1_024
+DEVIATIONS = 4.5
+BLOCK = 2_048  # sets of one group that a task holds, twice
 
 _RNG = np.random.default_rng(77)
 _A = _RNG.integers(1, 2**63, 2 * TABLES * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 2**63, 2 * TABLES * WIDTH, dtype=np.uint64)
+_C = _RNG.integers(1, 2**63, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SALT = mix(np.arange(1, 2 * TABLES + 1, dtype=np.uint64))
 
 
@@ -99,6 +106,21 @@ def _full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     return found.mapInArrow(run, "id bigint, n bigint, shingles binary").dropDuplicates(["id"])
 
 
+def sketch_of(shingles: np.ndarray) -> np.ndarray:
+    """One byte of each of SKETCH further minhashes."""
+    low = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(shingles), 256):
+        low = np.minimum(low, (shingles[k : k + 256, None] * _C).min(axis=0))
+    return (mix(low) >> np.uint64(56)).astype(np.uint8)
+
+
+def least_matches(percent: int) -> int:
+    """Sketch bytes that two sets of the least similarity share, less DEVIATIONS."""
+    p = percent / 100
+    p = p + (1 - p) / 256
+    return int(np.floor(SKETCH * p - DEVIATIONS * np.sqrt(SKETCH * p * (1 - p))))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (src, dst) whose sets are similar enough."""
 
@@ -116,9 +138,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left = sets.select(F.col("id").alias("src"), F.col("n").alias("n_src"), F.col("shingles").alias("s"))
     right = sets.select(F.col("id").alias("dst"), F.col("n").alias("n_dst"), F.col("shingles").alias("t"))
     near = (F.col("n_src") * 100 >= F.col("n_dst") * percent) & (F.col("n_dst") * 100 >= F.col("n_src") * percent)
-    sizes = sets.select("id", "n")
-    sized = pairs.join(sizes.select(F.col("id").alias("src"), F.col("n").alias("n_src")), "src").join(sizes.select(F.col("id").alias("dst"), F.col("n").alias("n_dst")), "dst").where(near)
-    both = sized.select("src", "dst").join(left.drop("n_src"), "src").join(right.drop("n_dst"), "dst")
+    both = pairs.select("src", "dst").join(left, "src").join(right, "dst").where(near)
     return both.select("src", "dst", "s", "t").mapInArrow(run, "src bigint, dst bigint")
 
 
@@ -128,31 +148,61 @@ def _labelled(members: DataFrame, parts: DataFrame, key: str = "id") -> DataFram
     return members.join(named, key, "left").withColumn("component", F.coalesce("component", key))
 
 
-def _prefix_pairs(sets: DataFrame, ids: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components among ``ids`` that can be similar enough, none missing."""
-    chosen = _labelled(sets.join(ids, "id", "left_semi"), parts)
+def _closest(met: DataFrame) -> DataFrame:
+    """Of (id, other) rows, one pair for each id: the other that it meets most often."""
+    counts = met.groupBy("id", "other").agg(F.count(F.lit(1)).alias("times"))
+    best = counts.groupBy("id").agg(F.max(F.struct("times", (-F.col("other")).alias("minus"))).alias("best"))
+    other = -F.col("best.minus")
+    return best.select(F.greatest("id", other).alias("src"), F.least("id", other).alias("dst"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _open(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """The members of buckets that hold two components, with a leader for each bucket."""
+    placed = _labelled(members.where("size > 2").select("key", "id"), parts)
+    draw = F.xxhash64("key", "id")
+    spread = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("id", "component"), draw).alias("leader")).where("lo <> hi")
+    return placed.join(spread.select("key", F.col("leader.id").alias("other"), F.col("leader.component").alias("led")), "key")
+
+
+def _sketched_pairs(ids: DataFrame, own: DataFrame, sets: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components among ``ids`` that share a group of the first collection and may be similar enough."""
+    least = least_matches(percent)
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(k, 64) for k in range(0, len(batch), 64)):
-                all_sets = [np.frombuffer(x.as_py(), np.int64) for x in part.column(2)]
-                size = np.array([len(s) for s in all_sets])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(zero_copy_only=False), size), pa.int64()), pa.array(np.repeat(size, size), pa.int64()), pa.array(np.repeat(part.column(1).to_numpy(zero_copy_only=False), size), pa.int64()), pa.array(np.concatenate(all_sets) if all_sets else np.zeros(0, np.int64), pa.int64())], names=["id", "n", "component", "shingle"])
-
-    rows = materialize(chosen.select("id", "component", "shingles").mapInArrow(run, "id bigint, n bigint, component bigint, shingle bigint"), "shingles")
-    mixed = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
-    ranked = rows.join(mixed, "shingle")
-    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "shingle"))  # one document's shingles
-    prefix = ranked.withColumn("place", place).where(F.expr(f"place <= n - cast(ceil(n * {percent} / 100.0) as bigint) + 1"))
-    prefix = materialize(prefix.select("id", "n", "component", "shingle", "place"), "prefixes")
-    open_keys = prefix.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("shingle")
-    side = prefix.join(open_keys, "shingle", "left_semi")
-    x = side.select("shingle", *(F.col(c).alias(f"{c}_x") for c in ("id", "n", "component", "place")))
-    y = side.select("shingle", *(F.col(c).alias(f"{c}_y") for c in ("id", "n", "component", "place")))
-    need = f"ceil({percent} * (n_x + n_y) / {100.0 + percent})"
-    fits = F.expr(f"component_x < component_y and n_x * 100 >= n_y * {percent} and n_y * 100 >= n_x * {percent} and 1 + least(n_x - place_x, n_y - place_y) + least(place_x, place_y) - 1 >= {need}")
-    met = x.join(y, "shingle").where(fits)
-    return met.select(F.greatest("id_x", "id_y").alias("src"), F.least("id_x", "id_y").alias("dst")).distinct()
+            made = [sketch_of(np.frombuffer(x.as_py(), np.uint64)).tobytes() for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["id", "n", "sketch"])
+
+    drawn = sets.join(ids, "id", "left_semi").select("id", "n", "shingles").mapInArrow(sketches, "id bigint, n bigint, sketch binary")
+    rows = _labelled(drawn, parts).join(own.select("id", F.slice("groups", 1, TABLES).alias("a")), "id")
+    rows = materialize(rows.select("id", "component", "n", "a", "sketch"), "sketches")
+    keys = rows.select("id", "component", F.posexplode("a").alias("place", "g"))
+    groups = keys.groupBy("g", "place").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
+    blocks = F.ceil(F.col("size") / BLOCK)
+    mine = keys.join(groups.select("g", "place", blocks.alias("blocks")), ["g", "place"]).select("id", "g", "place", "blocks")
+    mine = mine.withColumn("block", F.pmod(F.xxhash64("id", "g"), F.col("blocks")))
+    mine = mine.withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    mine = mine.select("id", "g", "place", "block", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        src, dst = [], []
+        if len(table) > 1:
+            ids, part, n, block = (table.column(c).to_numpy() for c in ("id", "component", "n", "block"))
+            place, x, y = (table.column(c)[0].as_py() for c in ("place", "x", "y"))
+            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
+            a = np.array(table.column("a").to_pylist(), np.int64)
+            for i in range(len(ids)):
+                others = np.arange(i + 1, len(ids)) if x == y else np.flatnonzero(block == y) if block[i] == x else np.zeros(0, np.int64)
+                fits = (part[others] != part[i]) & (100 * n[others] >= percent * n[i]) & (100 * n[i] >= percent * n[others])
+                others = others[fits]
+                others = others[np.count_nonzero(sketch[others] == sketch[i], axis=1) >= least]
+                others = others[(a[others, :place] != a[i, :place]).all(1)]  # a pair leaves from the first group it shares
+                src.append(np.maximum(ids[others], ids[i]))
+                dst.append(np.minimum(ids[others], ids[i]))
+        src, dst = (np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64) for c in (src, dst))
+        return pa.table([pa.array(src), pa.array(dst)], names=["src", "dst"])
+
+    return mine.join(rows, "id").groupBy("g", "place", "x", "y").applyInArrow(compare, "src bigint, dst bigint")
 
 
 def near_groups(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -171,25 +221,17 @@ def near_groups(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -
     members = materialize(keys.join(buckets.select("key", "lo", "size"), "key"), "buckets")
 
     sets = materialize(_full_sets(docs, members.select("id").distinct(), width), "sets")
-    pairs = members.where("id <> lo").select(F.col("id").alias("src"), F.col("lo").alias("dst")).distinct()
-    links = materialize(_confirmed(pairs, sets, percent), "links")
+    links = materialize(_confirmed(_closest(members.where("id <> lo").select("id", F.col("lo").alias("other"))), sets, percent), "links")
     parts = connected_components(links)
-
     for last in (False, True):
-        placed = _labelled(members.where("size > 2").select("key", "id"), parts)
-        spread = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("id", F.xxhash64("key", "id")).alias("leader"), F.min_by("component", F.xxhash64("key", "id")).alias("led")).where("lo <> hi")
-        still = materialize(placed.join(spread.select("key", "leader", "led"), "key"), "open")
+        still = materialize(_open(members, parts), "open")
         if still.isEmpty():
             break
-        if last:
-            pairs = _prefix_pairs(sets, still.select("id").distinct(), parts, percent)
-        else:
-            pairs = still.where("component <> led").select(F.greatest("id", "leader").alias("src"), F.least("id", "leader").alias("dst")).distinct()
+        pairs = _sketched_pairs(still.select("id").distinct(), own, sets, parts, percent) if last else _closest(still.where("component <> led").select("id", "other"))
         more = materialize(_confirmed(pairs, sets, percent), "links")
-        if more.isEmpty():
-            continue
-        links = links.unionByName(more)
-        parts = connected_components(links)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            parts = connected_components(links)
 
     named = _labelled(classes, parts).select(F.col("digest").alias("of"), "component")
     out = marks.select("doc_id", "n_shingles", "digest").join(named, F.col("digest") == F.col("of"), "left")
