@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelloom.llm import ann, bpe, exact_dedup, near_dedup, packing, secrets, toxicity, url_filter
+from pixelloom.llm import ann, bpe, exact_dedup, lm_score, near_dedup, packing, secrets, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_lm_score": lm_score.op1_lm_score,
         "op2_secret_scan": secrets.op2_secret_scan,
         "op3_packing": packing.op3_packing,
         "op4_byte_bpe": bpe.op4_byte_bpe,
