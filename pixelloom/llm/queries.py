@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelloom.llm import ann, bpe, exact_dedup, lm_score, near_dedup, packing, secrets, toxicity, url_filter
+from pixelloom.llm import ann, bpe, exact_dedup, lm_score, near_dedup, packing, passages, secrets, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op4_byte_bpe": bpe.op4_byte_bpe,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_url_filter": url_filter.op6_url_filter,
+        "op7_near_passages": passages.op7_near_passages,
         "op8_near_dedup": near_dedup.op8_near_dedup,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_ann": ann.op10_ann,
