@@ -31,13 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.tokens import hash_words, text_buffers, text_windows, word_bounds
+from pixelloom.llm.tokens import hash_words, text_buffers, text_windows, windows, word_bounds
 
-SAMPLE = 2_500
+SAMPLE = 2_000
 LANDMARKS = 160
 SPAN = 6
 DECAY = 0.6
 LONGEST = 28
+CHUNK = 1 << 17  # units whose subsequences are added up at once
 REJECT = 0.7
 
 # Letters 1..26, digits that stand for letters as these, bytes of other scripts 27..31.
@@ -130,6 +131,8 @@ def unit_values(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, weights
     """The sum of ``weights`` over the units' subsequences, normalised by length."""
     if not len(starts):
         return np.zeros(0)
+    if len(starts) > CHUNK:
+        return np.concatenate([unit_values(codes, starts[a : a + CHUNK], ends[a : a + CHUNK], weights) for a in range(0, len(starts), CHUNK)])
     size = ends - starts
     at = np.repeat(starts - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
     left = np.repeat(ends, size) - at
@@ -205,20 +208,35 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def _all_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """units_of() over many texts, a window at a time, and a hash of each unit."""
+    parts, at = [], 0
+    for lo, hi in windows(offsets):
+        some = data[offsets[lo] : offsets[hi]]
+        codes, s, e, r = units_of(some, offsets[lo : hi + 1] - offsets[lo])
+        letters = np.r_[some, codes[len(some) :] + np.uint8(96)]
+        order = np.argsort(s, kind="stable")
+        marks = np.empty(len(s), np.uint64)
+        marks[order] = hash_words(letters, s[order], np.maximum.accumulate(e[order]) if len(s) else e)
+        parts.append((codes, (s + at).astype(np.int32), (e + at).astype(np.int32), (r + lo).astype(np.int32), marks))
+        at += len(codes)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint8), *(np.zeros(0, np.int32) for _ in range(3)), np.zeros(0, np.uint64))
+
+
 def train(texts: list[str], toxic: np.ndarray, rounds: int = 4) -> Model:
     """A model from labelled texts."""
     toxic = np.asarray(toxic, np.int64)
     if not (toxic == 1).any() or not (toxic == 0).any():
         return Model()
     data, offsets = text_buffers(pa.array(texts, pa.large_string()))
-    codes, s, e, r = units_of(data, offsets)
+    codes, s, e, r, marks = _all_units(data, offsets)
     if not len(s):
         return Model()
-    plain = np.r_[data, (codes[len(data) :] + 96).astype(np.uint8)]
-    kinds, first, kind = np.unique(hash_words(plain, np.sort(s), np.sort(e))[np.argsort(np.argsort(s, kind="stable"), kind="stable")], return_index=True, return_inverse=True)
-    pair = np.unique(np.stack([kind, r]), axis=1)
-    bad = np.bincount(pair[0], toxic[pair[1]], len(kinds))
-    fine = np.bincount(pair[0], 1 - toxic[pair[1]], len(kinds))
+    kinds, first, kind = np.unique(marks, return_index=True, return_inverse=True)
+    unit, text = np.divmod(np.unique(kind.astype(np.int64) * len(toxic) + r), len(toxic))
+    bad = np.bincount(unit, toxic[text], len(kinds))
+    fine = np.bincount(unit, 1 - toxic[text], len(kinds))
+    del unit, text, kind, marks
     # how surely a unit goes with toxic texts: the likelihood ratio of its two rates against one
     n_bad, n_fine = toxic.sum(), (1 - toxic).sum()
     rate, both = (bad + fine) / (n_bad + n_fine), bad + fine
@@ -258,9 +276,9 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 4) -> Model:
 
     def mapped(units: list[np.ndarray]) -> np.ndarray:
         out = np.zeros((len(units), basis.shape[1]))
-        for a in range(0, len(units), 1024):
-            unit, key, value = features(units[a : a + 1024])
-            np.add.at(out[a : a + 1024], unit, basis[key] * value[:, None])
+        for a in range(0, len(units), 256):
+            unit, key, value = features(units[a : a + 256])
+            np.add.at(out[a : a + 256], unit, basis[key] * value[:, None])
         return out
 
     sure = first[suspects]
@@ -285,8 +303,8 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 4) -> Model:
         worst = head[toxic[r[head]] == 1]
         positive = np.r_[sure, worst[v[worst] > max(0.0, float(np.quantile(v[clean], 0.9)) if len(clean) else 0.0)]]
         hard = clean
-    facts, _ = model.text_facts(data, offsets)
-    model.link = _logistic(facts, toxic)
+    facts = [model.text_facts(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])[0] for lo, hi in windows(offsets)]
+    model.link = _logistic(np.concatenate(facts), toxic)
     return model
 
 
