@@ -37,9 +37,9 @@ from pixelloom.session import materialize
 
 CLASSES = 32
 HASHED = 1 << 15  # weights of hashed words and pairs
-WEIGHTS = HASHED + CLASSES**3
+WEIGHTS = HASHED + CLASSES**3  # as many as 16 bits number
 ROUNDS = 1
-STEP = 8_192  # tokens in a gradient step
+STEP = 16_384  # tokens in a gradient step
 RATE = 0.3
 BLOCK_BYTES = 32 << 20  # text in a block that is scored at once, about
 CHUNK = 1 << 14  # weights in a row on their way to being averaged
@@ -99,16 +99,18 @@ class Tokens:
         low = np.uint64(HASHED - 1)
         one, two = (mix(x + np.uint64(i + 1)) for i, x in enumerate(h[:2]))
         pair = mix(h[0] * np.uint64(3) + mix(h[1]))
-        return np.stack([(one & low).astype(np.int64), (two & low).astype(np.int64), (pair & low).astype(np.int64), HASHED + (k[0] * CLASSES + k[1]) * CLASSES + k[2]])
+        return np.stack([(one & low).astype(np.int64), (two & low).astype(np.int64), (pair & low).astype(np.int64), HASHED + (k[0] * CLASSES + k[1]) * CLASSES + k[2]]).astype(np.uint16)
 
 
-def class_logs(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
-    """Natural logarithms of the class probabilities, classes x tokens."""
-    s = weights[:, features[0]]
+def class_odds(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """Unnormalised class probabilities, tokens x classes."""
+    s = np.take(weights, features[0], axis=0)
     for f in features[1:]:
-        s += weights[:, f]
-    s -= s.max(0)
-    return s - np.log(np.exp(s).sum(0))
+        s += np.take(weights, f, axis=0)
+    return np.exp(np.clip(s, -40, 40, out=s), out=s)
+
+
+_ONES = np.ones((CLASSES, 1), np.float32)
 
 
 class Trainer:
@@ -122,14 +124,19 @@ class Trainer:
     def learn(self, features: np.ndarray, classes: np.ndarray) -> None:
         for a in range(0, len(classes), STEP):
             f, c = features[:, a : a + STEP], classes[a : a + STEP]
-            gap = np.exp(class_logs(self.weights, f))
-            gap[c, np.arange(len(c))] -= 1
-            for row in f:
-                at, spot = np.unique(row, return_inverse=True)
-                step = np.stack([np.bincount(spot, g, len(at)) for g in gap]).astype(np.float32)
-                seen = self.seen[:, at] + step * step
-                self.seen[:, at] = seen
-                self.weights[:, at] -= RATE * step / np.sqrt(seen)
+            gap = class_odds(self.weights, f)
+            gap /= gap @ _ONES
+            gap[np.arange(len(c)), c] -= 1
+            # a feature's gradient is the sum of its tokens' rows, which sorting brings together
+            flat = f.reshape(-1)
+            order = np.argsort(flat, kind="stable")
+            flat = flat[order]
+            head = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+            step = np.add.reduceat(np.take(gap, order % len(c), axis=0), head, axis=0)
+            at = flat[head]
+            seen = self.seen[at] + step * step
+            self.seen[at] = seen
+            self.weights[at] -= RATE * step / np.sqrt(seen)
             self.tokens += len(c)
 
 
@@ -182,9 +189,9 @@ def _averaged(rows: DataFrame) -> DataFrame:
 
 
 def train(training: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
-    """The class weights, classes x features."""
+    """The class weights, features x classes."""
     sc = training.sparkSession.sparkContext
-    weights = np.zeros((CLASSES, WEIGHTS), np.float32)
+    weights = np.zeros((WEIGHTS, CLASSES), np.float32)
     for _ in range(rounds):
         sent = sc.broadcast(weights)
 
@@ -258,8 +265,8 @@ def score(docs: DataFrame, is_held_out: Column | None = None, rounds: int = ROUN
                 inner = np.log10((c + 1) / (n_class + v_class + 1)[t.classes])
                 features = t.features()
                 for a in range(0, len(c), STEP):
-                    logs = class_logs(weights, features[:, a : a + STEP])
-                    inner[a : a + STEP] += logs[t.classes[a : a + STEP], np.arange(logs.shape[1])] / np.log(10)
+                    odds = class_odds(weights, features[:, a : a + STEP])
+                    inner[a : a + STEP] += np.log10(odds[np.arange(len(odds)), t.classes[a : a + STEP]] / (odds @ _ONES)[:, 0])
                 cuts = t.first[:-1]
                 for x, y in zip(out, (np.diff(t.first), np.add.reduceat(c > 0, cuts, dtype=np.int64), np.add.reduceat(base, cuts), np.add.reduceat(inner, cuts)), strict=True):
                     x.append(y)
