@@ -1 +1 @@
-
+"""Column functions: spectral indices, scores, projections, classification."""

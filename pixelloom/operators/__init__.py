@@ -1 +1 @@
-
+"""Operators over pixel-time tables."""

@@ -1,21 +1,562 @@
-"""The registered queries over the driver's tables and their SQL."""
+"""The registered queries over the driver's tables and their SQL, one for each operator."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pixelloom.functions import indices, projection
+from pixelloom.operators import anomaly, aoi, grid, hydrology, optical, reporting, screening, zones
+from pixelloom.plans import derived as D
+from pixelloom.plans import season
+from pixelloom.session import materialize
+from pixelloom.sources import gridded
 
 Query = Callable[[SparkSession, str], DataFrame]
+_REGISTERED: dict[str, tuple[Query, str | None]] = {}
 
+BINS = [date(2024, 1, 1) + timedelta(days=14 * k) for k in range(3)]
+BBOX = (35.15, 0.55, 35.35, 0.75)
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+
+def query(name: str, sql: str | None = None):
+    def register(f: Query) -> Query:
+        _REGISTERED[name] = (f, sql)
+        return f
+
+    return register
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: f for name, (f, _) in _REGISTERED.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _REGISTERED.items() if sql}
+
+
+def _r(name: str, digits: int = 6):
+    return F.round(name, digits).alias(name)
+
+
+# ---- optical -------------------------------------------------------------------------
+
+_NDVI = "CASE WHEN scl IN (4, 5, 6) THEN (b08 * 0.0001::DOUBLE - b04 * 0.0001::DOUBLE) / (b08 * 0.0001::DOUBLE + b04 * 0.0001::DOUBLE + 0.000001::DOUBLE) END"
+
+
+def _ndvi(spark, sf_dir) -> DataFrame:
+    df = D.optical(spark, sf_dir)
+    value = indices.ndvi(indices.reflectance(df, "b04"), indices.reflectance(df, "b08"))
+    return df.withColumn("ndvi", F.when(F.col("scl").isin(4, 5, 6), value))
+
+
+@query("scl_mask_bands", f"""WITH {D.OPTICAL} SELECT t, "row", col, scl, CAST(CASE WHEN scl IN (4, 5, 6) THEN b04 END AS DOUBLE) AS b04, CAST(CASE WHEN scl IN (4, 5, 6) THEN b08 END AS DOUBLE) AS b08 FROM optical""")
+def _(spark, sf_dir):
+    out = optical.scl_mask(D.optical(spark, sf_dir), ["b04", "b08"])
+    return out.select("t", "row", "col", "scl", F.col("b04").cast("double").alias("b04"), F.col("b08").cast("double").alias("b08"))
+
+
+@query("scl_mask_ndvi", f"""WITH {D.OPTICAL} SELECT t, "row", col, scl, round({_NDVI}, 6) AS ndvi FROM optical""")
+def _(spark, sf_dir):
+    return _ndvi(spark, sf_dir).select("t", "row", "col", "scl", _r("ndvi"))
+
+
+@query("evi", f"""WITH {D.OPTICAL}, r AS (SELECT t, "row", col, b02 * 0.0001::DOUBLE AS b, b04 * 0.0001::DOUBLE AS r, b08 * 0.0001::DOUBLE AS n FROM optical)
+SELECT t, "row", col, round(2.5::DOUBLE * (n - r) / CASE WHEN n + 6 * r - 7.5::DOUBLE * b + 1 = 0 THEN 0.000001::DOUBLE ELSE n + 6 * r - 7.5::DOUBLE * b + 1 END, 6) AS evi FROM r""")
+def _(spark, sf_dir):
+    df = D.optical(spark, sf_dir)
+    value = indices.evi(*(indices.reflectance(df, b) for b in ("b02", "b04", "b08")))
+    return df.select("t", "row", "col", F.round(value, 6).alias("evi"))
+
+
+@query("reflectance_scale", f"""WITH {D.OPTICAL}, f AS (SELECT "row", col, b04, b08 * 1.0::DOUBLE AS b08 FROM optical)
+SELECT "row", col, round(b04 * 0.0001::DOUBLE, 6) AS b04, round(CASE WHEN (SELECT max(b08) FROM f) > 1.5 THEN b08 * 0.0001::DOUBLE ELSE b08 END, 6) AS b08 FROM f""")
+def _(spark, sf_dir):
+    df = D.optical(spark, sf_dir).select("row", "col", "b04", F.col("b08").cast("double").alias("b08"))
+    return df.select("row", "col", F.round(indices.reflectance(df, "b04"), 6).alias("b04"), F.round(indices.reflectance(df, "b08", has_scale=True), 6).alias("b08"))
+
+
+@query("ndmi_block2x2", f"""WITH {D.OPTICAL}, nir AS (SELECT "row" // 2 AS "row", col // 2 AS col, avg(b08) AS b08 FROM optical GROUP BY 1, 2),
+swir AS (SELECT l_partkey % 5 AS "row", l_suppkey % 5 AS col, avg(1000 + 10 * l_quantity) AS b11 FROM lineitem GROUP BY 1, 2)
+SELECT CAST("row" AS INT) AS "row", CAST(col AS INT) AS col, round((b08 - b11) / (b08 + b11 + 0.000001::DOUBLE), 6) AS ndmi FROM nir JOIN swir USING ("row", col)""")
+def _(spark, sf_dir):
+    rows = F.expr("cast(l_partkey % 5 as int)").alias("row"), F.expr("cast(l_suppkey % 5 as int)").alias("col")
+    swir = D.table(spark, sf_dir, "lineitem").groupBy(*rows).agg(F.avg(1000 + 10 * F.col("l_quantity")).alias("b11"))
+    return optical.ndmi(D.optical(spark, sf_dir), swir, keys=()).select("row", "col", _r("ndmi"))
+
+
+@query("bilinear_regrid", f"""WITH {D.OPTICAL}, g AS (SELECT "row" AS r, col AS c, avg(b08) AS v FROM optical GROUP BY 1, 2), t AS (SELECT i + 0.25::DOUBLE AS "row", j + 0.5::DOUBLE AS col FROM range(0, 9) a(i), range(0, 9) b(j)),
+k AS (SELECT "row", col, r, c, (1 - abs("row" - r)) * (1 - abs(col - c)) AS w, v FROM t JOIN g ON abs("row" - r) < 1 AND abs(col - c) < 1)
+SELECT "row", col, round(sum(w * v), 4) AS b08 FROM k GROUP BY 1, 2 HAVING count(*) = 4""")
+def _(spark, sf_dir):
+    df = D.optical(spark, sf_dir).groupBy("row", "col").agg(F.avg("b08").alias("b08"))
+    target = spark.range(81).select((F.expr("id div 9") + 0.25).alias("row"), (F.expr("id % 9") + 0.5).alias("col"))
+    return optical.bilinear(df, target, "b08").where("b08 is not null").select("row", "col", _r("b08", 4))
+
+
+@query("crop_mask_join", f"""WITH {D.OPTICAL}, m AS (SELECT l_partkey % 10 AS "row", l_suppkey % 10 AS col, CASE WHEN (l_partkey % 10) * (l_suppkey % 10) % 7 = 0 THEN NULL ELSE ((l_partkey % 10) + (l_suppkey % 10)) % 3 END AS crop_mask FROM lineitem WHERE l_partkey % 10 <> 9 GROUP BY 1, 2, 3)
+SELECT t, "row", col, CASE WHEN m.crop_mask = 1 THEN b08 END AS b08 FROM optical LEFT JOIN m USING ("row", col)""")
+def _(spark, sf_dir):
+    cells = D.optical(spark, sf_dir).select("row", "col").distinct().where("row <> 9")
+    mask = cells.withColumn("crop_mask", F.expr("case when row * col % 7 = 0 then null else (row + col) % 3 end"))
+    return optical.crop_mask(D.optical(spark, sf_dir), mask, ["b08"]).select("t", "row", "col", "b08")
+
+
+_COMPOSITE = f"""WITH {D.OPTICAL}, v AS (SELECT t, "row", col, {_NDVI} AS ndvi FROM optical),
+span AS (SELECT CAST(min(t) AS DATE) AS t0, date_diff('day', CAST(min(t) AS DATE), CAST(max(t) AS DATE)) // 14 AS last FROM v),
+seen AS (SELECT date_diff('day', t0, CAST(t AS DATE)) // 14 AS bin, "row", col, median(ndvi) AS ndvi, count(ndvi) AS n FROM v, span GROUP BY 1, 2, 3),
+cells AS (SELECT DISTINCT "row", col FROM v), bins AS (SELECT unnest(range(0, last + 1)) AS bin FROM span),
+composite AS (SELECT CAST(b.bin AS INT) AS bin, t0 + CAST(b.bin * 14 AS INT) AS bin_start, c."row", c.col, s.ndvi, CAST(coalesce(s.n, 0) AS INT) AS valid_obs_count
+  FROM bins b CROSS JOIN cells c CROSS JOIN span LEFT JOIN seen s ON s.bin = b.bin AND s."row" = c."row" AND s.col = c.col)"""
+
+
+def _composite(spark, sf_dir) -> DataFrame:
+    return optical.composite(_ndvi(spark, sf_dir), "ndvi")
+
+
+@query("composite_14d_median", f"""{_COMPOSITE} SELECT bin, bin_start, "row", col, round(ndvi, 6) AS ndvi, valid_obs_count FROM composite""")
+def _(spark, sf_dir):
+    return _composite(spark, sf_dir).select("bin", "bin_start", "row", "col", _r("ndvi"), "valid_obs_count")
+
+
+@query("valid_obs_count", f"""{_COMPOSITE} SELECT "row", col, CAST(sum(valid_obs_count) AS BIGINT) AS observations, CAST(sum(CASE WHEN valid_obs_count = 0 THEN 1 ELSE 0 END) AS BIGINT) AS empty_bins FROM composite GROUP BY 1, 2""")
+def _(spark, sf_dir):
+    return _composite(spark, sf_dir).groupBy("row", "col").agg(F.sum("valid_obs_count").alias("observations"), F.count_if(F.col("valid_obs_count") == 0).alias("empty_bins"))
+
+
+@query("smooth_centered3", f"""{_COMPOSITE} SELECT bin, "row", col, round(CASE WHEN ndvi IS NOT NULL THEN avg(ndvi) OVER (PARTITION BY "row", col ORDER BY bin ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) END, 6) AS smoothed FROM composite""")
+def _(spark, sf_dir):
+    return optical.smooth(_composite(spark, sf_dir), "ndvi").select("bin", "row", "col", _r("smoothed"))
+
+
+@query("clear_share_by_date", f"""WITH {D.OPTICAL} SELECT t, count(b04) AS raw_valid, CAST(count(CASE WHEN scl IN (4, 5, 6) THEN b04 END) AS BIGINT) AS retained, round(count(CASE WHEN scl IN (4, 5, 6) THEN b04 END) / count(b04) * 100, 2) AS clear_pct FROM optical GROUP BY t""")
+def _(spark, sf_dir):
+    raw = D.optical(spark, sf_dir)
+    return optical.clear_share(raw, optical.scl_mask(raw, ["b04"]), "b04")
+
+
+@query("quality_report", f"""{_COMPOSITE}, o AS (SELECT count(DISTINCT t) AS scene_count, count(b04) AS r, count(CASE WHEN scl IN (4, 5, 6) THEN b04 END) AS m FROM optical),
+c AS (SELECT avg(valid_obs_count) AS obs, count(*) AS n, count(ndvi) AS f FROM composite)
+SELECT scene_count, round((r - m) / r * 100, 2) AS rejection_rate_scl, round(obs, 2) AS mean_valid_obs_per_bin, round((n - f) / n * 100, 2) AS unfilled_bins_pct FROM o, c""")
+def _(spark, sf_dir):
+    raw = D.optical(spark, sf_dir)
+    return optical.quality_report(raw, optical.scl_mask(raw, ["b04"]), _composite(spark, sf_dir), "b04", "ndvi")
+
+
+@query("index_distribution", f"""WITH {D.OPTICAL}, v AS (SELECT {_NDVI} * 1.2::DOUBLE AS x FROM optical)
+SELECT count(*) AS total_pixels, count(x) AS valid_pixels, count(*) - count(x) AS nan_pixels, round((count(*) - count(x)) / count(*) * 100, 2) AS nan_pct, round(min(x), 4) AS min, round(max(x), 4) AS max, round(avg(x), 4) AS mean, round(stddev_pop(x), 4) AS std,
+count(CASE WHEN x < -1 OR x > 1 THEN 1 END) AS out_of_bounds_count, round(count(CASE WHEN x < -1 OR x > 1 THEN 1 END) / count(x) * 100, 2) AS out_of_bounds_pct FROM v""")
+def _(spark, sf_dir):
+    return optical.index_distribution(_ndvi(spark, sf_dir).withColumn("x", F.col("ndvi") * 1.2), "x")
+
+
+# ---- hydrology -----------------------------------------------------------------------
+
+
+@query("daily_mean", f"WITH {D.SOIL} SELECT CAST(t AS DATE) AS day, lat_i, lon_i, round(avg(s1), 6) AS s1 FROM soil GROUP BY 1, 2, 3")
+def _(spark, sf_dir):
+    return hydrology.daily_mean(D.soil(spark, sf_dir)).select("day", "lat_i", "lon_i", _r("s1"))
+
+
+_BINS = f"""WITH {D.SOIL}, daily AS (SELECT CAST(t AS DATE) AS t, lat_i, lon_i, avg(s1) AS s1 FROM soil GROUP BY 1, 2, 3),
+b AS (SELECT bin, DATE '{D.FIRST_BIN}' + CAST(bin * 14 AS INT) AS bin_start FROM range(0, 3) x(bin)), cells AS (SELECT DISTINCT lat_i, lon_i FROM daily),
+binned AS (SELECT CAST(b.bin AS INT) AS bin, b.bin_start, c.lat_i, c.lon_i, avg(d.s1) AS s1 FROM b CROSS JOIN cells c LEFT JOIN daily d ON d.lat_i = c.lat_i AND d.lon_i = c.lon_i AND d.t >= b.bin_start AND d.t < b.bin_start + 14 GROUP BY 1, 2, 3, 4)"""
+
+
+def _binned(spark, sf_dir) -> DataFrame:
+    return hydrology.to_calendar(hydrology.daily_mean(D.soil(spark, sf_dir)).withColumnRenamed("day", "t"), BINS)
+
+
+@query("calendar_resample_14d", f"{_BINS} SELECT bin, bin_start, lat_i, lon_i, round(s1, 6) AS s1 FROM binned")
+def _(spark, sf_dir):
+    return _binned(spark, sf_dir).select("bin", "bin_start", "lat_i", "lon_i", _r("s1"))
+
+
+@query("swi_delta_14d", f"{_BINS} SELECT bin, lat_i, lon_i, round(s1 - lag(s1) OVER (PARTITION BY lat_i, lon_i ORDER BY bin), 6) AS delta_swi_14d FROM binned")
+def _(spark, sf_dir):
+    return hydrology.change(_binned(spark, sf_dir)).select("bin", "lat_i", "lon_i", _r("delta_swi_14d"))
+
+
+# ---- rainfall and vegetation anomalies --------------------------------------------------
+
+
+@query("rain_climatology", f"WITH {D.CLIM} SELECT CAST(m AS INT) AS month, nation, round(mean, 6) AS mean, round(std, 6) AS std, n AS count, coalesce(std <= 0.0001, true) AS invariant FROM clim")
+def _(spark, sf_dir):
+    return anomaly.climatology(D.baseline(spark, sf_dir), "rainfall", ["nation"]).select("month", "nation", _r("mean"), _r("std"), "count", "invariant")
+
+
+@query("invariant_pixels", f"WITH {D.CLIM} SELECT count(CASE WHEN coalesce(std <= 0.0001, true) THEN 1 END) AS invariant_pixel_count, count(*) AS pixel_months FROM clim")
+def _(spark, sf_dir):
+    return anomaly.invariant_count(anomaly.climatology(D.baseline(spark, sf_dir), "rainfall", ["nation"]))
+
+
+@query("rain_zscore", f"WITH {D.CLIM} SELECT t, r.nation, round(CASE WHEN std > 0.0001 THEN (rainfall - mean) / std END, 6) AS z_r FROM rain r JOIN clim c ON c.m = month(r.t) AND c.nation = r.nation WHERE t >= DATE '2001-01-01'")
+def _(spark, sf_dir):
+    clim = anomaly.climatology(D.baseline(spark, sf_dir), "rainfall", ["nation"])
+    return anomaly.zscore(D.target(spark, sf_dir), clim, "rainfall", ["nation"], out="z_r").select("t", "nation", _r("z_r"))
+
+
+_NDVI_CLIM = f"""{_COMPOSITE}, monthly AS (SELECT month(bin_start) AS m, "row", col, avg(ndvi) AS mean, stddev_pop(ndvi) AS std, CAST(sum(valid_obs_count) AS BIGINT) AS n FROM composite GROUP BY 1, 2, 3)"""
+
+
+def _ndvi_clim(spark, sf_dir) -> DataFrame:
+    return _composite(spark, sf_dir).groupBy(F.month("bin_start").alias("month"), "row", "col").agg(F.avg("ndvi").alias("mean"), F.stddev_pop("ndvi").alias("std"), F.sum("valid_obs_count").alias("count"))
+
+
+@query("ndvi_clim_qa", f"""{_NDVI_CLIM} SELECT CAST(m AS INT) AS month, "row", col, round(CASE WHEN n >= 10 THEN mean END, 6) AS mean, round(CASE WHEN n >= 10 THEN std END, 6) AS std, n AS count FROM monthly""")
+def _(spark, sf_dir):
+    return anomaly.clim_qa(_ndvi_clim(spark, sf_dir), 10).select("month", "row", "col", _r("mean"), _r("std"), "count")
+
+
+@query("ndvi_clim_wide", f"""{_NDVI_CLIM} SELECT CAST(m AS INT) AS month, "row", col, round(mean, 6) AS mean, n AS count FROM monthly WHERE m IN (4, 5)""")
+def _(spark, sf_dir):
+    long = _ndvi_clim(spark, sf_dir).where("month in (4, 5)")
+    wide = long.groupBy("row", "col").agg(*(F.max(F.when(F.col("month") == k, F.col(c))).alias(f"{p}_{m}") for k, m in ((4, "apr"), (5, "may")) for c, p in (("mean", "mean"), ("std", "stddev"), ("count", "count"))))
+    return anomaly.clim_long(wide, ["row", "col"]).select("month", "row", "col", _r("mean"), "count")
+
+
+@query("ndvi_zscore", f"""{_NDVI_CLIM} SELECT bin, c."row", c.col, round(CASE WHEN n >= 10 AND std > 0.0001 THEN (ndvi - mean) / std END, 4) AS z_ndvi FROM composite c JOIN monthly m ON m.m = month(bin_start) AND m."row" = c."row" AND m.col = c.col""")
+def _(spark, sf_dir):
+    clim = anomaly.clim_qa(_ndvi_clim(spark, sf_dir), 10)
+    return anomaly.zscore(_composite(spark, sf_dir), clim, "ndvi", ["row", "col"], t="bin_start", out="z_ndvi").select("bin", "row", "col", _r("z_ndvi", 4))
+
+
+@query("continuity_gate_months", f"""WITH {D.RAIN}, span AS (SELECT CAST(unnest(generate_series(DATE '1994-10-01', DATE '2002-03-01', INTERVAL 1 MONTH)) AS DATE) AS month_start)
+SELECT month_start, 'missing' AS problem FROM span WHERE month_start NOT IN (SELECT t FROM rain)""")
+def _(spark, sf_dir):
+    return anomaly.month_gaps(D.rain(spark, sf_dir), "1994-10-01", "2002-03-01")
+
+
+@query("time_order_check", """WITH s AS (SELECT CAST(ts AS DATE) AS t, min(event_id) AS o FROM events GROUP BY 1), l AS (SELECT t, lag(t) OVER (ORDER BY o) AS before FROM s) SELECT t, before FROM l WHERE t < before""")
+def _(spark, sf_dir):
+    days = D.table(spark, sf_dir, "events").select(F.to_date("ts").alias("t"), "event_id")
+    return gridded.time_reversals(days, "event_id")
+
+
+# ---- sources -------------------------------------------------------------------------
+
+
+def _rain_cells(spark, sf_dir) -> DataFrame:
+    df = D.rain(spark, sf_dir).withColumnRenamed("t", "time").withColumnRenamed("rainfall", "precip")
+    return df.select(F.col("time").cast("timestamp").alias("time"), (35 + F.expr("nation % 5") * 0.25).alias("longitude"), (-F.expr("nation div 5") * 0.25).alias("latitude"), (F.col("precip") - 150).alias("precip"))
+
+
+@query("load_rainfall", f"""WITH {D.RAIN}, g AS (SELECT CAST(t AS TIMESTAMP) AS t, 35 + (nation % 5) * 0.25::DOUBLE AS lon, -(nation // 5) * 0.25::DOUBLE AS lat, rainfall - 150 AS rainfall FROM rain)
+SELECT t, lon, lat, round(CASE WHEN rainfall >= 0 THEN rainfall END, 6) AS rainfall FROM g WHERE lon BETWEEN 35.25 AND 35.75 AND lat BETWEEN -0.5 AND 0 AND t BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1997-06-01'""")
+def _(spark, sf_dir):
+    return gridded.load_rainfall(spark, _rain_cells(spark, sf_dir), (35.25, -0.5, 35.75, 0.0), "1996-01-01", "1997-06-01").select("t", "lon", "lat", _r("rainfall"))
+
+
+def _soil_cells(spark, sf_dir, scale: float) -> DataFrame:
+    return D.soil(spark, sf_dir).select(F.col("t").alias("time"), (F.col("lat_i") * 0.1).alias("latitude"), (35 + F.col("lon_i") * 0.1).alias("longitude"), (F.col("s1") * scale).alias("s1"))
+
+
+_SOIL_CELLS = f"{D.SOIL}, g AS (SELECT t, lat_i * 0.1::DOUBLE AS lat, 35 + lon_i * 0.1::DOUBLE AS lon, s1 FROM soil)"
+
+
+@query("bbox_filter_halfcell", f"WITH {_SOIL_CELLS} SELECT t, lat, lon, round(s1, 6) AS s1 FROM g WHERE lat BETWEEN 0.12 - 0.05::DOUBLE AND 0.48::DOUBLE + 0.05 AND lon BETWEEN 35.23 - 0.05::DOUBLE AND 35.68 + 0.05::DOUBLE")
+def _(spark, sf_dir):
+    return gridded.in_padded_bbox(gridded.read(spark, _soil_cells(spark, sf_dir, 1.0)), (35.23, 0.12, 35.68, 0.48), step=0.1).select("t", "lat", "lon", _r("s1"))
+
+
+@query("percent_normalise", f"WITH {_SOIL_CELLS} SELECT t, lat, lon, round(CASE WHEN s1 * 120 <= 100 THEN CASE WHEN (SELECT max(s1 * 120) FROM g WHERE s1 * 120 <= 100) > 1.5 THEN s1 * 120 / 100 ELSE s1 * 120 END END, 6) AS s1 FROM g")
+def _(spark, sf_dir):
+    df = gridded.read(spark, _soil_cells(spark, sf_dir, 120.0))
+    return df.select("t", "lat", "lon", F.round(gridded.fraction_of(df, "s1"), 6).alias("s1"))
+
+
+@query("load_soil_subdaily", f"WITH {_SOIL_CELLS}, d AS (SELECT CAST(t AS DATE) AS t, lat, lon, avg(s1) AS s1 FROM g WHERE t BETWEEN TIMESTAMP '2024-01-03' AND TIMESTAMP '2024-01-20' AND lat >= -0.01 AND lat <= 0.35 AND lon >= 34.9 AND lon <= 35.75 GROUP BY 1, 2, 3) SELECT t, lat, lon, round(s1, 6) AS s1 FROM d")
+def _(spark, sf_dir):
+    df = gridded.load_soil_subdaily(spark, _soil_cells(spark, sf_dir, 1.0), (34.95, 0.04, 35.7, 0.3), "2024-01-03", "2024-01-20")
+    return df.select("t", "lat", "lon", _r("s1"))
+
+
+@query("load_optical_bands", f"""WITH {D.OPTICAL} SELECT t, "row", col, b04, scl FROM optical WHERE t BETWEEN TIMESTAMP '1996-03-01' AND TIMESTAMP '1997-03-01'""")
+def _(spark, sf_dir):
+    return gridded.load_optical(spark, D.optical(spark, sf_dir), ["B04", "SCL", "B99"], "1996-03-01", "1997-03-01")
+
+
+@query("load_crop_mask", """WITH g AS (SELECT l_partkey % 10 AS "row", l_suppkey % 10 AS col, min(l_linenumber) * 10 + max(l_linenumber) * 0 AS c FROM lineitem WHERE l_linenumber <> 1 GROUP BY 1, 2)
+SELECT "row", col, CAST(CASE WHEN (SELECT max(c) FROM g) > 1.5 THEN c = 20 ELSE c > 0 END AS DOUBLE) AS crop_mask FROM g""")
+def _(spark, sf_dir):
+    cells = D.table(spark, sf_dir, "lineitem").where("l_linenumber <> 1").groupBy(F.expr("l_partkey % 10").alias("row"), F.expr("l_suppkey % 10").alias("col")).agg((F.min("l_linenumber") * 20).alias("crop_mask"))
+    return gridded.load_crop_mask(spark, cells)
+
+
+@query("grafs_time_decode", """WITH d AS (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN NULL WHEN event_id % 10 = 1 THEN -1 WHEN event_id % 10 = 2 THEN 1e6 WHEN event_id % 10 = 3 THEN 'NaN'::DOUBLE ELSE 19000 + (event_id % 1000) / 8 END AS days FROM events)
+SELECT event_id, TIMESTAMP '1970-01-01' + to_seconds(CAST(round(days * 86400) AS BIGINT)) AS t FROM d WHERE days IS NOT NULL AND NOT isnan(days) AND days > 0 AND days < 1e6""")
+def _(spark, sf_dir):
+    k = F.col("event_id") % 10
+    days = F.when(k == 0, F.lit(None)).when(k == 1, -1.0).when(k == 2, 1e6).when(k == 3, float("nan")).otherwise(19000 + (F.col("event_id") % 1000) / 8)
+    return gridded.decode_days(D.table(spark, sf_dir, "events").select("event_id", days.alias("days"))).select("event_id", "t")
+
+
+@query("range_audit", f"""WITH {D.OPTICAL} SELECT min(b04) AS low_b04, max(b04) AS high_b04, count(CASE WHEN b04 NOT BETWEEN 0 AND 1500 THEN 1 END) AS outside_b04, min(scl) AS low_scl, max(scl) AS high_scl, count(CASE WHEN scl NOT BETWEEN 0 AND 11 THEN 1 END) AS outside_scl FROM optical""")
+def _(spark, sf_dir):
+    limits = {"b04": (0, 1500), "scl": (0, 11)}
+    return D.optical(spark, sf_dir).agg(*(x for c, (a, b) in limits.items() for x in (F.min(c).alias(f"low_{c}"), F.max(c).alias(f"high_{c}"), F.count_if(~F.col(c).between(a, b)).alias(f"outside_{c}"))))
+
+
+@query("provenance_check", """WITH s AS (SELECT s_suppkey, s_suppkey % 4 AS k FROM supplier)
+SELECT s_suppkey, CASE k WHEN 0 THEN '' WHEN 1 THEN 'provenance_native_crs' WHEN 2 THEN 'provenance_product_version,provenance_native_crs' ELSE '' END AS missing FROM s""")
+def _(spark, sf_dir):
+    k = F.col("s_suppkey") % 4
+    there = [F.struct(F.lit(f"provenance_{n}").alias("key"), F.lit("x").alias("value")) for n in gridded.PROVENANCE]
+    gone = {"native_crs": (1, 2), "product_version": (2,)}
+    pairs = F.filter(F.array(*there), lambda p: ~F.coalesce(F.array_contains(F.transform(F.array(*(F.when(k.isin(*v), F.lit(f"provenance_{n}")) for n, v in gone.items())), lambda x: F.coalesce(x, F.lit(""))), p["key"]), F.lit(False)))
+    attrs = F.map_from_entries(pairs)
+    return D.table(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(gridded.missing_provenance(attrs), ",").alias("missing"))
+
+
+# ---- grids ---------------------------------------------------------------------------
+
+
+def _points(spark, sf_dir) -> DataFrame:
+    return D.table(spark, sf_dir, "customer").select("c_custkey", ((F.col("c_custkey") * 37 % 3600) / 10 - 180).alias("lon"), ((F.col("c_custkey") * 53 % 1700) / 10 - 85).alias("lat"))
+
+
+_POINTS = "p AS (SELECT c_custkey, (c_custkey * 37 % 3600) / 10 - 180 AS lon, (c_custkey * 53 % 1700) / 10 - 85 AS lat FROM customer)"
+_E, _E2, _A, _K0, _QP = projection.E, projection.E2, projection.A, projection.K0, projection.QP
+_CEA = f"""c AS (SELECT c_custkey, lon, lat, {_A * _K0!r}::DOUBLE * radians(lon) AS x, {_A!r}::DOUBLE * {1 - _E2!r}::DOUBLE * (sin(radians(lat)) / (1 - {_E2!r}::DOUBLE * sin(radians(lat)) * sin(radians(lat))) - ln((1 - {_E!r}::DOUBLE * sin(radians(lat))) / (1 + {_E!r}::DOUBLE * sin(radians(lat)))) / {2 * _E!r}::DOUBLE) / {2 * _K0!r}::DOUBLE AS y FROM p)"""
+
+
+@query("cea_forward", f"WITH {_POINTS}, {_CEA} SELECT c_custkey, round(x, 4) AS x, round(y, 4) AS y FROM c")
+def _(spark, sf_dir):
+    return _points(spark, sf_dir).select("c_custkey", F.round(projection.cea_x(F.col("lon")), 4).alias("x"), F.round(projection.cea_y(F.col("lat")), 4).alias("y"))
+
+
+@query("cea_inverse", f"WITH {_POINTS} SELECT c_custkey, round(lon, 6) AS lon, round(lat, 6) AS lat FROM p")
+def _(spark, sf_dir):
+    flat = _points(spark, sf_dir).select("c_custkey", projection.cea_x(F.col("lon")).alias("x"), projection.cea_y(F.col("lat")).alias("y"))
+    return flat.select("c_custkey", F.round(projection.cea_lon(F.col("x")), 6).alias("lon"), F.round(projection.cea_lat(F.col("y")), 6).alias("lat"))
+
+
+@query("utm_inverse")
+def _(spark, sf_dir):
+    at = D.table(spark, sf_dir, "customer").select("c_custkey", (300_000.0 + F.col("c_custkey") % 4000 * 100).alias("x"), (9_000_000.0 + F.col("c_custkey") % 9000 * 100).alias("y"))
+    lat, lon = projection.utm_latlon(F.col("x"), F.col("y"))
+    return at.select("c_custkey", F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat"))
+
+
+_X0, _Y0 = grid.canonical_origin(BBOX)
+
+
+@query("canonical_grid", f"""SELECT CAST(i AS INT) AS "row", CAST(j AS INT) AS col, {_Y0!r}::DOUBLE + i * 30 AS y, {_X0!r}::DOUBLE + j * 30 AS x, round(degrees(({_X0!r}::DOUBLE + j * 30) / {_A * _K0!r}::DOUBLE), 8) AS lon FROM range(0, 86) a(i), range(0, 65) b(j)""")
+def _(spark, sf_dir):
+    return grid.canonical_grid(spark, BBOX).select("row", "col", "y", "x", _r("lon", 8))
+
+
+@query("coarse_nearest_assign", """WITH fine AS (SELECT c_custkey, (c_custkey * 37 % 500) / 100 AS lat, (c_custkey * 53 % 700) / 100 AS lon FROM customer),
+coarse AS (SELECT s_suppkey % 5 AS lat_i, s_suppkey // 5 % 7 AS lon_i, avg(s_suppkey) AS v FROM supplier GROUP BY 1, 2),
+a AS (SELECT c_custkey, arg_min(lat_i, (abs(lat - lat_i), lat_i)) AS lat_i FROM fine, (SELECT DISTINCT lat_i FROM coarse) GROUP BY 1),
+o AS (SELECT c_custkey, arg_min(lon_i, (abs(lon - lon_i), lon_i)) AS lon_i FROM fine, (SELECT DISTINCT lon_i FROM coarse) GROUP BY 1)
+SELECT c_custkey, lat_i, lon_i, CAST(CAST(v AS FLOAT) AS DOUBLE) AS v FROM a JOIN o USING (c_custkey) JOIN coarse USING (lat_i, lon_i)""")
+def _(spark, sf_dir):
+    fine = D.table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") * 37 % 500 / 100).alias("lat"), (F.col("c_custkey") * 53 % 700 / 100).alias("lon"))
+    coarse = D.table(spark, sf_dir, "supplier").groupBy(F.expr("s_suppkey % 5").alias("lat_i"), F.expr("s_suppkey div 5 % 7").alias("lon_i")).agg(F.avg("s_suppkey").alias("v"))
+    coarse = coarse.select("lat_i", "lon_i", F.col("lat_i").cast("double").alias("lat"), F.col("lon_i").cast("double").alias("lon"), "v")
+    return grid.assign_nearest(fine, coarse.drop("x"), ["v"]).select("c_custkey", "lat_i", "lon_i", F.col("v").cast("double").alias("v"))
+
+
+@query("nearest_month_asof", f"""WITH {D.RAIN}, m AS (SELECT DISTINCT t AS s FROM rain WHERE month(t) IN (1, 4, 5, 9)), w AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS t FROM lineitem)
+SELECT w.t, arg_min(s, (abs(date_diff('day', w.t, s)), s)) AS month_start FROM w, m GROUP BY 1""")
+def _(spark, sf_dir):
+    months = D.rain(spark, sf_dir).where("month(t) in (1, 4, 5, 9)").select(F.col("t").alias("month_start"))
+    return grid.nearest_month(D.table(spark, sf_dir, "lineitem").select(F.to_date("l_shipdate").alias("t")), months)
+
+
+@query("area_weighted_regrid", """WITH s AS (SELECT l_partkey % 50 AS i, l_suppkey % 40 AS j, CASE WHEN (l_partkey % 50 + l_suppkey % 40) % 6 <> 0 THEN avg(l_quantity) END AS v FROM lineitem GROUP BY 1, 2),
+c AS (SELECT r, k FROM range(0, 17) a(r), range(0, 14) b(k)),
+w AS (SELECT r, k, v, greatest(0, least(i * 10 + 10, r * 30 + 30) - greatest(i * 10, r * 30)) * greatest(0, least(j * 10 + 10, k * 30 + 30) - greatest(j * 10, k * 30)) AS w FROM c JOIN s ON i * 10 < r * 30 + 30 AND i * 10 + 10 > r * 30 AND j * 10 < k * 30 + 30 AND j * 10 + 10 > k * 30 WHERE v IS NOT NULL)
+SELECT CAST(r AS INT) AS "row", CAST(k AS INT) AS col, round(sum(w * v) / sum(w), 6) AS v FROM w GROUP BY 1, 2""")
+def _(spark, sf_dir):
+    cells = D.table(spark, sf_dir, "lineitem").groupBy(F.expr("l_partkey % 50").alias("i"), F.expr("l_suppkey % 40").alias("j")).agg(F.avg("l_quantity").alias("q"))
+    src = cells.select((F.col("i") * 10 + 5.0).alias("y"), (F.col("j") * 10 + 5.0).alias("x"), F.when((F.col("i") + F.col("j")) % 6 != 0, F.col("q")).alias("v"))
+    return grid.area_weighted(src, "v", 0.0, 0.0, 30.0, 30.0, 17, 14, 5.0, 5.0).select("row", "col", _r("v"))
+
+
+# ---- areas of interest -----------------------------------------------------------------
+
+
+@query("aoi_bbox_checks", """WITH b AS (SELECT c_custkey, (c_custkey * 37 % 400) - 200 AS x0, (c_custkey * 53 % 200) - 100 AS y0, (c_custkey * 37 % 400) - 200 + (c_custkey % 7) - 1 AS x1, (c_custkey * 53 % 200) - 100 + (c_custkey % 5) AS y1 FROM customer)
+SELECT c_custkey, CASE WHEN NOT (x0 BETWEEN -180 AND 180 AND x1 BETWEEN -180 AND 180 AND y0 BETWEEN -90 AND 90 AND y1 BETWEEN -90 AND 90) THEN 'range' WHEN x0 >= x1 OR y0 >= y1 THEN 'order' END AS problem,
+x0 <= 40.05 AND x1 >= -40.05 AND y0 <= 30.05 AND y1 >= -30.05 AS meets FROM b""")
+def _(spark, sf_dir):
+    k = F.col("c_custkey")
+    b = D.table(spark, sf_dir, "customer").select("c_custkey", (k * 37 % 400 - 200).alias("x0"), (k * 53 % 200 - 100).alias("y0"), (k * 37 % 400 - 200 + k % 7 - 1).alias("x1"), (k * 53 % 200 - 100 + k % 5).alias("y1"))
+    box = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
+    return b.select("c_custkey", aoi.bbox_problem(*box).alias("problem"), aoi.overlaps(*box, (-40, -30, 40, 30)).alias("meets"))
+
+
+# ---- screening -------------------------------------------------------------------------
+
+
+def _screened(spark, sf_dir) -> DataFrame:
+    return screening.screen(D.screen_input(spark, sf_dir))
+
+
+@query("classify_cases", f"""WITH {D.CASES} SELECT bin, "row", col, CAST(diagnostic_case AS INT) AS diagnostic_case FROM cases""")
+def _(spark, sf_dir):
+    return _screened(spark, sf_dir).select("bin", "row", "col", F.col("diagnostic_case").cast("int").alias("diagnostic_case"))
+
+
+@query("classify_without_swi", f"""WITH {D.CASES} SELECT bin, "row", col, CAST(CASE WHEN a::INT + d::INT >= 2 THEN 5 WHEN a THEN 1 WHEN d THEN 4 WHEN z_r IS NOT NULL AND (z_ndvi IS NOT NULL OR delta_swi_14d IS NOT NULL) THEN 0 ELSE -1 END AS INT) AS diagnostic_case FROM fired""")
+def _(spark, sf_dir):
+    return screening.screen(D.screen_input(spark, sf_dir), swi_enabled=False).select("bin", "row", "col", F.col("diagnostic_case").cast("int").alias("diagnostic_case"))
+
+
+@query("evidence_confidence", f"""WITH {D.SCREEN} SELECT bin, "row", col, CAST(CAST((CASE WHEN z_ndvi IS NULL THEN 0 ELSE 1 END + CASE WHEN z_r IS NULL THEN 0 ELSE 1 END + CASE WHEN delta_swi_14d IS NULL THEN 0 ELSE 1 END) / 3 AS FLOAT) AS DOUBLE) AS confidence FROM screen""")
+def _(spark, sf_dir):
+    return _screened(spark, sf_dir).select("bin", "row", "col", F.col("evidence_confidence").cast("double").alias("confidence"))
+
+
+_HIST = D.CASES + """, hist AS (SELECT bin, bin_start, """ + ", ".join(f"CAST(count(CASE WHEN diagnostic_case = {code} THEN 1 END) AS INT) AS {name}" for code, name in screening.COUNTS.items()) + """ FROM cases GROUP BY 1, 2),
+dominant AS (SELECT *, CASE WHEN greatest(case_b_pixels, case_d_pixels, multi_signal_pixels, case_a_pixels) = 0 THEN 'NORMAL' WHEN case_b_pixels = greatest(case_b_pixels, case_d_pixels, multi_signal_pixels, case_a_pixels) THEN 'CASE_B'
+  WHEN case_d_pixels = greatest(case_b_pixels, case_d_pixels, multi_signal_pixels, case_a_pixels) THEN 'CASE_D' WHEN multi_signal_pixels = greatest(case_b_pixels, case_d_pixels, multi_signal_pixels, case_a_pixels) THEN 'MULTI_SIGNAL' ELSE 'CASE_A' END AS dominant_case FROM hist)"""
+
+
+@query("class_histogram", f"WITH {_HIST} SELECT bin, {', '.join(screening.COUNTS.values())} FROM hist")
+def _(spark, sf_dir):
+    return screening.class_histogram(_screened(spark, sf_dir))
+
+
+@query("dominant_case", f"WITH {_HIST} SELECT bin, dominant_case FROM dominant")
+def _(spark, sf_dir):
+    return screening.with_dominant(screening.class_histogram(_screened(spark, sf_dir))).select("bin", "dominant_case")
+
+
+@query("series_means", f"WITH {D.SCREEN} SELECT bin, round(avg(CAST(z_r AS DOUBLE)), 5) AS mean_z_r, round(avg(CAST(swi AS DOUBLE)), 5) AS mean_swi FROM screen GROUP BY 1")
+def _(spark, sf_dir):
+    return reporting.series_means(D.screen_input(spark, sf_dir), ["z_r", "swi"]).select("bin", _r("mean_z_r", 5), _r("mean_swi", 5))
+
+
+_PERSIST = D.CASES + """, persisted AS (SELECT "row", col, CAST(count(CASE WHEN diagnostic_case IN (1, 2, 4, 5) THEN 1 END) AS INT) AS actionable_recurrence_count, CAST(count(CASE WHEN diagnostic_case = 1 THEN 1 END) AS INT) AS case_a_recurrence_count,
+  CAST(count(CASE WHEN diagnostic_case = 2 THEN 1 END) AS INT) AS case_b_recurrence_count, CAST(count(CASE WHEN diagnostic_case = 4 THEN 1 END) AS INT) AS case_d_recurrence_count,
+  CAST(count(CASE WHEN diagnostic_case = 5 THEN 1 END) AS INT) AS multi_recurrence_count, CAST(count(CASE WHEN diagnostic_case <> -1 THEN 1 END) AS INT) AS valid_observation_count FROM cases GROUP BY 1, 2)"""
+
+
+@query("persistence", f"""WITH {_PERSIST} SELECT *, round(CAST(CAST(CASE WHEN valid_observation_count > 0 THEN actionable_recurrence_count / valid_observation_count ELSE 0 END AS FLOAT) AS DOUBLE), 6) AS actionable_recurrence_freq FROM persisted""")
+def _(spark, sf_dir):
+    out = reporting.persistence(_screened(spark, sf_dir))
+    return out.withColumn("actionable_recurrence_freq", F.round(F.col("actionable_recurrence_freq").cast("double"), 6))
+
+
+@query("hotspot_stats", f"""WITH {_PERSIST} SELECT count(*) AS pixels, {", ".join(f"count(CASE WHEN actionable_recurrence_count >= {k} THEN 1 END) AS n_ge_{k}, round(count(CASE WHEN actionable_recurrence_count >= {k} THEN 1 END) / count(*) * 100, 2) AS pct_ge_{k}" for k in (1, 3, 6))} FROM persisted""")
+def _(spark, sf_dir):
+    return reporting.hotspots(reporting.persistence(_screened(spark, sf_dir)))
+
+
+_SUMS = _HIST + """, areas AS (SELECT bin, CAST(count(*) AS INT) AS cluster_count, count(*) * 0.09::DOUBLE AS total_area_ha FROM cases WHERE diagnostic_case IN (1, 2, 5) GROUP BY 1),
+bins AS (SELECT d.*, coalesce(cluster_count, 0) AS cluster_count, coalesce(total_area_ha, 0) AS total_area_ha, CAST(bin + 1 AS INT) AS bin_index FROM dominant d LEFT JOIN areas USING (bin))"""
+
+
+def _bins(spark, sf_dir) -> DataFrame:
+    screened = _screened(spark, sf_dir)
+    zones_like = screened.where("diagnostic_case in (1, 2, 5)").select("bin", F.lit(900.0).alias("area_m2"))
+    return reporting.bin_summaries(screened, zones_like)
+
+
+@query("season_summary", f"""WITH {_SUMS}, p AS (SELECT *, row_number() OVER (ORDER BY bin_index) AS position, cluster_count > 0 OR total_area_ha > 0 AS busy FROM bins)
+SELECT count(*) AS n_bins, CAST(sum(cluster_count) AS BIGINT) AS total_extracted_clusters, round(sum(total_area_ha), 2) AS total_candidate_area_ha_cumulative, count(CASE WHEN busy THEN 1 END) AS actionable_bin_count,
+min(CASE WHEN busy THEN bin_start END) AS first_actionable_date, max(CASE WHEN busy THEN bin_start END) AS last_actionable_date, round(max(total_area_ha), 2) AS max_single_bin_area_ha,
+CAST((SELECT position FROM p ORDER BY total_area_ha DESC, position LIMIT 1) AS INT) AS max_area_bin_index, {", ".join(f"CAST(sum({n}) AS BIGINT) AS {n}" for n in screening.COUNTS.values())} FROM p""")
+def _(spark, sf_dir):
+    return reporting.season_summary(_bins(spark, sf_dir))
+
+
+@query("area_timeline", f"""WITH {_SUMS}, t AS (SELECT *, case_a_pixels + case_b_pixels + case_d_pixels + multi_signal_pixels AS px FROM bins)
+SELECT bin_index, bin_start, {", ".join(f"round(CASE WHEN px > 0 AND total_area_ha > 0 THEN total_area_ha * ({c} / px) ELSE 0 END, 6) AS {n}" for c, n in (("case_a_pixels", "case_a_area_ha"), ("case_b_pixels", "case_b_area_ha"), ("case_d_pixels", "case_d_area_ha"), ("multi_signal_pixels", "multi_area_ha")))} FROM t""")
+def _(spark, sf_dir):
+    out = reporting.area_timeline(_bins(spark, sf_dir))
+    return out.select("bin_index", "bin_start", *(_r(c) for c in ("case_a_area_ha", "case_b_area_ha", "case_d_area_ha", "multi_area_ha")))
+
+
+# ---- zones -----------------------------------------------------------------------------
+
+
+@query("opening_3x3", f"""WITH {D.flagged_sql(23)}, {D.OPENED} SELECT "row", col FROM opened""")
+def _(spark, sf_dir):
+    return zones.opening(D.flagged(spark, sf_dir, 23)).select("row", "col")
+
+
+@query("connected_components_8", f"""WITH RECURSIVE {D.flagged_sql(25.5)}, cells AS (SELECT "row", col FROM mask), {D.LABELLED} SELECT "row", col, comp_id FROM labels""")
+def _(spark, sf_dir):
+    return zones.label_components(D.flagged(spark, sf_dir, 25.5), tile=16).select("row", "col", "comp_id")
+
+
+_ZONES = f"""WITH RECURSIVE {D.flagged_sql(23)}, {D.OPENED}, cells AS (SELECT "row", col FROM opened), {D.LABELLED}"""
+
+
+def _zone_labels(spark, sf_dir) -> DataFrame:
+    return zones.label_components(zones.opening(D.flagged(spark, sf_dir, 23)))
+
+
+_VALUES = """vals AS (SELECT l_partkey % 50 AS "row", l_suppkey % 40 AS col, CAST(max(l_linenumber) % 6 AS TINYINT) AS diagnostic_case, avg(l_quantity) AS z FROM lineitem GROUP BY 1, 2)"""
+
+
+def _zone_stats(spark, sf_dir) -> DataFrame:
+    values = D.table(spark, sf_dir, "lineitem").groupBy(F.lit(0).cast("bigint").alias("bin"), F.expr("l_partkey % 50").alias("row"), F.expr("l_suppkey % 40").alias("col")).agg((F.max("l_linenumber") % 6).cast("tinyint").alias("diagnostic_case"), F.avg("l_quantity").alias("z"))
+    return zones.zone_stats(_zone_labels(spark, sf_dir), values, covariates=["z"])
+
+
+@query("zone_stats_mmu", f"""{_ZONES}, {_VALUES}, n AS (SELECT comp_id, diagnostic_case, count(*) AS k FROM labels JOIN vals USING ("row", col) GROUP BY 1, 2),
+top AS (SELECT comp_id, arg_min(diagnostic_case, (-k, diagnostic_case)) AS c FROM n GROUP BY 1),
+z AS (SELECT comp_id, count(*) AS pixel_count, avg(z) AS mean_z FROM labels JOIN vals USING ("row", col) GROUP BY 1)
+SELECT comp_id, pixel_count, round(mean_z, 6) AS mean_z, CAST(c AS INT) AS "case", pixel_count * 900.0::DOUBLE AS area_m2 FROM z JOIN top USING (comp_id) WHERE pixel_count * 900 >= 20000""")
+def _(spark, sf_dir):
+    return zones.large_enough(_zone_stats(spark, sf_dir)).select("comp_id", "pixel_count", _r("mean_z"), F.col("case").cast("int").alias("case"), "area_m2")
+
+
+@query("zone_edges", f"""{_ZONES}, e AS (SELECT comp_id, "row" AS r0, col AS c0, "row" AS r1, col + 1 AS c1 FROM labels UNION ALL SELECT comp_id, "row", col + 1, "row" + 1, col + 1 FROM labels UNION ALL SELECT comp_id, "row" + 1, col + 1, "row" + 1, col FROM labels UNION ALL SELECT comp_id, "row" + 1, col, "row", col FROM labels)
+SELECT comp_id, r0, c0, r1, c1 FROM e WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.comp_id = e.comp_id AND b.r0 = e.r1 AND b.c0 = e.c1 AND b.r1 = e.r0 AND b.c1 = e.c0)""")
+def _(spark, sf_dir):
+    return zones.boundary_edges(_zone_labels(spark, sf_dir)).select("comp_id", "r0", "c0", "r1", "c1")
+
+
+@query("zone_centroids", f"""{_ZONES} SELECT comp_id, round(avg("row"), 6) AS "row", round(avg(col), 6) AS col, 'SC-20230301-' || lpad(CAST(comp_id AS VARCHAR), 4, '0') AS zone_id FROM labels GROUP BY comp_id""")
+def _(spark, sf_dir):
+    out = _zone_labels(spark, sf_dir).groupBy("comp_id").agg(F.round(F.avg("row"), 6).alias("row"), F.round(F.avg("col"), 6).alias("col"))
+    return out.withColumn("zone_id", zones.zone_id(F.lit("2023-03-01").cast("date"), F.col("comp_id")))
+
+
+@query("pipeline_report", f"""{_ZONES}, z AS (SELECT comp_id, count(*) * 900 AS m2 FROM labels GROUP BY 1)
+SELECT (SELECT count(*) FROM mask) AS raw_actionable_pixels, (SELECT count(*) FROM opened) AS post_morphology_pixels, count(*) AS n_connected_components, count(CASE WHEN m2 < 20000 THEN 1 END) AS n_components_removed_mmu,
+count(CASE WHEN m2 >= 20000 THEN 1 END) AS n_surviving_clusters, coalesce(sum(CASE WHEN m2 >= 20000 THEN m2 END), 0)::DOUBLE AS final_total_area_m2 FROM z""")
+def _(spark, sf_dir):
+    mask = D.flagged(spark, sf_dir, 23)
+    opened = zones.opening(mask)
+    stats = zones.label_components(opened).groupBy("bin", "comp_id").agg((F.count(F.lit(1)) * F.lit(900.0)).alias("area_m2"))
+    out = zones.zone_report(mask.withColumn("diagnostic_case", F.lit(1)), opened, stats)
+    return out.select("raw_actionable_pixels", "post_morphology_pixels", "n_connected_components", "n_components_removed_mmu", "n_surviving_clusters", "final_total_area_m2")
+
+
+@query("zones_geojson")
+def _(spark, sf_dir):
+    features, _ = zones.scouting_zones(_screened(spark, sf_dir), _X0, _Y0, opened=False)
+    return features.select("bin", "comp_id", "feature")
+
+
+# ---- the seasonal run --------------------------------------------------------------------
+
+
+def _season(spark: SparkSession, sf_dir: str) -> season.Season:
+    soil = D.soil(spark, sf_dir).select("t", "lat_i", "lon_i", (F.col("lat_i") * 0.1).alias("lat"), (35 + F.col("lon_i") * 0.1).alias("lon"), "s1")
+    wet = D.rain(spark, sf_dir).select("t", F.expr("nation div 5").alias("lat_i"), F.expr("nation % 5").alias("lon_i"), (F.expr("nation div 5") * 0.25).alias("lat"), (35 + F.expr("nation % 5") * 0.25).alias("lon"), "rainfall")
+    base, rain = wet.where("t between date'1995-01-01' and date'2000-12-31'"), wet.where("year(t) = 2001")
+    rain = rain.withColumn("t", F.add_months("t", 12 * 23))  # the target year, moved to that of the soil
+    cells = spark.range(100).select(F.expr("id div 10").alias("row"), F.expr("id % 10").alias("col"))
+    cells = cells.select("row", "col", (F.col("row") * 0.1).alias("lat"), (35 + F.col("col") * 0.1).alias("lon"))
+    starts = spark.createDataFrame([(k, d) for k, d in enumerate(BINS)], "bin int, bin_start date")
+    series = materialize(_composite(spark, sf_dir), "composite")
+    last = series.where("bin % 26 < 3").groupBy(F.expr("bin % 26").cast("int").alias("bin"), "row", "col").agg(F.last("ndvi", True).alias("ndvi")).join(starts, "bin")
+    clim = series.groupBy(F.month("bin_start").alias("month"), "row", "col").agg(F.avg("ndvi").alias("mean"), F.stddev_pop("ndvi").alias("std"), F.sum("valid_obs_count").alias("count"))
+    return season.run(soil, base, rain, last, clim, cells, BINS, (_X0, _Y0), opened=False)
+
+
+@query("seasonal_run")
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chain, down to a row for each bin."""
+    return _season(spark, sf_dir).bins

@@ -1 +1 @@
-
+"""Readers, checks and writers of gridded tables."""
