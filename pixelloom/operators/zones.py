@@ -127,7 +127,8 @@ def boundary_edges(labels: DataFrame) -> DataFrame:
     corners = [((r, c), (r, c + 1)), ((r, c + 1), (r + 1, c + 1)), ((r + 1, c + 1), (r + 1, c)), ((r + 1, c), (r, c))]
     sides = F.array(*(F.struct(a[0].alias("r0"), a[1].alias("c0"), b[0].alias("r1"), b[1].alias("c1")) for a, b in corners))
     edges = labels.select("bin", "comp_id", F.explode(sides).alias("e")).select("bin", "comp_id", "e.*")
-    low, high = F.least(F.struct("r0", "c0"), F.struct("r1", "c1")), F.greatest(F.struct("r0", "c0"), F.struct("r1", "c1"))
+    ends = [F.struct(F.col(f"r{k}").alias("r"), F.col(f"c{k}").alias("c")) for k in (0, 1)]
+    low, high = F.least(*ends), F.greatest(*ends)
     own = edges.groupBy("bin", "comp_id", low.alias("a"), high.alias("b")).agg(F.count(F.lit(1)).alias("n"), F.first(F.struct("r0", "c0", "r1", "c1")).alias("e")).where("n = 1")
     return own.select("bin", "comp_id", "e.*")
 
