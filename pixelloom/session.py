@@ -64,3 +64,8 @@ def _drop(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
     except Exception:  # the gateway may be gone already; the folder is scratch
         return
+
+
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Bound the bytes of an Arrow batch that Python workers get, for rows that may be wide."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
