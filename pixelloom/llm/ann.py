@@ -15,7 +15,8 @@ longer lists are split.
 
 Results for odd input: vectors that are null, empty, zero, or hold null or non-finite
 components take no part, nor do those without a vec_id or of another than the most
-frequent length (the longer one on a tie); repeated rows of one vec_id count once; with
+frequent length (the longer one on a tie); repeated rows of one vec_id count once, and
+of different vectors under one vec_id the better one, which can leave fewer than k; with
 fewer candidates than k, all of them are returned; other columns are ignored; an empty
 table gives no rows.
 """
@@ -29,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelloom.llm.tokens import tidied
 from pixelloom.session import materialize
 
 K = 20
@@ -146,6 +148,8 @@ def _folded(ids: np.ndarray, x: np.ndarray, most: int) -> np.ndarray:
     rows = np.ascontiguousarray(x + 0.0).view(np.dtype((np.void, x.shape[1] * 8)))[:, 0]
     _, kind = np.unique(rows, return_inverse=True)
     order = np.lexsort((ids, kind))
+    again = np.r_[False, (kind[order][1:] == kind[order][:-1]) & (ids[order][1:] == ids[order][:-1])]
+    order = order[~again]  # a repeated row counts once
     kind = kind[order]
     first = np.flatnonzero(np.r_[True, kind[1:] != kind[:-1]])
     place = np.arange(len(kind)) - np.repeat(first, np.diff(np.r_[first, len(kind)]))
@@ -184,7 +188,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: float = P
             where = nearest(lifted(m[keep], top) @ turn, centroids, 1)[:, 0]
             yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), *(c.take(pa.array(keep)) for c in batch.columns)], names=["list", "vec_id", "embedding"])
 
-    indexed = materialize(x.mapInArrow(assign, "list int, vec_id bigint, embedding array<double>"), "lists")
+    indexed = materialize(x.mapInArrow(tidied(assign), "list int, vec_id bigint, embedding array<double>"), "lists")
     sizes = np.zeros(len(sent.value[0]), np.int64)
     for row in indexed.groupBy("list").count().collect():  # MOST_LISTS rows at most
         sizes[row["list"]] = row["count"]
@@ -222,7 +226,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: float = P
                             lists.append(mine)
                 yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), *(c.take(pa.array(row, pa.int64())) for c in some.columns), pa.array(lists, pa.list_(pa.int32()))], names=["cell", "kind", "embedding", "lists"])
 
-    asked = kinds.select("kind", "embedding").mapInArrow(choose, "cell bigint, kind bigint, embedding array<double>, lists array<int>")
+    asked = kinds.select("kind", "embedding").mapInArrow(tidied(choose), "cell bigint, kind bigint, embedding array<double>, lists array<int>")
     turns = F.array(*(F.lit(int(b)) for b in blocks))
     bases = F.array(*(F.lit(int(c)) for c in cell_of))
     at = F.col("list") + 1
@@ -252,7 +256,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: float = P
     stored = stored.withColumn("wave", F.explode(F.sequence(F.lit(0), F.lit(waves - 1)).cast("array<bigint>")))
     hits = stored.groupBy("cell", "wave").cogroup(asked.groupBy("cell", "wave")).applyInArrow(look, "kind bigint, vec_id bigint, score double")
     order = [F.desc("score"), F.asc("vec_id")]
-    top_of = hits.distinct().withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(*order))).where(F.col("place") <= k + 1).drop("place")
+    top_of = hits.groupBy("kind", "vec_id").agg(F.max("score").alias("score")).withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(*order))).where(F.col("place") <= k + 1).drop("place")
     names = kinds.withColumnRenamed("embedding", "of")
     members = q.join(names, F.col("embedding") == F.col("of")).select(F.col("vec_id").alias("query_id"), "kind").distinct()
     pairs = members.join(top_of, "kind").where("vec_id <> query_id").select("query_id", "vec_id", "score").distinct()

@@ -29,7 +29,9 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-KEPT_PIECES = 1_000_000  # pieces whose ids a worker keeps
+from pixelloom.llm.tokens import tidied
+
+KEPT_PIECES = 500_000  # pieces whose ids a worker keeps
 KEPT_LENGTH = 40
 
 #: Fixed value: the pattern that the standard library's faster engine can stand in for.
@@ -188,7 +190,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
             columns = [*batch.columns, *(pa.array([np.asarray(x, np.int32) for x in c], f.type) for c, f in zip(new, out, strict=True))]
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([*batch.schema, *out]))
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidied(run), schema)
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
@@ -203,7 +205,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids") -> Data
             texts = [coder.decode(np.asarray(x or [], np.int64)) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], schema=pa.schema([*batch.schema, pa.field("decoded", pa.string())]))
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidied(run), schema)
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -225,7 +227,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op4_byte_bpe(spark, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelloom.llm.tokens import tidied
 from pixelloom.session import materialize
 
 TRIE_BYTES = 64 << 20  # label bytes a task holds before it spills a subtree
@@ -196,9 +197,9 @@ def owners(docs: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
     norm = normalised(F.col("text"))
     rows = docs.select(norm.alias("norm"), F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("n_points"), F.col("doc_id").cast("bigint").alias("doc_id"))
     rows = rows.select(F.octet_length("norm").cast("bigint").alias("n_bytes"), F.xxhash64("norm").alias("content_hash"), F.col("norm").cast("binary").alias("norm"), "n_points", "doc_id", F.lit(1).cast("bigint").alias("n"))
-    local = rows.mapInArrow(_owners(trie_bytes, False), _PART)
+    local = rows.mapInArrow(tidied(_owners(trie_bytes, False)), _PART)
     dealt = local.repartition("n_bytes", "content_hash").sortWithinPartitions("n_bytes", "content_hash")
-    parts = dealt.mapInArrow(_owners(trie_bytes, True), _PART).select(F.sha2("norm", 256).alias("text_sha256"), "n_points", "doc_id", "n")
+    parts = dealt.mapInArrow(tidied(_owners(trie_bytes, True)), _PART).select(F.sha2("norm", 256).alias("text_sha256"), "n_points", "doc_id", "n")
     best = F.min(F.struct((-F.col("n_points")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id"))
     return parts.groupBy("text_sha256").agg(best.alias("best"), F.sum("n").alias("group_size")).select("text_sha256", F.col("best.doc_id").alias("keep_id"), "group_size")
 

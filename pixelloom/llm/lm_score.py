@@ -32,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.tokens import Words, mix, text_buffers, text_windows, windows
+from pixelloom.llm.tokens import Words, mix, text_buffers, text_windows, tidied, windows
 from pixelloom.session import materialize
 
 CLASSES = 32
 HASHED = 1 << 15  # weights of hashed words and pairs
 WEIGHTS = HASHED + CLASSES**3  # as many as 16 bits number
 ROUNDS = 1
-STEP = 16_384  # tokens in a gradient step
+STEP = 2048  # tokens in a gradient step
 RATE = 0.3
 BLOCK_BYTES = 32 << 20  # text in a block that is scored at once, about
 CHUNK = 1 << 14  # weights in a row on their way to being averaged
@@ -169,7 +169,7 @@ def word_counts(training: DataFrame) -> DataFrame:
                         parts = []
         yield from give(parts)
 
-    local = training.select("text").mapInArrow(run, "key bigint, class tinyint, n bigint")
+    local = training.select("text").mapInArrow(tidied(run), "key bigint, class tinyint, n bigint")
     return local.groupBy("key", "class").agg(F.sum("n").alias("n"))
 
 
@@ -185,7 +185,7 @@ def _averaged(rows: DataFrame) -> DataFrame:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["chunk", "total"])
 
-    return rows.repartition("chunk").mapInArrow(run, "chunk int, total binary")
+    return rows.repartition("chunk").mapInArrow(tidied(run), "chunk int, total binary")
 
 
 def train(training: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
@@ -206,7 +206,7 @@ def train(training: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
                 chunks = range(-(-len(flat) // CHUNK))
                 yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array([trainer.tokens] * len(chunks), pa.int64()), pa.array([flat[c * CHUNK : (c + 1) * CHUNK].tobytes() for c in chunks], pa.binary())], names=["chunk", "tokens", "weights"])
 
-        parts = materialize(training.select("text").mapInArrow(run, "chunk int, tokens bigint, weights binary"), "weights")
+        parts = materialize(training.select("text").mapInArrow(tidied(run), "chunk int, tokens bigint, weights binary"), "weights")
         tokens = parts.where("chunk = 0").agg(F.sum("tokens")).first()[0]
         if not tokens:
             break
@@ -244,7 +244,7 @@ def score(docs: DataFrame, is_held_out: Column | None = None, rounds: int = ROUN
                 for a in range(0, len(keys), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[a : a + 100_000]), block)), pa.array(keys[a : a + 100_000])], names=["block", "key"])
 
-    asked = dealt.select("block", "text").mapInArrow(distinct, "block bigint, key bigint")
+    asked = dealt.select("block", "text").mapInArrow(tidied(distinct), "block bigint, key bigint")
     known = asked.join(vocabulary.select("key", "n"), "key").select("block", "key", "n")
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:

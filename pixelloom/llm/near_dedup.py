@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.llm.graph import connected_components
-from pixelloom.llm.tokens import Words, mix, text_windows
+from pixelloom.llm.tokens import Words, mix, text_windows, tidied
 from pixelloom.session import materialize
 
 TABLES = 16  # hash groups in each of the two collections
@@ -90,7 +90,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(groups, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "groups"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, groups array<bigint>")
+    return rows.mapInArrow(tidied(run), "doc_id bigint, n_shingles bigint, digest binary, groups array<bigint>")
 
 
 def _full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -103,7 +103,7 @@ def _full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "n", "shingles"])
 
     found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    return found.mapInArrow(run, "id bigint, n bigint, shingles binary").dropDuplicates(["id"])
+    return found.mapInArrow(tidied(run), "id bigint, n bigint, shingles binary").dropDuplicates(["id"])
 
 
 def sketch_of(shingles: np.ndarray) -> np.ndarray:
@@ -139,7 +139,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     right = sets.select(F.col("id").alias("dst"), F.col("n").alias("n_dst"), F.col("shingles").alias("t"))
     near = (F.col("n_src") * 100 >= F.col("n_dst") * percent) & (F.col("n_dst") * 100 >= F.col("n_src") * percent)
     both = pairs.select("src", "dst").join(left, "src").join(right, "dst").where(near)
-    return both.select("src", "dst", "s", "t").mapInArrow(run, "src bigint, dst bigint")
+    return both.select("src", "dst", "s", "t").mapInArrow(tidied(run), "src bigint, dst bigint")
 
 
 def _labelled(members: DataFrame, parts: DataFrame, key: str = "id") -> DataFrame:
@@ -173,7 +173,7 @@ def _sketched_pairs(ids: DataFrame, own: DataFrame, sets: DataFrame, parts: Data
             made = [sketch_of(np.frombuffer(x.as_py(), np.uint64)).tobytes() for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["id", "n", "sketch"])
 
-    drawn = sets.join(ids, "id", "left_semi").select("id", "n", "shingles").mapInArrow(sketches, "id bigint, n bigint, sketch binary")
+    drawn = sets.join(ids, "id", "left_semi").select("id", "n", "shingles").mapInArrow(tidied(sketches), "id bigint, n bigint, sketch binary")
     rows = _labelled(drawn, parts).join(own.select("id", F.slice("groups", 1, TABLES).alias("a")), "id")
     rows = materialize(rows.select("id", "component", "n", "a", "sketch"), "sketches")
     keys = rows.select("id", "component", F.posexplode("a").alias("place", "g"))

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelloom.llm.bpe import encoder_of, model_json
+from pixelloom.llm.tokens import tidied
 from pixelloom.session import materialize
 
 WIDTH = 1024
@@ -58,7 +59,7 @@ def token_runs(docs: DataFrame, path: str, pattern: str, end: int = END) -> Data
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    runs = docs.select("doc_id", "text").mapInArrow(run, f"part int, local_start bigint, doc_id {kind}, n bigint, ids binary, wide boolean")
+    runs = docs.select("doc_id", "text").mapInArrow(tidied(run), f"part int, local_start bigint, doc_id {kind}, n bigint, ids binary, wide boolean")
     return materialize(runs, "ids")
 
 
@@ -85,7 +86,7 @@ def cut(runs: DataFrame, width: int = WIDTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field(0).type), *(pa.array(c, pa.int64()) for c in out[1:])], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     kind = runs.schema["doc_id"].dataType.simpleString()
-    return placed.mapInArrow(run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return placed.mapInArrow(tidied(run), f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
 
 
 def pack(docs: DataFrame, path: str, pattern: str, width: int = WIDTH, end: int = END) -> DataFrame:
@@ -106,7 +107,7 @@ def sequences(runs: DataFrame, pieces: DataFrame, width: int = WIDTH, pad: int =
             yield pa.RecordBatch.from_arrays([pa.array(seq, pa.int64()), pa.array(off, pa.int64()), pa.array(cuts, pa.list_(pa.int32()))], names=["sequence_id", "offset", "part"])
 
     joined = pieces.join(runs.select("doc_id", "ids", "wide"), "doc_id")
-    parts = joined.mapInArrow(run, "sequence_id bigint, offset bigint, part array<int>")
+    parts = joined.mapInArrow(tidied(run), "sequence_id bigint, offset bigint, part array<int>")
     whole = parts.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "part"))).alias("parts"))  # at most width pieces
     ids = F.flatten("parts.part")
     size = F.size("ids")

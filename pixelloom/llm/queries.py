@@ -7,12 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from pixelloom.llm import ann, bpe, exact_dedup, lm_score, near_dedup, packing, passages, secrets, toxicity, url_filter
+from pixelloom.session import small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _bounded(f: Query) -> Query:
+    """The query with small Arrow batches, since texts and sets can be wide."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
-    return {
+    found = {
         "op1_lm_score": lm_score.op1_lm_score,
         "op2_secret_scan": secrets.op2_secret_scan,
         "op3_packing": packing.op3_packing,
@@ -24,6 +35,7 @@ def queries() -> dict[str, Query]:
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
         "op10_ann": ann.op10_ann,
     }
+    return {name: _bounded(f) for name, f in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:

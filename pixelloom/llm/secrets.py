@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.tokens import hash_words, text_buffers, text_windows
+from pixelloom.llm.tokens import hash_words, text_buffers, text_windows, tidied
 
 SAMPLE = 1_500  # documents of either sort that the field is trained on, at most
 SAMPLE_CHARS = 20_000  # longer documents are not in that sample
@@ -382,7 +382,7 @@ def find_secrets(docs: DataFrame, field: Field) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *counts, pa.array(base, pa.string()), pa.array([_named(s) for s in all_spans], pa.string())], names=names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, n_crf bigint, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {kind}, n_assign bigint, n_access bigint, n_hex bigint, n_crf bigint, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, field: Field, mark: str = "[SECRET]") -> DataFrame:
@@ -406,7 +406,7 @@ def redact(docs: DataFrame, field: Field, mark: str = "[SECRET]") -> DataFrame:
                     texts.append(text)
             yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, batch.schema.field("text").type))
 
-    out = docs.mapInArrow(run, docs.schema)
+    out = docs.mapInArrow(tidied(run), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

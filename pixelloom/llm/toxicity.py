@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.tokens import hash_words, text_buffers, text_windows, windows, word_bounds
+from pixelloom.llm.tokens import hash_words, text_buffers, text_windows, tidied, windows, word_bounds
 
 SAMPLE = 2_000
 LANDMARKS = 160
@@ -337,7 +337,7 @@ def score(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(sent.value.scores(data, offsets), pa.float64())], names=["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    out = docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {kind}, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= reject).cast("int").alias("predicted"))
 
 
@@ -350,7 +350,7 @@ def keep_clean(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFra
             good = [sent.value.scores(data, offsets) < reject for _, _, data, offsets in text_windows(batch, "text")]
             yield batch.filter(pa.array(np.concatenate(good) if good else np.zeros(0, bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
