@@ -334,7 +334,22 @@ def _(spark, sf_dir):
     return flat.select("c_custkey", F.round(projection.cea_lon(F.col("x")), 6).alias("lon"), F.round(projection.cea_lat(F.col("y")), 6).alias("lat"))
 
 
-@query("utm_inverse")
+def _utm_sql() -> str:
+    """Snyder's inverse series in SQL, with the constants of the ellipsoid."""
+    e2 = projection.E2
+    e1 = (1 - (1 - e2) ** 0.5) / (1 + (1 - e2) ** 0.5)
+    ep2, d = e2 / (1 - e2), lambda v: f"{v!r}::DOUBLE"
+    mu = d(projection.A * (1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256))
+    return f"""WITH p AS (SELECT c_custkey, 300000 + c_custkey % 4000 * 100 AS x, 9000000 + c_custkey % 9000 * 100 AS y FROM customer),
+a AS (SELECT *, (y - 10000000) / 0.9996::DOUBLE / {mu} AS mu, (x - 500000) / 0.9996::DOUBLE AS east FROM p),
+b AS (SELECT *, mu + {d(3 * e1 / 2 - 27 * e1**3 / 32)} * sin(2 * mu) + {d(21 * e1**2 / 16 - 55 * e1**4 / 32)} * sin(4 * mu) + {d(151 * e1**3 / 96)} * sin(6 * mu) + {d(1097 * e1**4 / 512)} * sin(8 * mu) AS f FROM a),
+c AS (SELECT *, tan(f) ** 2 AS t, {d(ep2)} * cos(f) ** 2 AS c1, {d(projection.A)} / sqrt(1 - {d(e2)} * sin(f) ** 2) AS n1, {d(projection.A * (1 - e2))} / (1 - {d(e2)} * sin(f) ** 2) ** 1.5::DOUBLE AS r1 FROM b),
+e AS (SELECT *, east / n1 AS g FROM c)
+SELECT c_custkey, round(33 + degrees((g - (1 + 2 * t + c1) * g ** 3 / 6 + (5 - 2 * c1 + 28 * t - 3 * c1 * c1 + 8 * {d(ep2)} + 24 * t * t) * g ** 5 / 120) / cos(f)), 7) AS lon,
+round(degrees(f - n1 * tan(f) / r1 * (g * g / 2 - (5 + 3 * t + 10 * c1 - 4 * c1 * c1 - 9 * {d(ep2)}) * g ** 4 / 24 + (61 + 90 * t + 298 * c1 + 45 * t * t - 252 * {d(ep2)} - 3 * c1 * c1) * g ** 6 / 720)), 7) AS lat FROM e"""
+
+
+@query("utm_inverse", _utm_sql())
 def _(spark, sf_dir):
     at = D.table(spark, sf_dir, "customer").select("c_custkey", (300_000.0 + F.col("c_custkey") % 4000 * 100).alias("x"), (9_000_000.0 + F.col("c_custkey") % 9000 * 100).alias("y"))
     lat, lon = projection.utm_latlon(F.col("x"), F.col("y"))
@@ -551,7 +566,7 @@ def _season(spark: SparkSession, sf_dir: str) -> season.Season:
     cells = cells.select("row", "col", (F.col("row") * 0.1).alias("lat"), (35 + F.col("col") * 0.1).alias("lon"))
     starts = spark.createDataFrame([(k, d) for k, d in enumerate(BINS)], "bin int, bin_start date")
     series = materialize(_composite(spark, sf_dir), "composite")
-    last = series.where("bin % 26 < 3").groupBy(F.expr("bin % 26").cast("int").alias("bin"), "row", "col").agg(F.last("ndvi", True).alias("ndvi")).join(starts, "bin")
+    last = series.where("bin % 26 < 3").groupBy(F.expr("bin % 26").cast("int").alias("bin"), "row", "col").agg(F.max("ndvi").alias("ndvi")).join(starts, "bin")
     clim = series.groupBy(F.month("bin_start").alias("month"), "row", "col").agg(F.avg("ndvi").alias("mean"), F.stddev_pop("ndvi").alias("std"), F.sum("valid_obs_count").alias("count"))
     return season.run(soil, base, rain, last, clim, cells, BINS, (_X0, _Y0), opened=False)
 
@@ -560,3 +575,32 @@ def _season(spark: SparkSession, sf_dir: str) -> season.Season:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole chain, down to a row for each bin."""
     return _season(spark, sf_dir).bins
+
+
+def _nearest_sql(name: str, source: str, axis: str, index: str, step: float) -> str:
+    """The index of the source's axis nearest to each of the ten cells' coordinates, on a tie the lowest."""
+    return f"""{name} AS (SELECT k, arg_min({index}, (abs(k * 0.1::DOUBLE - {index} * {step}::DOUBLE), {index})) AS {index} FROM range(0, 10) {axis}(k), (SELECT DISTINCT {index} FROM {source}) GROUP BY 1)"""
+
+
+_SEASON_CLASSES = f"""WITH comp AS ({_COMPOSITE} SELECT * FROM composite),
+wet AS ({_BINS} SELECT bin, bin_start, lat_i, lon_i, s1, s1 - lag(s1) OVER (PARTITION BY lat_i, lon_i ORDER BY bin) AS delta FROM binned),
+zr AS (WITH {D.CLIM} SELECT CAST(r.t + INTERVAL 276 MONTH AS DATE) AS t, r.nation // 5 AS lat_i, r.nation % 5 AS lon_i, CASE WHEN std > 0.0001 THEN (rainfall - mean) / std END AS z_r FROM rain r JOIN clim c ON c.m = month(r.t) AND c.nation = r.nation WHERE year(r.t) = 2001),
+starts AS (SELECT DISTINCT bin, bin_start FROM wet),
+months AS (SELECT bin, arg_min(m, (abs(date_diff('day', bin_start, m)), m)) AS m FROM starts, (SELECT DISTINCT t AS m FROM zr) GROUP BY 1),
+rb AS (SELECT bin, lat_i, lon_i, z_r FROM months JOIN zr ON zr.t = months.m),
+{_nearest_sql("wla", "wet", "a", "lat_i", 0.1)}, {_nearest_sql("wlo", "wet", "a", "lon_i", 0.1)}, {_nearest_sql("rla", "rb", "a", "lat_i", 0.25)}, {_nearest_sql("rlo", "rb", "a", "lon_i", 0.25)},
+wf AS (SELECT bin, wla.k AS "row", wlo.k AS col, CAST(s1 AS FLOAT) AS swi, CAST(delta AS FLOAT) AS delta FROM wet JOIN wla USING (lat_i) JOIN wlo USING (lon_i)),
+rf AS (SELECT bin, rla.k AS "row", rlo.k AS col, CAST(z_r AS FLOAT) AS z_r FROM rb JOIN rla USING (lat_i) JOIN rlo USING (lon_i)),
+nd AS (SELECT bin % 26 AS bin, "row", col, max(ndvi) AS ndvi FROM comp WHERE bin % 26 < 3 GROUP BY 1, 2, 3),
+nc AS (SELECT month(bin_start) AS m, "row", col, avg(ndvi) AS mean, stddev_pop(ndvi) AS std, sum(valid_obs_count) AS n FROM comp GROUP BY 1, 2, 3),
+nz AS (SELECT s.bin, nd."row", nd.col, CAST(CASE WHEN n >= 20 AND std > 0.0001 THEN (ndvi - mean) / std END AS FLOAT) AS z_ndvi FROM nd JOIN starts s ON s.bin = nd.bin JOIN nc ON nc.m = month(s.bin_start) AND nc."row" = nd."row" AND nc.col = nd.col),
+j AS (SELECT * FROM nz FULL JOIN wf USING (bin, "row", col) FULL JOIN rf USING (bin, "row", col)),
+f AS (SELECT *, coalesce(z_r < CAST(-0.8 AS FLOAT) AND z_ndvi < CAST(-1.0 AS FLOAT), false)::INT AS a, coalesce(z_r >= CAST(0.0 AS FLOAT) AND z_ndvi < CAST(-1.2 AS FLOAT) AND swi >= CAST(0.3 AS FLOAT), false)::INT AS b,
+  coalesce(z_r < CAST(-1.0 AS FLOAT) AND z_ndvi >= CAST(-0.5 AS FLOAT) AND swi >= CAST(0.3 AS FLOAT), false)::INT AS c, coalesce(z_r >= CAST(0.5 AS FLOAT) AND delta <= CAST(0.0 AS FLOAT), false)::INT AS d FROM j),
+k AS (SELECT bin, CASE WHEN a + b + c + d >= 2 THEN 5 WHEN a = 1 THEN 1 WHEN b = 1 THEN 2 WHEN c = 1 THEN 3 WHEN d = 1 THEN 4 WHEN z_r IS NOT NULL AND (z_ndvi IS NOT NULL OR delta IS NOT NULL) THEN 0 ELSE -1 END AS x FROM f)
+SELECT CAST(bin AS INT) AS bin, {", ".join(f"CAST(count(CASE WHEN x = {code} THEN 1 END) AS INT) AS {name}" for code, name in screening.COUNTS.items())} FROM k GROUP BY 1"""
+
+
+@query("seasonal_classes", _SEASON_CLASSES)
+def _(spark, sf_dir):
+    return _season(spark, sf_dir).bins.select(F.col("bin").cast("int").alias("bin"), *screening.COUNTS.values())
