@@ -160,6 +160,11 @@ def feature_collections(features: DataFrame, report: DataFrame | None = None) ->
     return one.join(said, "bin", "left").select("bin", name.alias("file_name"), F.concat(F.lit('{"type":"FeatureCollection","features":['), "f", F.lit('],"pipeline_report":'), F.coalesce("r", F.lit("null")), F.lit("}")).alias("geojson"))
 
 
+def write_collections(collections: DataFrame, path: str) -> None:
+    """K1: a folder for each bin's collection, named after its file."""
+    collections.select("file_name", F.col("geojson").alias("value")).write.mode("overwrite").partitionBy("file_name").text(path)
+
+
 def seasonal_collection(features: DataFrame) -> DataFrame:
     """K2: (bin, comp_id, feature) with bin_index among the properties; write it as lines, in order of bin and component."""
     with_bin = F.regexp_replace("feature", r'"properties":\{', F.concat(F.lit('"properties":{"bin_index":'), (F.col("bin") + 1).cast("string"), F.lit(",")))
