@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pixelloom.llm.sampling import hash_sample
 from pixelloom.llm.tokens import tidied
 from pixelloom.session import materialize
 
@@ -172,7 +173,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: float = P
     d, n, top = facts["d"], facts["n"], float(facts["top"])
     x, q = x.where(F.size("embedding") == d), q.where(F.size("embedding") == d)
 
-    rows = x.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow()
+    rows = hash_sample(x, ["vec_id"], SAMPLE, n).select("embedding").toArrow()
     turn = rotation(d + 1)
     sample = lifted(_matrix(rows.column(0), d), top) @ turn
     lists = int(np.clip(round(n / list_size), 1, min(MOST_LISTS, max(1, len(sample) // 8))))

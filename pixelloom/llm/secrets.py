@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixelloom.llm.sampling import hash_sample
 from pixelloom.llm.tokens import hash_words, text_buffers, text_windows, tidied
 
 SAMPLE = 1_500  # documents of either sort that the field is trained on, at most
@@ -357,10 +358,12 @@ def fit_field(docs: DataFrame, sample: int = SAMPLE) -> Field:
     short = docs.select("doc_id", "text").where(F.length("text").between(1, SAMPLE_CHARS))
     text = F.col("text")
     may = text.contains("password") | text.contains("passwd") | text.contains("secret") | text.contains("token") | text.contains("AKIA") | text.contains("api")
-    order = [F.xxhash64("doc_id", "text"), F.col("doc_id")]
+    marked = short.withColumn("may", may)
+    totals = {r["may"]: r["n"] for r in marked.groupBy("may").agg(F.count(F.lit(1)).alias("n")).collect()}
     texts = []
-    for rows in (short.where(may), short.where(~may)):
-        texts += [r["text"] for r in rows.orderBy(*order).limit(sample).collect()]
+    for kind in (True, False):
+        some = hash_sample(marked.where(F.col("may") == kind), ["doc_id", "text"], sample, totals.get(kind, 0))
+        texts += [r["text"] for r in some.select("text").collect()]
     return train(texts)
 
 

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pixelloom.llm.sampling import hash_sample
 from pixelloom.llm.tokens import hash_words, text_buffers, text_windows, tidied, windows, word_bounds
 
 SAMPLE = 2_000
@@ -316,8 +317,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from the labelled documents that are not held out, at most ``sample`` of each class."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").select("doc_id", "toxic")
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = known.where("toxic = 1").orderBy(*order).limit(sample).unionByName(known.where("toxic = 0").orderBy(*order).limit(sample))
+    totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    one, two = (hash_sample(known.where(F.col("toxic") == y), ["doc_id"], sample, totals.get(y, 0)) for y in (1, 0))
+    chosen = one.unionByName(two)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").where("text is not null")
     table = rows.toArrow()
     seen: dict[str, int] = {}
