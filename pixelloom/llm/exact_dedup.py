@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pixelloom.llm.sieve import sieve, sift
 from pixelloom.llm.tokens import tidied
 from pixelloom.session import materialize
 
@@ -218,8 +219,10 @@ def keep_owners(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that own their group, one for each group and every column kept."""
     shared = materialize(owners(docs).where("group_size > 1"), "owners").select(F.col("text_sha256").alias("_sha"), F.col("keep_id").alias("_keep"))
     rows = docs.withColumn("_own", F.sha2(normalised(F.col("text")).cast("binary"), 256))
-    found = rows.join(shared, F.col("_own") == F.col("_sha"), "left")
-    return found.where(F.col("_sha").isNull() | F.col("doc_id").eqNullSafe(F.col("_keep"))).select(*docs.columns)
+    maybe, single = sift(rows, sieve(shared, "_sha"), F.col("_own"))  # texts that occur once need not move
+    found = maybe.join(shared, F.col("_own") == F.col("_sha"), "left")
+    kept = found.where(F.col("_sha").isNull() | F.col("doc_id").eqNullSafe(F.col("_keep")))
+    return single.select(*docs.columns).unionByName(kept.select(*docs.columns))
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.llm.graph import connected_components
+from pixelloom.llm.sieve import sieve, sift
 from pixelloom.llm.tokens import Words, mix, text_windows, tidied
 from pixelloom.session import materialize
 
@@ -102,7 +103,8 @@ def _full_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
                 sets = list(_sets(part, width))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "n", "shingles"])
 
-    found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
+    maybe, _ = sift(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), sieve(ids, "id"), F.col("doc_id"))
+    found = maybe.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     return found.mapInArrow(tidied(run), "id bigint, n bigint, shingles binary").dropDuplicates(["id"])
 
 
@@ -220,7 +222,7 @@ def near_groups(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -
     buckets = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
     members = materialize(keys.join(buckets.select("key", "lo", "size"), "key"), "buckets")
 
-    sets = materialize(_full_sets(docs, members.select("id").distinct(), width), "sets")
+    sets = materialize(_full_sets(docs, materialize(members.select("id").distinct(), "candidates"), width), "sets")
     links = materialize(_confirmed(_closest(members.where("id <> lo").select("id", F.col("lo").alias("other"))), sets, percent), "links")
     parts = connected_components(links)
     for last in (False, True):
@@ -242,8 +244,9 @@ def near_groups(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -
 
 def keep_one(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that are kept: one document of each group, every column."""
-    gone = near_groups(docs, width, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = materialize(near_groups(docs, width, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    maybe, sure = sift(docs, sieve(gone, "_gone"), F.col("doc_id").cast("bigint"))
+    return sure.unionByName(maybe.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti"))
 
 
 def op8_near_dedup(spark, sf_dir: str) -> DataFrame:
