@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from pixelloom.llm import ann, queries, url_filter
 from pixelloom.llm.graph import connected_components
+from pixelloom.llm.sampling import hash_sample
+from pixelloom.llm.sieve import sieve, sift
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,6 +41,26 @@ def test_components(spark):
     assert {r["component"] for r in connected_components(names).collect()} == {"a"}
 
 
+def test_sieve(spark):
+    rows = spark.range(3000).select((F.col("id") * 7).alias("k"), F.lit("x").alias("wide"))
+    keys = spark.createDataFrame([(k,) for k in range(0, 700)] + [(None,)], "id bigint")
+    maybe, none = sift(rows, sieve(keys, "id"), F.col("k"))
+    passed, out = {r["k"] for r in maybe.collect()}, {r["k"] for r in none.collect()}
+    assert {k for k in range(0, 700, 7)} <= passed and not passed & out and len(passed) + len(out) == 3000 and len(passed) < 200
+    assert maybe.columns == rows.columns
+    nothing, everything = sift(rows, sieve(keys.where("false"), "id"), F.col("k"))
+    assert nothing.count() == 0 and everything.count() == 3000
+
+
+def test_hash_sample(spark):
+    rows = spark.createDataFrame([(k // 2,) for k in range(4000)], "k bigint").repartition(5)
+    some = sorted(r["k"] for r in hash_sample(rows, ["k"], 50, 4000).collect())
+    assert len(some) == len(set(some)) == 50
+    assert some == sorted(r["k"] for r in hash_sample(rows.repartition(3), ["k"], 50, 4000).collect())
+    assert len(hash_sample(rows, ["k"], 9000, 4000).collect()) == 2000
+    assert hash_sample(rows.where("false"), ["k"], 5, 0).count() == 0
+
+
 def page(k, url, head=""):
     return (k, url, f"<html><head>{head}</head></html>" if head is not None else None, "x")
 
