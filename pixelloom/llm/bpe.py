@@ -31,7 +31,7 @@ from tokenizers.models import BPE
 
 from pixelloom.llm.tokens import tidied
 
-KEPT_PIECES = 500_000  # pieces whose ids a worker keeps
+KEPT_PIECES = 250_000  # pieces whose ids a worker keeps
 KEPT_LENGTH = 40
 
 #: Fixed value: the pattern that the standard library's faster engine can stand in for.

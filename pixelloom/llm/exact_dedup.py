@@ -27,7 +27,7 @@ from pixelloom.llm.sieve import sieve, sift
 from pixelloom.llm.tokens import tidied
 from pixelloom.session import materialize
 
-TRIE_BYTES = 64 << 20  # label bytes a task holds before it spills a subtree
+TRIE_BYTES = 32 << 20  # label bytes a task holds before it spills a subtree
 
 WHITE = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 

@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.llm.sampling import hash_sample
-from pixelloom.llm.tokens import hash_words, text_buffers, text_windows, tidied
+from pixelloom.llm.tokens import hash_words, release, text_buffers, text_windows, tidied
 
-SAMPLE = 1_500  # documents of either sort that the field is trained on, at most
+SAMPLE = 1_000  # documents of either sort that the field is trained on, at most
 SAMPLE_CHARS = 20_000  # longer documents are not in that sample
 
 #: The base patterns, in the order in which kinds are listed.
@@ -363,8 +363,10 @@ def fit_field(docs: DataFrame, sample: int = SAMPLE) -> Field:
     texts = []
     for kind in (True, False):
         some = hash_sample(marked.where(F.col("may") == kind), ["doc_id", "text"], sample, totals.get(kind, 0))
-        texts += [r["text"] for r in some.select("text").collect()]
-    return train(texts)
+        texts += some.select("text").toArrow().column(0).to_pylist()
+    field = train(texts)
+    release()
+    return field
 
 
 def _named(spans: list[tuple[int, int, int]]) -> str:

@@ -32,9 +32,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.llm.sampling import hash_sample
-from pixelloom.llm.tokens import hash_words, text_buffers, text_windows, tidied, windows, word_bounds
+from pixelloom.llm.tokens import hash_words, release, text_buffers, text_windows, tidied, windows, word_bounds
 
-SAMPLE = 2_000
+SAMPLE = 1_200
 LANDMARKS = 160
 SPAN = 6
 DECAY = 0.6
@@ -326,7 +326,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     for text, toxic in zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True):
         seen.setdefault(text, toxic)  # copies of one text train once
     texts = sorted(seen)
-    return train(texts, np.array([seen[t] for t in texts], np.int64))
+    del table, rows
+    model = train(texts, np.array([seen[t] for t in texts], np.int64))
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: Model, reject: float = REJECT) -> DataFrame:
