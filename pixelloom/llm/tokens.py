@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-WINDOW = 1 << 20  # bytes of text that are hashed at once
+WINDOW = 1 << 19  # bytes of text that are hashed at once
 
 _RNG = np.random.default_rng(20240229)
 _WHITE = np.zeros(256, bool)
