@@ -236,15 +236,16 @@ def score(docs: DataFrame, is_held_out: Column | None = None, rounds: int = ROUN
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(0).to_numpy()
+            at = batch.column("block").to_numpy()
             for block in np.unique(at):
-                some = pa.RecordBatch.from_arrays([batch.column(1).filter(pa.array(at == block))], names=["text"])
+                some = pa.RecordBatch.from_arrays([batch.column("text").filter(pa.array(at == block))], names=["text"])
                 parts = [np.unique(Tokens.of(data, offsets).hashes) for _, _, data, offsets in text_windows(some, "text")]
                 keys = np.unique(np.concatenate(parts)).view(np.int64)
                 for a in range(0, len(keys), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[a : a + 100_000]), block)), pa.array(keys[a : a + 100_000])], names=["block", "key"])
 
-    asked = dealt.select("block", "text").mapInArrow(tidied(distinct), "block bigint, key bigint")
+    # over all columns, so that one exchange of the texts serves this and the scoring
+    asked = dealt.mapInArrow(tidied(distinct), "block bigint, key bigint")
     known = asked.join(vocabulary.select("key", "n"), "key").select("block", "key", "n")
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
