@@ -10,8 +10,8 @@ each of the two groups by itself, which loses no key that two sets share.
 Equal sets fold into one class first.  Links are confirmed on the full sets:
 
 1. each set against the one of its buckets' smallest members that it shares most tables
-   with, then connected components;
-2. in buckets that still hold two components, each set against the leader, drawn at
+   with, and the two sets of every bucket of two, then connected components;
+2. in larger buckets that still hold two components, each set against the leader, drawn at
    random, that it shares most tables with, then components again;
 3. what is left, whole: sets of those buckets that share a group of the first collection
    and are of different components are compared by sketches of ``SKETCH`` one-byte
@@ -159,7 +159,10 @@ def _closest(met: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """The members of buckets that hold two components, with a leader for each bucket."""
+    """The members of buckets that hold two components, with a leader for each bucket.
+
+    Buckets of two are left out: the first round has tested their only pair.
+    """
     placed = _labelled(members.where("size > 2").select("key", "id"), parts)
     draw = F.xxhash64("key", "id")
     spread = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by(F.struct("id", "component"), draw).alias("leader")).where("lo <> hi")
@@ -223,7 +226,9 @@ def near_groups(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -
     members = materialize(keys.join(buckets.select("key", "lo", "size"), "key"), "buckets")
 
     sets = materialize(_full_sets(docs, materialize(members.select("id").distinct(), "candidates"), width), "sets")
-    links = materialize(_confirmed(_closest(members.where("id <> lo").select("id", F.col("lo").alias("other"))), sets, percent), "links")
+    met = members.where("id <> lo").select("id", F.col("lo").alias("other"), "size")
+    twos = met.where("size = 2").select(F.col("id").alias("src"), F.col("other").alias("dst"))
+    links = materialize(_confirmed(_closest(met).unionByName(twos).distinct(), sets, percent), "links")
     parts = connected_components(links)
     for last in (False, True):
         still = materialize(_open(members, parts), "open")

@@ -253,6 +253,17 @@ def test_near_groups_in_large_buckets(spark):
     assert got == near_truth(rows, 4, 80)
 
 
+def test_near_groups_in_buckets_of_two(spark):
+    """The largest id between two sets that are not alike, some without a bucket of all three."""
+    rows = []
+    for k in range(150):
+        base = words(np.random.default_rng(k), 100, 10**6)
+        rows += [(3 * k, " ".join(base[:80])), (3 * k + 1, " ".join(base[20:])), (3 * k + 2, " ".join(base))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_groups(df, 1).collect()}
+    assert got == near_truth(rows, 1, 80)
+
+
 def test_near_groups_of_odd_input(odd, empty):
     got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_groups(odd).collect()}
     assert {(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False), (8, 1, 8, True)} <= got
