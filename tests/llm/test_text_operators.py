@@ -310,6 +310,17 @@ def test_passages(spark):
     assert all(s <= 60 and e >= 140 for s, e in spans.values())
 
 
+def test_passages_whose_offset_jumps():
+    """Neighbours in one text that lie apart, or the other way round, in the other."""
+    s = np.random.default_rng(9).integers(0, 2**63, 900, dtype=np.uint64)
+    x, y, z = s[:150], s[150:300], s[300:450]
+    whole = [(0, 150), (150, 300)]
+    for b, places in ((np.r_[x, z, y], [0, 300]), (np.r_[y, z, x], [300, 0]), (np.r_[y, x], [150, 0]), (np.r_[x[40:60], z, x, s[500:600], y], [170, 420])):
+        got = passages.best_passages(np.r_[x, y], b, 46, 80)
+        assert [(i, j) for i, j, *_ in got] == whole and [p for _, _, p, _, _ in got] == places
+        assert all(share == 1 for *_, share in got)
+
+
 def test_passages_of_odd_input(odd, empty):
     got = {r["doc_id"] for r in passages.near_passages(odd).collect()}
     assert got <= {6, 7}
