@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelloom.llm.graph import connected_components
-from pixelloom.llm.sieve import sieve, sift
+from pixelloom.llm.sieve import fresh, sieve, sift
 from pixelloom.llm.tokens import Words, mix, text_windows, tidied
 from pixelloom.session import materialize
 
@@ -249,9 +249,10 @@ def near_groups(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -
 
 def keep_one(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that are kept: one document of each group, every column."""
-    gone = materialize(near_groups(docs, width, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    maybe, sure = sift(docs, sieve(gone, "_gone"), F.col("doc_id").cast("bigint"))
-    return sure.unionByName(maybe.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti"))
+    (out,) = fresh(docs, "out")
+    gone = materialize(near_groups(docs, width, percent).where("not kept").select(F.col("doc_id").alias(out)).distinct(), "gone")
+    maybe, sure = sift(docs, sieve(gone, out), F.col("doc_id").cast("bigint"))
+    return sure.unionByName(maybe.join(gone, F.col("doc_id").cast("bigint") == F.col(out), "left_anti"))
 
 
 def op8_near_dedup(spark, sf_dir: str) -> DataFrame:
