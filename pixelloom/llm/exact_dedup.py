@@ -5,9 +5,9 @@ input partition inserts its texts into compressed radix tries, one trie for each
 (length, content hash), whose terminal nodes hold the group's owner so far; so a text
 that a third of all rows share leaves each partition once.  The distinct byte strings
 are then dealt out by (length, content hash), sorted, and inserted into tries again,
-one key at a time.  A trie that outgrows its memory hands on its largest subtree as
-partial groups, which a last aggregation merges; no row is dropped and nothing is
-written to local disk.
+one key at a time.  Tries that outgrow their memory hand on their largest subtrees as
+partial groups, down to half the limit, and a last aggregation merges those; no row is
+dropped and nothing is written to local disk.
 
 Results for odd input: a null text counts as empty, and all empty texts are one group;
 a null ``doc_id`` loses ties against any other and owns a group only if the group has no
@@ -23,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.llm.sieve import sieve, sift
+from pixelloom.llm.sieve import columns_of, fresh, sieve, sift
 from pixelloom.llm.tokens import tidied
 from pixelloom.session import materialize
 
-TRIE_BYTES = 32 << 20  # label bytes a task holds before it spills a subtree
+TRIE_BYTES = 32 << 20  # bytes of tries a task holds before it spills subtrees
+NODE_BYTES = 400  # what a node takes besides its label
 
 WHITE = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
@@ -66,10 +67,17 @@ def _shared(a: bytes, b: bytes) -> int:
 
 
 class Trie:
-    """Owners of byte strings: insert() merges a group into its terminal node."""
+    """Owners of byte strings: insert() merges a group into its terminal node.
+
+    size: bytes of the labels, and NODE_BYTES for each node.
+    """
 
     def __init__(self):
-        self.root, self.size = Node(b""), 0
+        self.root, self.size = Node(b""), NODE_BYTES
+
+    @property
+    def empty(self) -> bool:
+        return not self.root.kids and self.root.group is None
 
     def insert(self, text: bytes, owner: tuple, count: int) -> None:
         node, rest = self.root, text
@@ -83,7 +91,7 @@ class Trie:
             kid = node.kids.get(rest[0])
             if kid is None:
                 node.kids[rest[0]] = Node(rest, [owner, count])
-                self.size += len(rest)
+                self.size += len(rest) + NODE_BYTES
                 return
             n = _shared(kid.label, rest)
             if n < len(kid.label):
@@ -91,6 +99,7 @@ class Trie:
                 upper.kids[kid.label[n]] = kid
                 kid.label = kid.label[n:]
                 node.kids[rest[0]] = kid = upper
+                self.size += NODE_BYTES
             node, rest = kid, rest[n:]
 
     def groups(self, node: Node | None = None, prefix: bytes = b"") -> Iterator[tuple[bytes, tuple, int]]:
@@ -102,27 +111,29 @@ class Trie:
                 yield whole, *node.group
             stack.extend((kid, whole) for kid in node.kids.values())
 
-    def spill(self) -> Iterator[tuple[bytes, tuple, int]]:
-        """Hand on and forget the largest subtree under the first branching node."""
+    def spill(self, target: int) -> Iterator[tuple[bytes, tuple, int]]:
+        """Hand on and forget subtrees under the first branching node, the largest first,
+        until the trie's size is at most ``target``; the whole trie if that is not enough."""
         node, prefix = self.root, b""
         while len(node.kids) == 1 and node.group is None:
             node, prefix = next(iter(node.kids.values())), prefix + node.label
         prefix += node.label
-        if not node.kids:
-            yield from self.groups()
-            self.root, self.size = Node(b""), 0
-            return
         sizes = {}
         for first, kid in node.kids.items():
             stack, total = [kid], 0
             while stack:
                 x = stack.pop()
-                total += len(x.label)
+                total += len(x.label) + NODE_BYTES
                 stack.extend(x.kids.values())
             sizes[first] = total
-        first = max(sizes, key=sizes.get)
-        yield from self.groups(node.kids.pop(first), prefix)
-        self.size -= sizes[first]
+        for first in sorted(sizes, key=sizes.get, reverse=True):
+            if self.size <= target:
+                return
+            yield from self.groups(node.kids.pop(first), prefix)
+            self.size -= sizes[first]
+        if self.size > target:
+            yield from self.groups()
+            self.root, self.size = Node(b""), NODE_BYTES
 
 
 def normalised(text: Column) -> Column:
@@ -167,22 +178,27 @@ def _owners(limit: int, in_order: bool):
             for size, code, text, points, doc, n in zip(*(c.to_pylist() if c.type != pa.binary() else c for c in columns), strict=True):
                 key, text = (size, code), text.as_py()
                 if in_order and last is not None and key != last:
-                    yield from give(last, tries.pop(last).groups())
+                    if last in tries:
+                        yield from give(last, tries.pop(last).groups())
                     held = 0
                 last = key
                 trie = tries.get(key)
+                before = trie.size if trie else 0
                 if trie is None:
                     trie = tries[key] = Trie()
-                before = trie.size
                 trie.insert(text, (points, doc), n)
                 held += trie.size - before
-                while held > limit:
-                    most = max(tries, key=lambda k: tries[k].size)
+                if held <= limit:
+                    continue
+                # half of it goes at once, so that each byte is looked at a bounded number of times
+                for most in sorted(tries, key=lambda k: tries[k].size, reverse=True):
+                    if held <= limit // 2:
+                        break
                     before = tries[most].size
-                    yield from give(most, tries[most].spill())
+                    yield from give(most, tries[most].spill(max(0, before - (held - limit // 2))))
                     held -= before - tries[most].size
-                    if not tries[most].size and most != key:
-                        del tries[most]
+                    if tries[most].empty:
+                        held -= tries.pop(most).size
             if rows and in_order:
                 yield batch()
         for key, trie in tries.items():
@@ -216,13 +232,17 @@ def exact_groups(docs: DataFrame, trie_bytes: int = TRIE_BYTES) -> DataFrame:
 
 
 def keep_owners(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that own their group, one for each group and every column kept."""
-    shared = materialize(owners(docs).where("group_size > 1"), "owners").select(F.col("text_sha256").alias("_sha"), F.col("keep_id").alias("_keep"))
-    rows = docs.withColumn("_own", F.sha2(normalised(F.col("text")).cast("binary"), 256))
-    maybe, single = sift(rows, sieve(shared, "_sha"), F.col("_own"))  # texts that occur once need not move
-    found = maybe.join(shared, F.col("_own") == F.col("_sha"), "left")
-    kept = found.where(F.col("_sha").isNull() | F.col("doc_id").eqNullSafe(F.col("_keep")))
-    return single.select(*docs.columns).unionByName(kept.select(*docs.columns))
+    """The rows of ``docs`` that own their group, one for each group and every column kept.
+
+    Rows that repeat both the owner's id and its text are one document and stay together.
+    """
+    sha, keep, own = fresh(docs, "sha", "keep", "own")
+    shared = materialize(owners(docs).where("group_size > 1"), "owners").select(F.col("text_sha256").alias(sha), F.col("keep_id").alias(keep))
+    rows = docs.withColumn(own, F.sha2(normalised(F.col("text")).cast("binary"), 256))
+    maybe, single = sift(rows, sieve(shared, sha), F.col(own))  # texts that occur once need not move
+    found = maybe.join(shared, F.col(own) == F.col(sha), "left")
+    kept = found.where(F.col(sha).isNull() | F.col("doc_id").cast("bigint").eqNullSafe(F.col(keep)))
+    return single.select(*columns_of(docs)).unionByName(kept.select(*columns_of(docs)))
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:
