@@ -35,6 +35,7 @@ from pixelloom.llm.sampling import hash_sample
 from pixelloom.llm.tokens import hash_words, release, text_buffers, text_windows, tidied, windows, word_bounds
 
 SAMPLE = 1_200
+SAMPLE_CHARS = 40_000  # longer documents are not in the training sample
 LANDMARKS = 160
 SPAN = 6
 DECAY = 0.6
@@ -313,15 +314,16 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model from the labelled documents that are not held out, at most ``sample`` of each class."""
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
+    """A model from the labelled documents that are not held out, at most ``sample`` of each
+    class, and none with more than ``chars`` characters, so what the driver gathers is bounded."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").select("doc_id", "toxic")
     totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     one, two = (hash_sample(known.where(F.col("toxic") == y), ["doc_id"], sample, totals.get(y, 0)) for y in (1, 0))
     chosen = one.unionByName(two)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "toxic").where("text is not null")
-    table = rows.toArrow()
+    rows = docs.select("doc_id", "text").where(F.length("text") <= chars).join(F.broadcast(chosen), "doc_id")
+    table = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic").toArrow()  # repeated rows count once
     seen: dict[str, int] = {}
     for text, toxic in zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True):
         seen.setdefault(text, toxic)  # copies of one text train once
