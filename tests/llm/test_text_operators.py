@@ -196,7 +196,7 @@ def test_trie_spills_by_subtree():
     trie = exact_dedup.Trie()
     for k, text in enumerate([b"aab", b"aac", b"a", b"", b"aab", b"abcdef"]):
         trie.insert(text, (1, k), 1)
-    spilled = list(trie.spill())
+    spilled = list(trie.spill(trie.size - 1))
     rest = list(trie.groups())
     total = {}
     for text, owner, n in spilled + rest:
@@ -205,6 +205,46 @@ def test_trie_spills_by_subtree():
     assert total[b"aab"] == ((1, 0), 2) and set(total) == {b"aab", b"aac", b"a", b"", b"abcdef"} and spilled
 
 
+@pytest.mark.parametrize("in_order", [False, True])
+def test_tries_outgrow_their_limit_many_times(in_order):
+    """Work stays in proportion to the rows, however many times they exceed the limit."""
+    rng = np.random.default_rng(5)
+    texts = [rng.bytes(400) for _ in range(30_000)]
+    texts += texts[:3000]
+    rows = sorted((400, int.from_bytes(t[:7], "little"), t, 400, k, 1) for k, t in enumerate(texts))
+    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), exact_dedup._ARROW, strict=True)], schema=exact_dedup._ARROW)
+    batches = [batch.slice(k, 1000) for k in range(0, len(batch), 1000)]
+    looked = 0
+    spill = exact_dedup.Trie.spill
+
+    def counted(trie, target):
+        nonlocal looked
+        looked += 1
+        yield from spill(trie, target)
+
+    exact_dedup.Trie.spill = counted
+    try:
+        out = [r for b in exact_dedup._owners(1 << 19, in_order)(iter(batches)) for r in b.to_pylist()]
+    finally:
+        exact_dedup.Trie.spill = spill
+    total = {}
+    for r in out:
+        doc, n = total.get(r["norm"], (10**9, 0))
+        total[r["norm"]] = (min(doc, r["doc_id"]), n + r["n"])
+    assert total == {t: (k, 1 + (k < 3000)) for k, t in enumerate(texts[:30_000])}
+    assert looked <= len(rows)
+    assert in_order or looked > 10_000
+
+
+def test_extra_columns_keep_their_names_and_values(spark):
+    rows = [(k, f"text {k // 2} " * 10, k, "w", [k], "s", "k", 1, "o", "g") for k in range(20)]
+    names = "doc_id bigint, text string, _mark int, _word string, _bits array<int>, _sha string, _keep string, _own int, _out string, `a.b` string"
+    df = spark.createDataFrame(rows, names)
+    for kept in (exact_dedup.keep_owners(df), near_dedup.keep_one(df)):
+        assert kept.schema.simpleString() == df.schema.simpleString()
+        assert sorted(map(tuple, kept.collect())) == [r for r in rows if r[0] % 2 == 0]
+
+
 # ---- op 8 -----------------------------------------------------------------------------
 
 
@@ -264,6 +304,19 @@ def test_near_groups_in_buckets_of_two(spark):
     assert got == near_truth(rows, 1, 80)
 
 
+def test_near_groups_lose_no_link_of_a_triple(spark):
+    """Two sets that both resemble a third, and barely or not at all each other."""
+    rows = []
+    for k in range(2000):
+        rng = np.random.default_rng(k)
+        gap = int(rng.integers(35, 41))  # words of 200 that each side lacks: similarity 0.80 to 0.825
+        base = [str(x) for x in rng.choice(10**9, 200, replace=False)]
+        rows += [(3 * k, " ".join(base[gap:])), (3 * k + 1, " ".join(base[:-gap])), (3 * k + 2, " ".join(base))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(df, 1).collect()}
+    assert [d for d, c in got.items() if c != d - d % 3] == []
+
+
 def test_near_groups_of_odd_input(odd, empty):
     got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_groups(odd).collect()}
     assert {(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 1, 4, True), (5, 1, 4, False), (8, 1, 8, True)} <= got
