@@ -8,8 +8,9 @@ tags.  Its spans are added where they touch no base span.
 
 The field learns by likelihood (forward-backward) on at most ``SAMPLE`` documents that
 may hold a secret and as many others, taken by hash order over the whole table, labelled
-by the base patterns, with a part of the secrets replaced by generated ones of other
-shapes.  Decoding covers every token of every whole text.  A token whose outside score
+by the base patterns; in every other one a secret is replaced by a generated one of another
+shape and others are put in.  Of a document at most ``WINDOWS`` stretches train, those
+round secrets first, drawn from all of it.  Decoding covers every token of every whole text.  A token whose outside score
 leads by more than all transitions could return is outside on the best path, so texts
 fall into short chains and the decoding stays exact.
 
@@ -35,6 +36,8 @@ from pixelloom.llm.tokens import hash_words, release, text_buffers, text_windows
 
 SAMPLE = 1_000  # documents of either sort that the field is trained on, at most
 SAMPLE_CHARS = 20_000  # longer documents are not in that sample
+WINDOWS = (6, 4, 2)  # training windows of a document, at most: round secrets, other odd tokens, places drawn at random
+PLANTED = 2  # generated secrets that are put into every other document of the sample, besides those replaced
 
 #: The base patterns, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -290,38 +293,64 @@ def scan_texts(data: np.ndarray, offsets: np.ndarray, field: Field) -> Iterator[
         yield sorted(spans + added, key=lambda x: (x[0], x[2]))
 
 
-def _generated(rng: np.random.Generator) -> str:
-    """A made-up secret of a shape drawn at random."""
-    kinds = (string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", "0123456789abcdef", string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits)
-    chars = kinds[rng.integers(len(kinds))]
-    body = "".join(rng.choice(list(chars), int(rng.integers(16, 48))))
-    return str(rng.choice(["", "", "", "sk_", "key-", "gh_", "xox-"])) + body
+#: What stands before a generated secret; short secrets always have one of the first sort.
+_LEADS = (
+    "password=", "pwd=", "pwd: ", "passphrase ", "passphrase: ", "token: ", "secret = \"", "api_key=", "key ", "key=", "auth ", "auth=", "bearer ", "Authorization: Bearer ",
+    "credential ", "credentials: ", "login admin:", "user:", "https://user:", "private_key=", "access key ", "client_secret: ", "pass ", "PWD=",
+)
+_HEADS = ("", "", "", "", "sk_", "key-", "gh_", "xox-", "pk_test_", "eyJ", "AIza")
+
+
+def _generated(rng: np.random.Generator) -> tuple[str, str]:
+    """(lead, made-up secret) of a shape drawn at random."""
+    kinds = (string.ascii_letters + string.digits, string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", "0123456789abcdef", string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits)
+    chars = list(kinds[rng.integers(len(kinds))])
+    body = "".join(rng.choice(chars, int(rng.integers(10, 48))))
+    if len(body) > 28 and rng.random() < 0.3:
+        body = body[:12] + str(rng.choice(list(".-_"))) + body[13:]
+    lead = str(rng.choice(_LEADS)) if len(body) < 13 or rng.random() < 0.5 else ""
+    return lead, str(rng.choice(_HEADS)) + body if len(body) >= 16 else body
+
+
+def _inner(text: str) -> list[tuple[int, int]]:
+    """The secrets of the base patterns, without the key words of assignments."""
+    spans = set()
+    for a, b, kind in base_spans(text):
+        inner = ASSIGN.match(text, a) if kind == 0 else None
+        spans.add((inner.start(2), inner.end(2)) if inner else (a, b))
+    return sorted(spans)
+
+
+def _planted(text: str, rng: np.random.Generator, more: int) -> tuple[str, list[tuple[int, int]]]:
+    """``text`` with one of its secrets replaced by a generated one, and ``more`` put in; all secrets."""
+    spans, spaces = _inner(text), [m.end() for m in re.finditer(r"\s", text)] or [0]
+    cuts = [(int(spaces[k]),) * 2 for k in np.unique(rng.integers(0, len(spaces), more))]
+    cuts = [c for c in cuts if not any(a <= c[0] <= b for a, b in spans)]
+    if spans:
+        cuts.append(spans[rng.integers(len(spans))])
+    out, at, own = [], 0, []
+    for a, b in sorted(cuts):
+        lead, new = _generated(rng)
+        if a == b:
+            out += [text[at:a], lead]
+            new_at = sum(map(len, out))
+            out += [new, " "]
+        else:
+            out.append(text[at:a])
+            new_at = sum(map(len, out))
+            out.append(new)
+        own.append((new_at, new_at + len(new)))
+        at = b
+    whole = "".join([*out, text[at:]])
+    return whole, own + [s for s in _inner(whole) if not any(s[0] < b and a < s[1] for a, b in own)]
 
 
 def train(texts: list[str], seed: int = 3, length: int = 24) -> Field:
-    """A field from texts that the base patterns label; some secrets are replaced by generated ones."""
+    """A field from texts that the base patterns label, every other one with generated secrets."""
     rng = np.random.default_rng(seed)
     chains = []
-    intro = ["password=", "token: ", "secret = \"", "api_key=", "pwd=", "key ", "auth ", "", "bearer ", "credential "]
     for number, text in enumerate(texts):
-        spans = []
-        for a, b, kind in base_spans(text):
-            inner = ASSIGN.match(text, a)
-            spans.append((inner.start(2), inner.end(2)) if kind == 0 and inner else (a, b))
-        spans = sorted(set(spans))
-        if number % 2:  # the same text once more with other secrets, or with one put in
-            if spans:
-                a, b = spans[rng.integers(len(spans))]
-            else:
-                spaces = [m.end() for m in re.finditer(r"\s", text)]
-                a = b = spaces[rng.integers(len(spaces))] if spaces else 0
-                lead = str(rng.choice(intro))
-                text = f"{text[:a]}{lead} {text[b:]}"
-                a = b = a + len(lead)
-            new = _generated(rng)
-            text = text[:a] + new + text[b:]
-            spans = [(a, a + len(new))]
-            spans += [(m.start(2), m.end(2)) if k == 0 and (m := ASSIGN.match(text, x)) else (x, y) for x, y, k in base_spans(text)]
+        text, spans = _planted(text, rng, PLANTED) if number % 2 else (text, _inner(text))
         data, offsets = text_buffers(pa.array([text]))
         tokens = Tokens(data, offsets)
         n = len(tokens.starts)
@@ -335,9 +364,14 @@ def train(texts: list[str], seed: int = 3, length: int = 24) -> Field:
             tag[hit[tag[hit] == OUT]] = IN
             if len(hit):
                 tag[hit[0]] = BEGIN
-        odd = np.flatnonzero((tag > 0) | (tokens.features[0] // _NL & 8 > 0))
-        picks = {max(0, min(int(k) - int(rng.integers(4, length - 4)), n - length)) for k in odd[:12]} | {int(k) for k in rng.integers(0, max(1, n - length + 1), 3)}
-        for k in picks:
+        kind = tokens.features[0] // _NL
+        odd = np.flatnonzero((tag == OUT) & ((kind & 8 > 0) | (tokens.ends - tokens.starts >= 12)))
+        picks: set[int] = set()
+        for some, most in zip((np.flatnonzero(tag == BEGIN), odd), WINDOWS, strict=False):
+            some = rng.choice(some, most, replace=False) if len(some) > most else some
+            picks |= {max(0, min(int(k) - int(rng.integers(4, length - 4)), n - length)) for k in some}
+        picks |= {int(k) for k in rng.integers(0, max(1, n - length + 1), WINDOWS[2])}
+        for k in sorted(picks):
             f, t = tokens.features[:, k : k + length], tag[k : k + length].copy()
             if f.shape[1] < length:
                 more = length - f.shape[1]

@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -455,6 +456,36 @@ def test_field_finds_shapes_that_no_pattern_has():
     assert any(k == 3 for _, _, k in next(secrets.scan_texts(data, offsets, field)))
 
 
+def test_field_on_documents_it_did_not_learn_from():
+    """Secrets of shapes and with words before them that training does not make; ordinary documents."""
+    texts = [t or "" for (t,) in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' ORDER BY doc_id").fetchall()]
+    field = secrets.train(texts[::2])
+    rng = np.random.default_rng(99)
+    digits, letters = "0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    draw = lambda chars, n: "".join(rng.choice(list(chars), n))
+    shapes = (
+        lambda: ("sig=", draw(letters, 24)), lambda: ("conn db://root:", draw(letters, 18)), lambda: ("x-auth-key: ", draw(letters + "+/", 32)), lambda: ("hook ", draw(digits, 9) + "/" + draw(letters, 24)),
+        lambda: ("", "xoxb-" + draw(digits, 11) + "-" + draw(letters, 24)), lambda: ("cert ", draw(letters[26:], 20)), lambda: ("", "SG." + draw(letters, 22) + "." + draw(letters, 30)),
+    )
+    found, hidden, alarms = 0, 0, 0
+    for number, text in enumerate(texts[1::2]):
+        data, offsets = tokens.text_buffers(pa.array([text]))
+        alarms += any(k == 3 for _, _, k in next(secrets.scan_texts(data, offsets, field)))
+        spaces = [m.end() for m in re.finditer(r"\s", text)]
+        if number % 3 or not spaces:
+            continue
+        lead, own = shapes[number // 3 % len(shapes)]()
+        at = spaces[int(rng.integers(len(spaces)))]
+        whole, a = f"{text[:at]}{lead}{own} {text[at:]}", at + len(lead)
+        if any(x < a + len(own) and a < y for x, y, _ in secrets.base_spans(whole)):
+            continue
+        data, offsets = tokens.text_buffers(pa.array([whole]))
+        hidden += 1
+        found += (a, a + len(own), 3) in next(secrets.scan_texts(data, offsets, field))
+    assert hidden > 100 and found >= 0.9 * hidden
+    assert alarms <= 5  # of 500
+
+
 # ---- op 5 -----------------------------------------------------------------------------
 
 
