@@ -4,14 +4,15 @@ A rule is (action, host, path).  It fits a url whose host is the rule's host or
 subdomain of it and whose path starts with the rule's path; the longest rule that fits
 decides, allow before block among rules of one length.
 
-Urls are aliases if redirects or canonical links connect them: ``<link rel=canonical>``
-and ``<meta http-equiv=refresh>`` of a page, and any table of redirects the caller has.
+Urls are aliases if redirects or canonical links connect them: every ``<link rel=canonical>``
+and ``<meta http-equiv=refresh>`` of a page, absolute or relative, and any table of
+redirects the caller has.
 Connected components over those edges are found by distributed star contraction.  If
 any url of a component is blocked by a rule, the block reaches its aliases, but a page
 with an explicit allow of its own stays allowed.  All else is allowed.
 
-A url's node is its host and path without scheme, user, port 80 or 443, fragment,
-trailing slashes and ``utm_`` parameters, so spellings of one address are one node.
+A url's node is its host and path without scheme, user, port 80 or 443, fragment, dot
+segments, trailing slashes and ``utm_`` parameters, so spellings of one address are one node.
 
 Results for odd input: a null url, or one without ``://``, has empty host and path, no
 node, no rule and is allowed; null html has no links; repeated rows are judged alike;
@@ -37,10 +38,8 @@ RULES = (
     ("block", "com", "/de/"),
 )
 
-_LINK = r"(?i)<link\s[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-_META = r"(?i)<meta\s[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-_HREF = r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-_GOTO = r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)"
+_TAGS = r"(?i)<(?:link|meta|base)\s[^>]*>"
+_VALUE = r"\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
 
 
 def _rest(url: Column) -> Column:
@@ -60,11 +59,21 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(_rest(url), r"^[^/?#]*([^?#]*)", 1)
 
 
+def _without_dots(path: Column) -> Column:
+    """The path without ``.`` and ``..`` segments."""
+    segments = F.split(path, "/", -1)
+    last = F.element_at(segments, -1)
+    step = lambda done, x: F.when(x == ".", done).when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).otherwise(F.concat(done, F.array(x)))
+    kept = F.aggregate(F.slice(segments, 2, F.greatest(F.size(segments) - 1, F.lit(0))), F.array(F.lit("")), step)
+    whole = F.concat(F.array_join(kept, "/"), F.when(last.isin(".", ".."), "/").otherwise(""))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), whole).otherwise(path)
+
+
 def node_of(url: Column) -> Column:
     """The url's node among aliases; null where the url has no host."""
     rest = F.regexp_replace(_rest(url), r"#[\s\S]*$", "")
     host = F.regexp_replace(F.regexp_replace(host_of(url), r"^[^@]*@", ""), r":(80|443)$", "")
-    path = F.regexp_replace(path_of(url), r"/+$", "")
+    path = F.regexp_replace(_without_dots(path_of(url)), r"/+$", "")
     query = F.regexp_extract(rest, r"\?([\s\S]*)$", 1)
     query = F.regexp_replace(F.regexp_replace(query, r"(^|&)utm_[^&]*", ""), r"^&", "")
     return F.when(host != "", F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")))
@@ -79,23 +88,66 @@ def _chosen(host: Column, path: Column, rules: Sequence[tuple[str, str, str]], g
     return out if out is not None else F.lit(None).cast("string")
 
 
-def _absolute(target: Column, url: Column) -> Column:
-    """A link's target with the page's scheme and host where it has none."""
-    scheme, host = F.regexp_extract(url, r"^([^:/?#]*)://", 1), F.regexp_extract(_rest(url), r"^([^/?#]*)", 1)
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute with its character references decoded; empty without one."""
+    pattern = r"(?i)(?<=[\s\"'/])" + name + _VALUE
+    return F.trim(_decoded(F.concat(*(F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)))))
+
+
+def _decoded(text: Column) -> Column:
+    """Numeric references to ASCII characters and the five named ones of XML."""
+
+    def one(piece: Column) -> Column:
+        hexed, plain = F.regexp_extract(piece, r"^[xX]([0-9a-fA-F]{1,6});", 1), F.regexp_extract(piece, r"^([0-9]{1,7});", 1)
+        code = F.when(hexed != "", F.conv(hexed, 16, 10)).when(plain != "", plain).cast("int")
+        return F.when(code.between(32, 126), F.concat(F.char(code), F.regexp_replace(piece, r"^[xX]?[0-9a-fA-F]+;", ""))).otherwise(F.concat(F.lit("&#"), piece))
+
+    pieces = F.split(text, "&#", -1)
+    tail = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), one)
+    out = F.concat(F.element_at(pieces, 1), F.array_join(tail, ""))
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
+    return F.when(text.contains("&"), out).otherwise(text)
+
+
+def absolute(target: Column, base: Column) -> Column:
+    """What a link on a page with the address ``base`` leads to; null if to no host, or to itself."""
+    scheme, authority = F.regexp_extract(base, r"^([^:/?#]*)://", 1), F.regexp_extract(_rest(base), r"^([^/?#]*)", 1)
+    path = F.regexp_extract(target, r"^([^?#]*)", 1)
+    after = F.regexp_extract(target, r"^[^?#]*([\s\S]*)$", 1)
+    site = F.concat(scheme, F.lit("://"), authority)
+    folder = F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(path_of(base), r"[^/]*$", ""), r"^/", ""))
+    placed = F.when(path == "", path_of(base)).when(path.startswith("/"), _without_dots(path)).otherwise(_without_dots(F.concat(folder, path)))
     return (
-        F.when(target == "", F.lit(None))
-        .when(target.contains("://"), target)
+        F.when((target == "") | target.startswith("#"), F.lit(None))
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), target)
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.lit(None))
+        .when(authority == "", F.lit(None))
         .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
-        .when(target.startswith("/"), F.concat(scheme, F.lit("://"), host, target))
+        .otherwise(F.concat(site, placed, after))
     )
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    """(src_url, dst_url) of the pages' canonical links and refresh redirects."""
-    html = F.coalesce(F.col("html"), F.lit(""))
-    targets = F.array(F.regexp_extract(F.regexp_extract(html, _LINK, 0), _HREF, 1), F.regexp_extract(F.regexp_extract(html, _META, 0), _GOTO, 1))
-    found = pages.select(F.col("url").alias("src_url"), F.explode(targets).alias("target")).where("target <> ''")
-    return found.select("src_url", _absolute(F.col("target"), F.col("src_url")).alias("dst_url")).where("dst_url is not null")
+    """(src_url, dst_url) of all canonical links and refresh redirects of the pages.
+
+    Targets may be relative in any way, to the page's address or to its first ``<base>``;
+    what stands in comments does not count.
+    """
+    html = F.regexp_replace("html", r"(?s)<!--.*?-->", "")
+    may = pages.where(F.col("url").isNotNull() & F.col("html").rlike("(?i)canonical|refresh"))
+    tags = may.select(F.col("url").alias("src_url"), F.regexp_extract_all(html, F.lit(_TAGS), F.lit(0)).alias("tags"))
+    bases = F.filter(F.transform(F.filter("tags", lambda t: F.lower(t).startswith("<base")), lambda t: _attribute(t, "href")), lambda t: t != "")
+    first = F.get(bases, F.lit(0))
+    tags = tags.select("src_url", F.coalesce(absolute(first, F.col("src_url")), "src_url").alias("base"), F.explode("tags").alias("tag"))
+    link, meta = F.lower("tag").startswith("<link"), F.lower("tag").startswith("<meta")
+    tag = F.col("tag")
+    canonical = link & _attribute(tag, "rel").rlike(r"(?i)(^|\s)canonical(\s|$)")
+    refresh = meta & (F.lower(_attribute(tag, "http-equiv")) == "refresh")
+    goto = F.regexp_extract(_attribute(tag, "content"), r"(?i)^[0-9.\s]*[;,\s]\s*(?:url\s*=\s*)?[\"']?([^\"']*)", 1)
+    target = F.when(canonical, _attribute(tag, "href")).when(refresh, F.trim(goto))
+    found = tags.select("src_url", absolute(target, F.col("base")).alias("dst_url"))
+    return found.where("dst_url is not null")
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, redirects: DataFrame | None = None) -> DataFrame:
@@ -129,20 +181,83 @@ def op6_url_filter(spark, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op6_alias_verdicts(spark, sf_dir: str) -> DataFrame:
+    """The same operator where links decide: a page for each row of ``pages``, on 40 hosts.
+
+    A page links to the page 40 rows before, in one of eight spellings by its number, or
+    not at all; the table of the registered query has no such links.
+    """
+    k = F.col("page_id")
+    folder = lambda n: F.element_at(F.array(*(F.lit(x) for x in FOLDERS)), (n % len(FOLDERS) + 1).cast("int"))
+    site = lambda n: F.concat(F.lit("http://s"), (n % 40).cast("string"), F.lit(".com"))
+    name = lambda n: F.concat(n.cast("string"), F.lit(".html"))
+    there = k - 40
+    whole = F.concat(site(there), F.lit("/"), folder(there), F.lit("/"), name(there))
+    link = lambda href: F.concat(F.lit('<link rel="canonical" href="'), href, F.lit('">'))
+    forms = (
+        link(whole),
+        link(F.concat(F.lit("../"), folder(there), F.lit("/"), name(there))),
+        link(F.concat(F.lit("/"), folder(there), F.lit("/./"), name(there))),
+        F.concat(F.lit("<!-- <link rel=canonical href=http://none.com/> --><link href='//"), F.replace(whole, F.lit("http://"), F.lit("")), F.lit("?utm_a=1&amp;utm_b=2#top' rel='shortlink canonical'>")),
+        F.concat(F.lit('<META content="0; URL='), F.lit("'"), whole, F.lit("'"), F.lit('" http-equiv=Refresh>')),
+        F.concat(F.lit("<base href='/a/b/'>"), link(F.concat(F.lit("../../"), folder(there), F.lit("&#x2F;"), name(there)))),
+        F.concat(link(F.lit("#self")), link(whole), F.lit("<link rel='nocanonical' href='http://none.com/de/'>")),
+        F.lit("<link rel='next' href='http://none.com/de/'>"),
+    )
+    html = F.element_at(F.array(*forms), (k % len(forms) + 1).cast("int"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").where("page_id is not null")
+    url = F.concat(site(k), F.lit("/"), folder(k), F.lit("/"), name(k))
+    made = pages.select(k.cast("bigint").alias("page_id")).select("page_id", url.alias("url"), F.when(k >= 40, html).alias("html"))
+    return judge(made).select("page_id", "host", "path", "rule", "verdict")
+
+
+FOLDERS = ("en", "es", "en", "fr", "it", "en", "it", "nl", "en", "pt", "de")
+
+#: Aliases by row numbers alone: no link is read from a page's text.
+OP6_ALIAS_SQL = r"""
+WITH RECURSIVE p AS (
+  SELECT page_id, ['en', 'es', 'en', 'fr', 'it', 'en', 'it', 'nl', 'en', 'pt', 'de'][page_id % 11 + 1] AS folder
+  FROM pages WHERE page_id IS NOT NULL),
+ids AS (SELECT DISTINCT page_id FROM p),
+edges AS (SELECT page_id AS x, page_id - 40 AS y FROM ids WHERE page_id >= 40 AND page_id % 8 <> 7),
+blocked AS (
+  SELECT DISTINCT page_id AS n FROM p WHERE folder = 'de'
+  UNION SELECT y FROM edges WHERE y % 11 = 10),
+reached AS (
+  SELECT n FROM blocked
+  UNION
+  SELECT CASE WHEN r.n = e.x THEN e.y ELSE e.x END FROM reached r JOIN edges e ON r.n = e.x OR r.n = e.y)
+SELECT page_id, 's' || (page_id % 40) || '.com' AS host, '/' || folder || '/' || page_id || '.html' AS path,
+       CASE folder WHEN 'fr' THEN 'com/fr/' WHEN 'de' THEN 'com/de/' END AS rule,
+       CASE WHEN folder = 'fr' THEN 'allow' WHEN page_id IN (SELECT n FROM reached) THEN 'block' ELSE 'allow' END AS verdict
+FROM p
+"""
+
+#: Reads links tag by tag, cut at ``<``; without ``<base>``, dot segments and numeric references.
 OP6_SQL = r"""
-WITH RECURSIVE raw AS (
-  SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+WITH RECURSIVE tags AS (
+  SELECT url, unnest(string_split(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', '', 'g'), '<')) AS piece FROM pages WHERE url IS NOT NULL),
+wanted AS (
+  SELECT url AS src_url, split_part(piece, '>', 1) AS tag FROM tags
+  WHERE piece ILIKE 'link%canonical%' OR piece ILIKE 'meta%refresh%'),
 targets AS (
-  SELECT url AS src_url,
-         unnest([regexp_extract(regexp_extract(html, '(?i)<link\s[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-                 regexp_extract(regexp_extract(html, '(?i)<meta\s[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS target
-  FROM raw),
-links AS (
-  SELECT DISTINCT src_url,
-         CASE WHEN target LIKE '%://%' THEN target
-              WHEN target LIKE '//%' THEN regexp_extract(src_url, '^([^:/?#]*)://', 1) || ':' || target
-              WHEN target LIKE '/%' THEN regexp_extract(src_url, '^([^:/?#]*)://', 1) || '://' || regexp_extract(src_url, '://([^/?#]*)', 1) || target END AS dst_url
-  FROM targets WHERE target <> ''),
+  SELECT src_url, trim(replace(CASE
+           WHEN tag ILIKE 'link%' THEN regexp_extract(tag, '(?i)[\s"'']href\s*=\s*["'']?([^"''\s>]+)', 1)
+           ELSE regexp_extract(tag, '(?i)\burl\s*=\s*["'']?([^"''\s>]+)', 1) END, '&amp;', '&')) AS target,
+         regexp_extract(src_url, '^([^:/?#]*)://', 1) AS scheme, regexp_extract(src_url, '://([^/?#]*)', 1) AS authority,
+         regexp_extract(src_url, '://[^/?#]*([^?#]*)', 1) AS page_path
+  FROM wanted),
+joined AS (
+  SELECT DISTINCT src_url, CASE
+    WHEN target = '' OR starts_with(target, '#') THEN NULL
+    WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN target
+    WHEN regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:') OR authority = '' THEN NULL
+    WHEN starts_with(target, '//') THEN scheme || ':' || target
+    WHEN starts_with(target, '/') THEN scheme || '://' || authority || target
+    WHEN starts_with(target, '?') THEN scheme || '://' || authority || page_path || target
+    ELSE scheme || '://' || authority || CASE WHEN page_path = '' THEN '/' ELSE regexp_extract(page_path, '^(.*/)', 1) END || target END AS dst_url
+  FROM targets),
+links AS (SELECT src_url, dst_url FROM joined WHERE dst_url IS NOT NULL),
 named AS (
   SELECT DISTINCT url FROM (SELECT url FROM pages UNION ALL SELECT src_url FROM links UNION ALL SELECT dst_url FROM links)),
 parts AS (

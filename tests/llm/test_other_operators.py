@@ -96,8 +96,39 @@ def test_url_filter(spark):
     assert url_filter.judge(df.where("false")).count() == 0 and url_filter.judge(df).count() == len(PAGES)
 
 
+LINKS = [
+    ("http://h.com/a/b/c.html?x=1", "d.html", "http://h.com/a/b/d.html"), ("http://h.com/a/b/c.html", "../d?y=2#z", "http://h.com/a/d?y=2#z"), ("http://h.com/a/b/c", "?id=3", "http://h.com/a/b/c?id=3"),
+    ("https://h.com", "x/y", "https://h.com/x/y"), ("https://h.com/q", "//o.org/p", "https://o.org/p"), ("https://h.com:81/q/", "./r/../s/.", "https://h.com:81/q/s/"), ("http://h.com/a", "../../up", "http://h.com/up"),
+    ("http://h.com/a", "/login?next=http://o.org/", "http://h.com/login?next=http://o.org/"), ("http://h.com/a", "mailto:x@o.org", None), ("http://h.com/a", "#f", None), ("http://h.com/a", "", None), ("nowhere", "b", None),
+    ("nowhere", "HTTPS://o.org/", "HTTPS://o.org/"), ("http://h.com/a", None, None), (None, "b", None),
+]
+
+
+def test_targets_of_links(spark):
+    df = spark.createDataFrame(LINKS, "base string, target string, want string")
+    for r in df.withColumn("got", url_filter.absolute(F.col("target"), F.col("base"))).collect():
+        assert r["got"] == r["want"], r
+
+
+def test_links_of_pages(spark):
+    heads = [
+        ('<link rel=canonical href=one><LINK href="two?a=1&amp;b=2" rel="shortlink Canonical"><link rel=nocanonical href=no><link data-rel=canonical href=no>', {"http://h.com/d/one", "http://h.com/d/two?a=1&b=2"}),
+        ('<meta http-equiv="refresh" content="5"><meta content="0;URL=\'/three\'" http-equiv=REFRESH><meta name=refresh content="0;url=/no">', {"http://h.com/three"}),
+        ("<!-- <link rel=canonical href=no> --><base href='/x/'><base href='/y/'><link rel='canonical' href='&#102;our&#x2e;html'>", {"http://h.com/x/four.html"}),
+        ("<link rel=canonical><link rel=canonical href=''><p>canonical refresh</p>", set()), (None, set()),
+    ]
+    for head, want in heads:
+        df = spark.createDataFrame([(1, "http://h.com/d/p.html", head)], "page_id bigint, url string, html string")
+        assert {r["dst_url"] for r in url_filter.page_links(df).collect()} == want, head
+
+
 def test_url_filter_against_sql(spark):
-    df = spark.createDataFrame(PAGES, "page_id bigint, url string, html string, verdict string")
+    more = [
+        page(13, "http://r.net/a/b", '<link rel=canonical href="c"><link rel=canonical href="?id=3">'), page(14, "http://r.net/a/c", '<link href="http://de.com/de/" rel="x canonical">'),
+        page(15, "http://r.net/a/b?id=3"), page(16, "http://r.net/a/d", '<meta http-equiv=refresh content="0;url=b?id=3&amp;utm_x=1">'), page(17, "http://r.net/a/e"),
+    ]
+    df = spark.createDataFrame(PAGES + more, "page_id bigint, url string, html string, verdict string")
+    assert {r["page_id"]: r["verdict"] for r in url_filter.judge(df).collect() if r["page_id"] > 12} == {13: "block", 14: "block", 15: "block", 16: "block", 17: "allow"}
     con = duckdb.connect()
     con.register("pages", df.drop("verdict").toPandas())
     found = con.execute(url_filter.OP6_SQL)
