@@ -576,15 +576,98 @@ def test_lm_scores(spark):
     assert gain > 0
 
 
-def test_lm_classes_sum_to_one():
+def small_model(texts, seed=1):
+    """A model of these texts' counts, with weights drawn at random."""
+    t = lm_score.Tokens.of(*tokens.text_buffers(pa.array(texts)))
+    counts = {}
+    for h, c in zip(t.hashes.tolist(), t.classes.tolist(), strict=True):
+        counts[h] = (c, counts.get(h, (c, 0))[1] + 1)
+    n, v = np.zeros(lm_score.CLASSES), np.zeros(lm_score.CLASSES)
+    by_class = {}
+    for h, (c, k) in counts.items():
+        n[c] += k
+        v[c] += 1
+        by_class.setdefault(c, []).append((k, h))
+    short = [(int(np.uint64(h).view(np.int64)), c, k) for c, some in by_class.items() for k, h in sorted(some, reverse=True)[: lm_score.SHORT]]
+    model = lm_score.Model(n, v, short)
+    rng = np.random.default_rng(seed)
+    model.put((rng.standard_normal(len(model.flat())) * 0.7).astype(np.float32))
+    return model, counts
+
+
+def test_lm_probabilities_sum_to_one():
+    texts = [" ".join(f"w{i * j % 97}{e}" for i in range(60)) for j in range(1, 9) for e in "abc"] + ["x1 y2 ... é né", ""]
+    model, counts = small_model(texts)
+    data, offsets = tokens.text_buffers(pa.array(["w5a né unseenword"]))
+    context = lm_score.Tokens.of(data, offsets)
+    total, unseen = 0.0, {}
+    for h, (c, k) in counts.items():
+        t = lm_score.Tokens(np.r_[context.hashes[:2], np.uint64(h)], np.r_[context.classes[:2], np.uint8(c)], np.array([0, 3]))
+        total += 10 ** model.log10(t, np.array([0, 0, k]))[2]
+    for c in range(lm_score.CLASSES):  # the unseen type of each class
+        t = lm_score.Tokens(np.r_[context.hashes[:2], np.uint64(12345)], np.r_[context.classes[:2], np.uint8(c)], np.array([0, 3]))
+        unseen[c] = 10 ** model.log10(t, np.zeros(3, np.int64))[2]
+    assert total + sum(unseen.values()) == pytest.approx(1, abs=1e-5)
+
+
+def test_lm_score_by_definition():
+    """Token by token, from the weights and the counts."""
+    texts = ["der hund lief der katze nach", "der hund lief", "eine katze lief", "12 katzen"]
+    model, counts = small_model(texts, 2)
+    text = "der hund lief zum 12 katzen"
+    data, offsets = tokens.text_buffers(pa.array([text]))
+    t = lm_score.Tokens.of(data, offsets)
+    of_class, of_word = t.features(model.hashed)
+    got = model.log10(t, np.array([counts.get(int(h), (0, 0))[1] for h in t.hashes]))
+    words_of = [*text.split(), None]
+    known = {}
+    for x in texts:
+        for w in [*x.split(), None]:
+            known[w] = known.get(w, 0) + 1
+    letter = lambda w: 0 if w is None else ord(w[-1]) - 96 if w[-1].isalpha() else lm_score.CLASSES - 1
+    for i, w in enumerate(words_of):
+        c = letter(w)
+        s = np.exp(model.classes.weights[of_class[:, i].astype(int)].sum(0).astype(float))
+        s *= [sum(k for x, k in known.items() if letter(x) == z) + 1 for z in range(lm_score.CLASSES)]
+        p = s[c] / s.sum()
+        mine = {x: k for x, k in known.items() if letter(x) == c}
+        row = np.exp(model.words.weights[of_word[:, i].astype(int)].sum(0).astype(float))
+        hashes = {x: int(h) for x, h in zip(words_of, t.hashes, strict=True)}
+        places = {x: int(model.outcomes(np.array([hashes[x]], np.uint64))[0]) for x in words_of if letter(x) == c}
+        prior = np.zeros(lm_score.SHORT + 1)
+        others = sorted(mine.values(), reverse=True)
+        assert len(others) <= lm_score.SHORT  # all of them have an outcome of their own
+        prior[lm_score.SHORT] = 1
+        for x in range(len(others)):
+            prior[x] = others[x] + 1
+        q = row * prior / (row * prior).sum()
+        p *= q[places[w]]
+        assert w in known or places[w] == lm_score.SHORT
+        assert got[i] == pytest.approx(np.log10(p), abs=1e-5)
+
+
+def test_lm_learns_words_within_a_class():
+    texts = ["one ba two da", "two da one ba"] * 400
+    model, counts = small_model(texts)
+    model.put(np.zeros(len(model.flat()), np.float32))
+    t = lm_score.Tokens.of(*tokens.text_buffers(pa.array(texts)))
+    c = np.array([counts[int(h)][1] for h in t.hashes])
+    before = model.log10(t, c).sum()
+    for _ in range(3):
+        model.learn(t, 0.3)
+    assert model.log10(t, c).sum() > 0.3 * before  # what follows is certain, where each word alone is not
+    last = t.features(model.hashed)[1][:, 1]
+    assert model.words.weights[last.astype(int)].any()
+
+
+def test_lm_tokens_and_hash_space():
     data, offsets = tokens.text_buffers(pa.array(["der Hund lief", "", "één été 12 a1 ..."]))
     t = lm_score.Tokens.of(data, offsets)
     assert t.first.tolist() == [0, 4, 5, 11] and t.classes[3] == 0 and t.classes[0] == 18 and t.classes[7] == lm_score.CLASSES - 1
-    weights = np.random.default_rng(1).standard_normal((lm_score.WEIGHTS, lm_score.CLASSES)).astype(np.float32)
-    odds = lm_score.class_odds(weights, t.features())
-    assert odds.shape == (11, lm_score.CLASSES) and (odds > 0).all()
     one = lm_score.Tokens.of(*tokens.text_buffers(pa.array(["der Hund lief"])))
-    assert (one.features() == t.features()[:, :4]).all()
+    assert all((a == b[:, :4]).all() for a, b in zip(one.features(1 << 14), t.features(1 << 14), strict=True))
+    sizes = [lm_score.hashed_for(10**k) for k in range(13)]
+    assert sizes == sorted(sizes) and sizes[0] == lm_score.LEAST_HASHED and sizes[12] == lm_score.MOST_HASHED and lm_score.hashed_for(10**10) > lm_score.hashed_for(10**8)
 
 
 def test_lm_of_odd_input(odd, empty):
