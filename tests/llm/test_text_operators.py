@@ -335,7 +335,7 @@ def test_compact_windows_cover_every_subsequence():
     s[40:70] = np.tile(s[40:43], 10)  # ties
     first = np.array([0, 50, 50, 90])
     c, lo, hi = passages.compact_windows(s, first, 1, 12)
-    value = passages.mix(s * passages._A[1]) >> np.uint64(28)
+    value = passages.mix(s * passages._A[1]) >> passages._PLACE_BITS
     for a, b in zip(first[:-1], first[1:], strict=True):
         for i in range(a, b):
             for j in range(i + 12, b + 1):
@@ -364,6 +364,82 @@ def test_passages(spark):
     assert all(s <= 60 and e >= 140 for s, e in spans.values())
 
 
+def planted_passages(seed):
+    """Texts a third of which share frequent lines; passages that three of them share, some
+    mostly made of such a line and some with words changed; (rows, [(doc, first, last)])."""
+    rng = np.random.default_rng(seed)
+    lines = [words(rng, n, 10**6) for n in (30, 40, 25)]
+    texts = []
+    for _ in range(600):
+        body = words(rng, int(rng.integers(60, 200)), 10**6)
+        for line in lines:
+            if rng.random() < 0.35:
+                body += line + words(rng, int(rng.integers(5, 40)), 10**6)
+        texts.append(body)
+    planted, docs = [], rng.permutation(600)
+    for k in range(90):
+        own, line = words(rng, 32, 10**6), lines[k % 3]
+        passage = [line + own, own + line, words(rng, int(rng.integers(60, 160)), 10**6)][k // 30]
+        for d in docs[3 * k : 3 * k + 3]:
+            near = list(passage)
+            if k >= 60 and d != docs[3 * k]:
+                near[int(rng.integers(8, len(near) - 8))] = "changed"
+            at = int(rng.integers(0, 50))
+            texts[d] = texts[d][:at] + near + texts[d][at:]
+            planted.append((int(d), at, at + len(near)))
+    return [(d, " ".join(t)) for d, t in enumerate(texts)], planted
+
+
+@pytest.mark.parametrize("held", [passages.HELD, 1500])
+def test_recall_of_passages_beside_frequent_lines(spark, held):
+    rows, planted = planted_passages(3)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    spans = {}
+    for r in passages.near_passages(df, held=held).collect():
+        spans.setdefault(r["doc_id"], []).append((r["start_word"], r["end_word"]))
+    found = sum(any(min(b, y) - max(a, x) >= 0.8 * (b - a) for x, y in spans.get(d, [])) for d, a, b in planted)
+    assert found >= 0.95 * len(planted)
+    truth = {d for d, _, _ in planted}
+    assert set(spans) <= truth
+
+
+def test_places_far_into_a_text(spark):
+    rng = np.random.default_rng(2)
+    n = np.r_[np.arange(5000), rng.integers(0, 2**31 - 1, 5000), 2**31 - 1]
+    c = rng.integers(0, 2**31, len(n))
+    df = spark.createDataFrame([(int(p),) for p in passages.packed(c, n, n[::-1])], "place bigint")
+    got = np.array(df.select(*passages._unpacked(F.col("place"))).collect())
+    assert (got[:, 0] == c).all()
+    for mine, want in ((got[:, 1], n), (got[:, 2], n[::-1])):
+        assert (mine >= want).all() and (mine <= want * (1 + 1 / 1024) + 1).all()
+
+
+def test_passages_of_texts_of_many_words(spark):
+    rng = np.random.default_rng(4)
+    shared = words(rng, 70, 10**6)
+    rows = [(1, "word " * 1_200_000 + " ".join(shared) + " word" * 1_100_000), (2, " ".join(words(rng, 100, 10**6) + shared)), (3, "word " * 300_000)]
+    got = {(r["doc_id"], r["other_doc_id"], r["start_word"], r["end_word"]) for r in passages.near_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {(2, 1, 100, 170), (1, 2, 1_200_000, 1_200_070)} <= got
+
+
+def test_stars_of_a_chunk():
+    rng = np.random.default_rng(6)
+    key, doc, place = (rng.integers(0, n, 4000) for n in (300, 40, 5))
+    sent, left, right = passages.stars(key, doc, place)
+    assert (key[left] == key[right]).all() and (doc[left] != doc[right]).all()
+    partner = {}
+    for i, j in zip(left, right, strict=True):
+        partner.setdefault((key[i], doc[i], place[i]), set()).add(doc[j])
+    for k in range(300):
+        mine = np.flatnonzero(key == k)
+        docs = set(doc[mine])
+        out = [i for i in sent if key[i] == k]
+        if len(docs) > 1:
+            assert len({doc[i] for i in out}) == len(out) == 2
+        for i in mine:
+            assert (key[i], doc[i], place[i]) in partner or any((doc[i], place[i]) == (doc[j], place[j]) for j in out)
+
+
 def test_passages_whose_offset_jumps():
     """Neighbours in one text that lie apart, or the other way round, in the other."""
     s = np.random.default_rng(9).integers(0, 2**63, 900, dtype=np.uint64)
