@@ -52,7 +52,8 @@ SHORT = 15  # words of a class with an outcome of their own
 LEAST_HASHED, MOST_HASHED = 1 << 12, 1 << 19  # weights of hashed features, for each outcome
 ROUNDS = 2
 STEP = 2048  # tokens in a gradient step
-RATE = 0.3
+RATE = 0.15
+SEEN = 0.02  # sum of squares that every feature starts with
 BLOCK_BYTES = 16 << 20  # text in a block that is scored at once, about
 TEXT_FOR_WEIGHTS = 8  # a training task reads as many times the bytes of the weights, at least
 CHUNK = 1 << 14  # weights in a row on their way to being averaged
@@ -128,7 +129,7 @@ def hashed_for(tokens: int) -> int:
 
 
 class Softmax:
-    """Hashed weights of one factor; ``seen`` are the sums of squares of adaptive steps."""
+    """Hashed weights of one factor; ``seen`` are each feature's sums of squares of adaptive steps."""
 
     def __init__(self, weights: np.ndarray):
         self.weights, self.seen = weights, None
@@ -142,7 +143,7 @@ class Softmax:
 
     def learn(self, features: np.ndarray, prior: np.ndarray, outcomes: np.ndarray, rate: float) -> None:
         if self.seen is None:
-            self.seen = np.full(self.weights.shape, 1.0, np.float32)
+            self.seen = np.full(len(self.weights), SEEN, np.float32)
         n = len(outcomes)
         gap = self.odds(features, prior)
         gap /= gap @ np.ones((gap.shape[1], 1), np.float32)
@@ -151,12 +152,22 @@ class Softmax:
         flat = features.reshape(-1)
         order = np.argsort(flat, kind="stable")
         flat = flat[order]
+        order %= n
         head = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-        step = np.add.reduceat(np.take(gap, order % n, axis=0), head, axis=0)
-        at = flat[head]
-        seen = self.seen[at] + step * step
+        size = np.diff(np.r_[head, len(flat)])
+        alone = head[size == 1]
+        self._move(flat[alone], np.take(gap, order[alone], axis=0), rate)
+        more = np.repeat(size > 1, size)
+        if more.any():
+            flat, order, size = flat[more], order[more], size[size > 1]
+            head = np.cumsum(size) - size
+            self._move(flat[head], np.add.reduceat(np.take(gap, order, axis=0), head, axis=0), rate)
+
+    def _move(self, at: np.ndarray, step: np.ndarray, rate: float) -> None:
+        seen = self.seen[at] + np.einsum("ij,ij->i", step, step) / step.shape[1]
         self.seen[at] = seen
-        self.weights[at] -= rate * step / np.sqrt(seen)
+        step *= (rate / np.sqrt(seen))[:, None]
+        self.weights[at] -= step
 
 
 class Model:
