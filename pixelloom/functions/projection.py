@@ -52,6 +52,21 @@ def cea_point(lon: float, lat: float) -> tuple[float, float]:
     return A * K0 * math.radians(lon), A * _q(math.sin(math.radians(lat))) / (2 * K0)
 
 
+def utm_xy(lon: Column, lat: Column, zone: int = 36, south: bool = True) -> tuple[Column, Column]:
+    """(x, y) of a place in UTM coordinates, by the forward series (Snyder 8-9 to 8-15)."""
+    ep2 = E2 / (1 - E2)
+    p = F.radians(lat)
+    s, c, t = F.sin(p), F.cos(p), F.pow(F.tan(p), F.lit(2.0))
+    c1 = F.lit(ep2) * c * c
+    n = F.lit(A) / F.sqrt(F.lit(1.0) - F.lit(E2) * s * s)
+    a = F.radians(lon - F.lit(float(6 * zone - 183))) * c
+    m0, m2, m4, m6 = 1 - E2 / 4 - 3 * E2**2 / 64 - 5 * E2**3 / 256, 3 * E2 / 8 + 3 * E2**2 / 32 + 45 * E2**3 / 1024, 15 * E2**2 / 256 + 45 * E2**3 / 1024, 35 * E2**3 / 3072
+    m = F.lit(A) * (F.lit(m0) * p - F.lit(m2) * F.sin(2 * p) + F.lit(m4) * F.sin(4 * p) - F.lit(m6) * F.sin(6 * p))
+    east = n * (a + (1 - t + c1) * F.pow(a, F.lit(3.0)) / 6 + (5 - 18 * t + t * t + 72 * c1 - 58 * ep2) * F.pow(a, F.lit(5.0)) / 120)
+    north = m + n * F.tan(p) * (a * a / 2 + (5 - t + 9 * c1 + 4 * c1 * c1) * F.pow(a, F.lit(4.0)) / 24 + (61 - 58 * t + t * t + 600 * c1 - 330 * ep2) * F.pow(a, F.lit(6.0)) / 720)
+    return F.lit(500_000.0) + F.lit(0.9996) * east, F.lit(10_000_000.0 if south else 0.0) + F.lit(0.9996) * north
+
+
 def utm_latlon(x: Column, y: Column, zone: int = 36, south: bool = True) -> tuple[Column, Column]:
     """(latitude, longitude) of UTM coordinates, by the inverse series."""
     e1 = (1 - math.sqrt(1 - E2)) / (1 + math.sqrt(1 - E2))

@@ -56,6 +56,20 @@ def assign_nearest(fine: DataFrame, coarse: DataFrame, values: Sequence[str], ke
     return placed.join(coarse.select(*keys, "lat_i", "lon_i", *(F.col(v).cast("float").alias(v) for v in values)), ["lat_i", "lon_i"])
 
 
+def onto_finer(fine: DataFrame, coarse: DataFrame, values: Sequence[str], keys: Sequence[str] = (), axes: Sequence[str] = ("y", "x")) -> DataFrame:
+    """``fine`` with the values of the coarse cell nearest along each axis, on a tie the
+    lower coordinate; null where the coarse grid has no such cell.  Columns of ``fine`` with
+    the values' names are replaced."""
+    out = fine.drop(*values)
+    kept = out.columns
+    for k, axis in enumerate(axes):
+        near = nearest_on_axis(fine.select(axis), coarse.select(axis, F.col(axis).alias("_at")), axis, "_at")
+        out = out.join(near.select(F.col(axis).alias(f"_axis{k}"), F.col("_at").alias(f"_near{k}")), F.col(axis).cast("double") == F.col(f"_axis{k}"), "left")
+    there = coarse.select(*(F.col(c).alias(f"_key_{c}") for c in keys), *(F.col(axis).alias(f"_there{k}") for k, axis in enumerate(axes)), *(F.col(v).alias(f"_value_{v}") for v in values))
+    same = [F.col(c) == F.col(f"_key_{c}") for c in keys] + [F.col(f"_near{k}") == F.col(f"_there{k}") for k in range(len(axes))]
+    return out.join(there, same, "left").select(*kept, *(F.col(f"_value_{v}").alias(v) for v in values))
+
+
 def nearest_month(targets: DataFrame, steps: DataFrame, t: str = "t", month: str = "month_start") -> DataFrame:
     """(t, month_start): the monthly step nearest to each time in days, either way; the earlier on a tie."""
     days = steps.select(F.datediff(F.col(month), F.lit("1970-01-01")).alias("d")).distinct().select("d", F.col("d").alias("i"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.errors import GridAlignmentError
 from pixelloom.functions.indices import normalised_difference
+from pixelloom.operators.grid import onto_finer
 
 CELL = ("row", "col")
 VALID_SCL = (4, 5, 6)
@@ -21,6 +22,17 @@ def scl_mask(df: DataFrame, bands: Sequence[str], valid: Sequence[int] = VALID_S
     return df.withColumns({b: F.when(F.col(scl).isin(*valid), F.col(b).cast("float")) for b in bands})
 
 
+def scl_mask_from_coarser(df: DataFrame, classes: DataFrame, bands: Sequence[str], valid: Sequence[int] = VALID_SCL, scl: str = "scl", keys: Sequence[str] = ("t",)) -> DataFrame:
+    """As ``scl_mask`` with the scene classes of a coarser grid, (keys, y, x, scl): each cell has the class nearest to it."""
+    return scl_mask(onto_finer(df, classes, [scl], keys), bands, valid, scl)
+
+
+def crop_mask_from_coarser(df: DataFrame, mask: DataFrame, values: Sequence[str], wanted: float = 1, name: str = "crop_mask") -> DataFrame:
+    """As ``crop_mask`` with a static mask on a coarser grid, (y, x, crop_mask)."""
+    placed = onto_finer(df, mask, [name])
+    return placed.withColumns({v: F.when(F.col(name) == wanted, F.col(v)) for v in values}).drop(name)
+
+
 def crop_mask(df: DataFrame, mask: DataFrame, values: Sequence[str], wanted: float = 1, cell: Sequence[str] = CELL, name: str = "crop_mask") -> DataFrame:
     """Values are null where the static mask is another value, null or absent."""
     joined = df.join(mask.select(*cell, F.col(name).alias("_mask")), list(cell), "left")
@@ -36,15 +48,16 @@ def composite(df: DataFrame, value: str, days: int = 14, t: str = "t", cell: Seq
     """A1: (bin, bin_start, cell, value, valid_obs_count): the exact median of each bin.
 
     Bins begin at the first observation's midnight; every cell has every bin up to the
-    last, empty ones with a null median and a count of 0 (S5).
+    last, empty ones with a null median and a count of 0 (S5).  Rows are dealt by cell once;
+    medians, the filling of gaps, and windows over a cell's bins need no other exchange.
     """
     span = df.agg(F.to_date(F.min(t)).alias("first"), F.to_date(F.max(t)).alias("last"))
     first, last = span.select("first").scalar(), span.select("last").scalar()
-    seen = df.withColumn("bin", bin_of(F.to_date(t), first, days)).groupBy("bin", *cell).agg(F.median(value).alias(value), F.count(value).cast("int").alias("valid_obs_count"))
-    cells = df.select(*cell).distinct()
-    dense = cells.select(*cell, F.explode(F.sequence(F.lit(0), bin_of(last, first, days))).alias("bin"))
-    out = dense.join(seen, ["bin", *cell], "left")
-    return out.select("bin", F.date_add(first, F.col("bin") * days).alias("bin_start"), *cell, value, F.coalesce("valid_obs_count", F.lit(0)).alias("valid_obs_count"))
+    dealt = df.select(*cell, bin_of(F.to_date(t), first, days).alias("bin"), value).repartition(*cell)
+    seen = dealt.groupBy(*cell, "bin").agg(F.median(value).alias(value), F.count(value).cast("int").alias("n"))
+    by_cell = seen.groupBy(*cell).agg(F.map_from_entries(F.collect_list(F.struct("bin", F.struct(value, "n")))).alias("of"))  # a cell's bins
+    dense = by_cell.select(*cell, "of", F.explode(F.sequence(F.lit(0), bin_of(last, first, days))).alias("bin")).withColumn("of", F.element_at("of", F.col("bin")))
+    return dense.select("bin", F.date_add(first, F.col("bin") * days).alias("bin_start"), *cell, F.col(f"of.{value}").alias(value), F.coalesce("of.n", F.lit(0)).alias("valid_obs_count"))
 
 
 def smooth(df: DataFrame, value: str, window: int = 3, min_periods: int = 1, cell: Sequence[str] = CELL, order: str = "bin", out: str = "smoothed") -> DataFrame:

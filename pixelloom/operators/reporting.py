@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
-from datetime import UTC, datetime
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
+from datetime import UTC, date, datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pixelloom.functions.cases import CASES
@@ -150,27 +151,99 @@ def write_markdown(document: dict, path: str) -> str:
     return path
 
 
-def feature_collections(features: DataFrame, report: DataFrame | None = None) -> DataFrame:
-    """K1: (bin, file_name, geojson), a FeatureCollection for each bin that has zones."""
-    one = features.groupBy("bin", "bin_start").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("comp_id", "feature"))), lambda x: x["feature"]), ",").alias("f"))
-    name = F.format_string("scouting_zones_bin_%02d_%s.geojson", F.col("bin") + 1, F.date_format("bin_start", "yyyyMMdd"))
-    if report is None:
-        return one.select("bin", name.alias("file_name"), F.concat(F.lit('{"type":"FeatureCollection","features":['), "f", F.lit("]}")).alias("geojson"))
-    said = report.select("bin", F.to_json(F.struct(*(c for c in report.columns if c != "bin"))).alias("r"))
-    return one.join(said, "bin", "left").select("bin", name.alias("file_name"), F.concat(F.lit('{"type":"FeatureCollection","features":['), "f", F.lit('],"pipeline_report":'), F.coalesce("r", F.lit("null")), F.lit("}")).alias("geojson"))
+#: What a bin's report says beside its counts.
+REPORT_FACTS = {
+    "pixel_area_source": "affine_transform", "mmu_threshold_m2": 20000.0, "connectivity": "8-connected",
+    "area_calculation_crs": "EPSG:6933", "area_calculation_method": "pixel_count × pixel_area_m2 (projected)",
+}
 
 
-def write_collections(collections: DataFrame, path: str) -> None:
-    """K1: a folder for each bin's collection, named after its file."""
-    collections.select("file_name", F.col("geojson").alias("value")).write.mode("overwrite").partitionBy("file_name").text(path)
+def file_name(bin_number: int, start: date) -> str:
+    """K1: scouting_zones_bin_01_20230301.geojson."""
+    return f"scouting_zones_bin_{bin_number + 1:02d}_{start:%Y%m%d}.geojson"
+
+
+@contextmanager
+def text_file(spark: SparkSession, path: str) -> Iterator[Callable[[str], None]]:
+    """A function that appends text to the file at ``path``, in any file system that Spark writes to."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    held: list[str] = []
+
+    def flush() -> None:
+        out.write(bytearray("".join(held).encode("utf-8")))
+        held.clear()
+
+    def write(text: str) -> None:
+        held.append(text)
+        if len(held) >= 256:
+            flush()
+
+    try:
+        yield write
+        flush()
+    finally:
+        out.close()
+
+
+def _in_order(features: DataFrame, *columns: str) -> Iterator:
+    """Features by bin and component, a partition at a time on the driver."""
+    return features.select("bin", "comp_id", *columns).orderBy("bin", "comp_id").toLocalIterator()
+
+
+def write_collections(features: DataFrame, report: DataFrame, starts: DataFrame, folder: str, grid_bbox: Sequence[float] | None = None, opened: bool = True) -> list[str]:
+    """K1: a FeatureCollection file for each bin, those without zones too; returns the paths.
+
+    starts: (bin, bin_start).  A row for each bin is held on the driver; features pass
+    through it a partition at a time.
+    """
+    spark = features.sparkSession
+    bins = {r["bin"]: r["bin_start"] for r in starts.select("bin", "bin_start").distinct().collect()}
+    said = {r["bin"]: {k: v for k, v in r.asDict().items() if k != "bin"} for r in report.collect()}
+    rows, paths = _in_order(features, "feature"), []
+    row = next(rows, None)
+    for number in sorted(bins):
+        paths.append(f"{folder.rstrip('/')}/{file_name(number, bins[number])}")
+        with text_file(spark, paths[-1]) as write:
+            write('{"type": "FeatureCollection", "features": [')
+            first = True
+            while row is not None and row["bin"] <= number:
+                if row["bin"] == number:
+                    write(("\n" if first else ",\n") + row["feature"])
+                    first = False
+                row = next(rows, None)
+            facts = said.get(number, {}) | REPORT_FACTS | {"morphology_applied": opened}
+            tail = {"pipeline_report": facts} | ({"properties": {"grid_bbox": list(grid_bbox)}} if grid_bbox else {})
+            write("],\n" + json.dumps(tail, ensure_ascii=False, default=str)[1:])
+    return paths
 
 
 def seasonal_collection(features: DataFrame) -> DataFrame:
-    """K2: (bin, comp_id, feature) with bin_index among the properties; write it as lines, in order of bin and component."""
-    with_bin = F.regexp_replace("feature", r'"properties":\{', F.concat(F.lit('"properties":{"bin_index":'), (F.col("bin") + 1).cast("string"), F.lit(",")))
+    """K2: (bin, comp_id, feature) with bin_index as the last of the properties."""
+    with_bin = F.concat(F.expr("substring(feature, 1, length(feature) - 2)"), F.lit(',"bin_index":'), (F.col("bin") + 1).cast("string"), F.lit("}}"))
     return features.select("bin", "comp_id", with_bin.alias("feature"))
 
 
-def manifest(**paths: str) -> dict:
-    """K6: what a run wrote, and when."""
-    return {"generated_utc": datetime.now(UTC).isoformat(), "outputs": paths}
+def write_seasonal_collection(features: DataFrame, path: str, name: str, properties: Mapping[str, object]) -> str:
+    """K2: all zones of a season in one FeatureCollection, in order of bin and component."""
+    total = features.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("properties.area_ha"), 2).alias("ha")).first()
+    facts = dict(properties) | {"total_features": total["n"], "cumulative_candidate_area_ha": total["ha"] or 0.0}
+    crs = {"type": "name", "properties": {"name": "urn:ogc:def:crs:OGC:1.3:CRS84"}}
+    with text_file(features.sparkSession, path) as write:
+        write('{"type": "FeatureCollection", "name": ' + json.dumps(name) + ', "crs": ' + json.dumps(crs) + ', "features": [')
+        for k, row in enumerate(_in_order(seasonal_collection(features), "feature")):
+            write((",\n" if k else "\n") + row["feature"])
+        write('],\n"properties": ' + json.dumps(facts, ensure_ascii=False, default=str) + "}")
+    return path
+
+
+def manifest(document: dict | None = None, **paths: object) -> dict:
+    """K6: what a run wrote, and when; with a summary document also its totals."""
+    out: dict = {"status": "SUCCESS", "generated_utc": datetime.now(UTC).isoformat(), "exported_artifacts": paths}
+    if document is not None:
+        totals = document["diagnostic_totals"]
+        out |= {
+            "n_bins_executed": document["temporal_scope"]["n_canonical_bins"], "total_clusters": totals["total_extracted_clusters"],
+            "cumulative_candidate_area_ha": totals["total_candidate_area_ha_cumulative"], "actionable_bin_count": totals["actionable_bin_count"], "summary": document,
+        }
+    return out

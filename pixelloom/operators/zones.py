@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import json
 from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -45,30 +46,37 @@ def opening(mask: DataFrame) -> DataFrame:
 
 
 def _tile_labels(tile: int):
+    """Labels of one tile: runs along rows, united where they touch, by arrays."""
+
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        cells = sorted(zip(table.column("row").to_pylist(), table.column("col").to_pylist(), strict=True))
-        label: dict[tuple[int, int], int] = {}
-        parent: list[int] = []
-
-        def root(k: int) -> int:
-            while parent[k] != k:
-                parent[k] = parent[parent[k]]
-                k = parent[k]
-            return k
-
-        for r, c in cells:
-            near = {root(label[n]) for n in ((r - 1, c - 1), (r - 1, c), (r - 1, c + 1), (r, c - 1)) if n in label}
-            low = min(near, default=len(parent))
-            if not near:
-                parent.append(low)
-            for n in near:
-                parent[n] = low
-            label[r, c] = low
-        first: dict[int, tuple[int, int]] = {}
-        for cell in cells:
-            first.setdefault(root(label[cell]), cell)
-        roots = [first[root(label[cell])] for cell in cells]
-        return pa.table([pa.array([key[0].as_py()] * len(cells), pa.int64()), pa.array([c[0] for c in cells], pa.int64()), pa.array([c[1] for c in cells], pa.int64()), pa.array([(r << 32) + c for r, c in roots], pa.int64())], names=["bin", "row", "col", "part"])
+        r, c = (table.column(x).to_numpy() for x in ("row", "col"))
+        order = np.lexsort((c, r))
+        r, c = r[order], c[order]
+        head = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (c[1:] != c[:-1] + 1)])
+        tail = np.r_[head[1:], len(r)] - 1
+        rows, start, end = r[head], c[head], c[tail]
+        # a run touches those of the row before that begin no later than its end + 1 and end no sooner than its start - 1
+        width = np.int64(end.max() - start.min() + 4)
+        place = lambda row, col: (row - r[0]) * width + (col - start.min() + 1)
+        first = np.searchsorted(place(rows, end), place(rows - 1, start - 1), "left")
+        last = np.searchsorted(place(rows, start), place(rows - 1, end + 1), "right")
+        many = np.maximum(last - first, 0)
+        x = np.repeat(np.arange(len(head)), many)
+        y = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)
+        label = np.arange(len(head))
+        while True:
+            low = label.copy()
+            np.minimum.at(low, label[x], label[y])
+            np.minimum.at(low, label[y], label[x])
+            while (low[low] != low).any():
+                low = low[low]
+            low = low[label]
+            if (low == label).all():
+                break
+            label = low
+        part = ((rows << 32) + start)[label]
+        out = np.repeat(part, tail - head + 1)
+        return pa.table([pa.array(np.full(len(r), key[0].as_py(), np.int64)), pa.array(r), pa.array(c), pa.array(out)], names=["bin", "row", "col", "part"])
 
     return run
 
@@ -98,7 +106,12 @@ def label_components(mask: DataFrame, tile: int = TILE, max_rounds: int = 60) ->
                 break
         else:
             raise RuntimeError(f"labels did not settle in {max_rounds} rounds")
-    ranked = names.select("bin", "root").distinct().withColumn("comp_id", F.row_number().over(Window.partitionBy("bin").orderBy("root")))
+    # numbers within a band of rows, and the numbers that the bands before it take
+    roots = materialize(names.select("bin", "root").distinct().withColumn("band", F.floor(F.shiftright("root", 32) / tile)), "bands")
+    sizes = roots.groupBy("bin", "band").agg(F.count(F.lit(1)).alias("size"))
+    taken = sizes.withColumn("taken", F.sum("size").over(Window.partitionBy("bin").orderBy("band")) - F.col("size")).drop("size")
+    place = F.row_number().over(Window.partitionBy("bin", "band").orderBy("root"))
+    ranked = roots.withColumn("place", place).join(taken, ["bin", "band"]).select("bin", "root", (F.col("place") + F.col("taken")).cast("int").alias("comp_id"))
     named = names.join(ranked, ["bin", "root"]).select("bin", "part", "comp_id")
     return labelled.join(named, ["bin", "part"]).select("bin", "row", "col", "comp_id")
 
@@ -245,5 +258,7 @@ def zone_report(screened: DataFrame, mask: DataFrame, zones: DataFrame, pixel_m2
     fits = F.col("area_m2") >= least_m2
     parts = zones.groupBy("bin").agg(F.count(F.lit(1)).alias("n_connected_components"), F.count_if(~fits).alias("n_components_removed_mmu"), F.count_if(fits).alias("n_surviving_clusters"), F.sum(F.when(fits, F.col("area_m2"))).alias("final_total_area_m2"))
     out = raw.join(after, "bin", "left").join(parts, "bin", "left").na.fill(0)
-    out = out.withColumn("raw_actionable_area_m2", F.round(F.col("raw_actionable_pixels") * pixel_m2, 2)).withColumn("post_morphology_area_m2", F.round(F.col("post_morphology_pixels") * pixel_m2, 2))
-    return out.withColumn("final_total_area_ha", F.round(F.col("final_total_area_m2") / 10_000, 4))
+    for name in ("raw_actionable", "post_morphology"):
+        m2 = F.round(F.col(f"{name}_pixels") * pixel_m2, 2)
+        out = out.withColumn(f"{name}_area_m2", m2).withColumn(f"{name}_area_ha", F.round(m2 / 10_000, 4))
+    return out.withColumn("final_total_area_ha", F.round(F.col("final_total_area_m2") / 10_000, 4)).withColumn("pixel_area_m2", F.lit(float(pixel_m2)))

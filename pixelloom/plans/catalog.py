@@ -19,6 +19,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 _REGISTERED: dict[str, tuple[Query, str | None]] = {}
 
 BINS = [date(2024, 1, 1) + timedelta(days=14 * k) for k in range(3)]
+SEASON = date(2001, 1, 1)  # where the season's optical observations come from
 BBOX = (35.15, 0.55, 35.35, 0.75)
 
 
@@ -548,10 +549,39 @@ def _(spark, sf_dir):
     return out.select("raw_actionable_pixels", "post_morphology_pixels", "n_connected_components", "n_components_removed_mmu", "n_surviving_clusters", "final_total_area_m2")
 
 
-@query("zones_geojson")
+def _cea_lat_sql(y: str) -> str:
+    e2, beta = projection.E2, f"asin({y} * {2 * _K0 / (_A * _QP)!r}::DOUBLE)"
+    c2, c4, c6 = e2 / 3 + 31 * e2**2 / 180 + 517 * e2**3 / 5040, 23 * e2**2 / 360 + 251 * e2**3 / 3780, 761 * e2**3 / 45360
+    return f"degrees({beta} + {c2!r}::DOUBLE * sin(2 * {beta}) + {c4!r}::DOUBLE * sin(4 * {beta}) + {c6!r}::DOUBLE * sin(6 * {beta}))"
+
+
+_EAST, _NORTH = (lambda c: f"round(degrees(({_X0!r}::DOUBLE + ({c}) * 30) / {_A * _K0!r}::DOUBLE), 6)"), (lambda r: f"round({_cea_lat_sql(f'({_Y0!r}::DOUBLE + ({r}) * 30)')}, 6)")
+
+
+@query("zones_geojson", f"""WITH RECURSIVE {D.CASES}, cells AS (SELECT CAST(bin AS INT) AS bin, "row", col FROM cases WHERE diagnostic_case IN (1, 2, 4, 5)), {D.LABELLED_BINS},
+vals AS (SELECT l.bin, l.comp_id, l."row", l.col, c.diagnostic_case, c.z_ndvi, c.z_r, c.bin_start FROM labels l JOIN cases c ON c.bin = l.bin AND c."row" = l."row" AND c.col = l.col),
+n AS (SELECT bin, comp_id, diagnostic_case, count(*) AS k FROM vals GROUP BY 1, 2, 3), top AS (SELECT bin, comp_id, arg_min(diagnostic_case, (-k, diagnostic_case)) AS c FROM n GROUP BY 1, 2),
+z AS (SELECT bin, comp_id, min(bin_start) AS bin_start, count(*) AS pixel_count, avg(z_ndvi) AS z_ndvi, avg(z_r) AS z_r, avg("row") AS cy, avg(col) AS cx, min("row") AS r0, max("row") AS r1, min(col) AS c0, max(col) AS c1 FROM vals GROUP BY 1, 2 HAVING count(*) * 900 >= 20000),
+e AS (SELECT bin, comp_id, "row" AS r0, col AS c0, 0 AS dr, 1 AS dc FROM labels UNION ALL SELECT bin, comp_id, "row", col + 1, 1, 0 FROM labels UNION ALL SELECT bin, comp_id, "row" + 1, col + 1, 0, -1 FROM labels UNION ALL SELECT bin, comp_id, "row" + 1, col, -1, 0 FROM labels),
+own AS (SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.bin = e.bin AND b.comp_id = e.comp_id AND b.r0 = e.r0 + e.dr AND b.c0 = e.c0 + e.dc AND b.dr = -e.dr AND b.dc = -e.dc)),
+straight AS (SELECT a.bin, a.comp_id, count(*) AS n FROM own a JOIN own b ON b.bin = a.bin AND b.comp_id = a.comp_id AND b.r0 = a.r0 + a.dr AND b.c0 = a.c0 + a.dc AND b.dr = a.dr AND b.dc = a.dc GROUP BY 1, 2),
+sides AS (SELECT bin, comp_id, count(*) AS n FROM own GROUP BY 1, 2)
+SELECT z.bin, z.comp_id, 'SC-' || strftime(bin_start, '%Y%m%d') || '-' || lpad(CAST(z.comp_id AS VARCHAR), 4, '0') AS zone_id, CASE c WHEN 1 THEN 'CASE_A' WHEN 2 THEN 'CASE_B' WHEN 4 THEN 'CASE_D' ELSE 'MULTI_SIGNAL' END AS case_type,
+  CAST(pixel_count AS BIGINT) AS pixel_count, round(pixel_count * 0.09::DOUBLE, 4) AS area_ha, round(pixel_count * 0.09::DOUBLE, 4) AS geom_area_ha, true AS area_ha_match, round(z_ndvi, 4) AS mean_z_ndvi, round(z_r, 4) AS mean_z_r,
+  {_NORTH("cy")} AS centroid_lat, {_EAST("cx")} AS centroid_lon, {_EAST("c0 - 0.5")} AS west, {_NORTH("r0 - 0.5")} AS south, {_EAST("c1 + 0.5")} AS east, {_NORTH("r1 + 0.5")} AS north, CAST(sides.n - coalesce(straight.n, 0) AS BIGINT) AS corners
+FROM z JOIN top USING (bin, comp_id) JOIN sides USING (bin, comp_id) LEFT JOIN straight USING (bin, comp_id)""")
 def _(spark, sf_dir):
+    """Read back from the GeoJSON text: properties, the box round all rings, and their corners."""
     features, _ = zones.scouting_zones(_screened(spark, sf_dir), _X0, _Y0, opened=False)
-    return features.select("bin", "comp_id", "feature")
+    said = F.from_json(F.get_json_object("feature", "$.properties"), "zone_id string, case_type string, pixel_count bigint, area_ha double, geom_area_ha double, area_ha_match boolean, mean_z_ndvi double, mean_z_r double, centroid_lat double, centroid_lon double")
+    shape, ring = F.get_json_object("feature", "$.geometry.coordinates"), "array<array<array<double>>>"
+    many = F.get_json_object("feature", "$.geometry.type") == "MultiPolygon"
+    rings = F.when(many, F.flatten(F.from_json(shape, f"array<{ring}>"))).otherwise(F.from_json(shape, ring))
+    out = features.select(F.col("bin").cast("int").alias("bin"), "comp_id", said.alias("p"), rings.alias("rings")).withColumn("points", F.flatten("rings"))
+    xs, ys = F.transform("points", lambda p: p[0]), F.transform("points", lambda p: p[1])
+    edges = (F.array_min(xs).alias("west"), F.array_min(ys).alias("south"), F.array_max(xs).alias("east"), F.array_max(ys).alias("north"))
+    out = out.select("bin", "comp_id", "p.*", *edges, (F.size("points") - F.size("rings")).cast("bigint").alias("corners"))
+    return out.withColumns({c: F.round(c, 6) for c in ("west", "south", "east", "north")})
 
 
 # ---- the seasonal run --------------------------------------------------------------------
@@ -565,16 +595,12 @@ def _season(spark: SparkSession, sf_dir: str) -> season.Season:
     cells = spark.range(100).select(F.expr("id div 10").alias("row"), F.expr("id % 10").alias("col"))
     cells = cells.select("row", "col", (F.col("row") * 0.1).alias("lat"), (35 + F.col("col") * 0.1).alias("lon"))
     starts = spark.createDataFrame([(k, d) for k, d in enumerate(BINS)], "bin int, bin_start date")
+    # the season's own observations, from the same days of an earlier year; the climatology has all years
+    own = _ndvi(spark, sf_dir).where(F.col("t").cast("date").between(*(F.lit(d).cast("date") for d in (SEASON, SEASON + timedelta(days=14 * len(BINS) - 1)))))
+    own = own.groupBy(optical.bin_of(F.to_date("t"), F.lit(SEASON)).alias("bin"), "row", "col").agg(F.median("ndvi").alias("ndvi")).join(starts, "bin")
     series = materialize(_composite(spark, sf_dir), "composite")
-    last = series.where("bin % 26 < 3").groupBy(F.expr("bin % 26").cast("int").alias("bin"), "row", "col").agg(F.max("ndvi").alias("ndvi")).join(starts, "bin")
     clim = series.groupBy(F.month("bin_start").alias("month"), "row", "col").agg(F.avg("ndvi").alias("mean"), F.stddev_pop("ndvi").alias("std"), F.sum("valid_obs_count").alias("count"))
-    return season.run(soil, base, rain, last, clim, cells, BINS, (_X0, _Y0), opened=False)
-
-
-@query("seasonal_run")
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole chain, down to a row for each bin."""
-    return _season(spark, sf_dir).bins
+    return season.run(soil, base, rain, own, clim, cells, BINS, (_X0, _Y0), opened=True)
 
 
 def _nearest_sql(name: str, source: str, axis: str, index: str, step: float) -> str:
@@ -582,25 +608,105 @@ def _nearest_sql(name: str, source: str, axis: str, index: str, step: float) ->
     return f"""{name} AS (SELECT k, arg_min({index}, (abs(k * 0.1::DOUBLE - {index} * {step}::DOUBLE), {index})) AS {index} FROM range(0, 10) {axis}(k), (SELECT DISTINCT {index} FROM {source}) GROUP BY 1)"""
 
 
-_SEASON_CLASSES = f"""WITH comp AS ({_COMPOSITE} SELECT * FROM composite),
+_SEASON_CASES = f"""WITH RECURSIVE comp AS ({_COMPOSITE} SELECT * FROM composite),
 wet AS ({_BINS} SELECT bin, bin_start, lat_i, lon_i, s1, s1 - lag(s1) OVER (PARTITION BY lat_i, lon_i ORDER BY bin) AS delta FROM binned),
 zr AS (WITH {D.CLIM} SELECT CAST(r.t + INTERVAL 276 MONTH AS DATE) AS t, r.nation // 5 AS lat_i, r.nation % 5 AS lon_i, CASE WHEN std > 0.0001 THEN (rainfall - mean) / std END AS z_r FROM rain r JOIN clim c ON c.m = month(r.t) AND c.nation = r.nation WHERE year(r.t) = 2001),
 starts AS (SELECT DISTINCT bin, bin_start FROM wet),
-months AS (SELECT bin, arg_min(m, (abs(date_diff('day', bin_start, m)), m)) AS m FROM starts, (SELECT DISTINCT t AS m FROM zr) GROUP BY 1),
+months AS (SELECT bin, arg_min(m, (abs(date_diff('day', CAST(date_trunc('month', bin_start) AS DATE), m)), m)) AS m FROM starts, (SELECT DISTINCT t AS m FROM zr) GROUP BY 1),
 rb AS (SELECT bin, lat_i, lon_i, z_r FROM months JOIN zr ON zr.t = months.m),
 {_nearest_sql("wla", "wet", "a", "lat_i", 0.1)}, {_nearest_sql("wlo", "wet", "a", "lon_i", 0.1)}, {_nearest_sql("rla", "rb", "a", "lat_i", 0.25)}, {_nearest_sql("rlo", "rb", "a", "lon_i", 0.25)},
 wf AS (SELECT bin, wla.k AS "row", wlo.k AS col, CAST(s1 AS FLOAT) AS swi, CAST(delta AS FLOAT) AS delta FROM wet JOIN wla USING (lat_i) JOIN wlo USING (lon_i)),
 rf AS (SELECT bin, rla.k AS "row", rlo.k AS col, CAST(z_r AS FLOAT) AS z_r FROM rb JOIN rla USING (lat_i) JOIN rlo USING (lon_i)),
-nd AS (SELECT bin % 26 AS bin, "row", col, max(ndvi) AS ndvi FROM comp WHERE bin % 26 < 3 GROUP BY 1, 2, 3),
+seen AS (WITH {D.OPTICAL} SELECT CAST(t AS DATE) AS day, "row", col, {_NDVI} AS ndvi FROM optical),
+nd AS (SELECT date_diff('day', DATE '{SEASON}', day) // 14 AS bin, "row", col, median(ndvi) AS ndvi FROM seen WHERE day >= DATE '{SEASON}' AND day < DATE '{SEASON}' + {14 * len(BINS)} GROUP BY 1, 2, 3),
 nc AS (SELECT month(bin_start) AS m, "row", col, avg(ndvi) AS mean, stddev_pop(ndvi) AS std, sum(valid_obs_count) AS n FROM comp GROUP BY 1, 2, 3),
 nz AS (SELECT s.bin, nd."row", nd.col, CAST(CASE WHEN n >= 20 AND std > 0.0001 THEN (ndvi - mean) / std END AS FLOAT) AS z_ndvi FROM nd JOIN starts s ON s.bin = nd.bin JOIN nc ON nc.m = month(s.bin_start) AND nc."row" = nd."row" AND nc.col = nd.col),
 j AS (SELECT * FROM nz FULL JOIN wf USING (bin, "row", col) FULL JOIN rf USING (bin, "row", col)),
 f AS (SELECT *, coalesce(z_r < CAST(-0.8 AS FLOAT) AND z_ndvi < CAST(-1.0 AS FLOAT), false)::INT AS a, coalesce(z_r >= CAST(0.0 AS FLOAT) AND z_ndvi < CAST(-1.2 AS FLOAT) AND swi >= CAST(0.3 AS FLOAT), false)::INT AS b,
   coalesce(z_r < CAST(-1.0 AS FLOAT) AND z_ndvi >= CAST(-0.5 AS FLOAT) AND swi >= CAST(0.3 AS FLOAT), false)::INT AS c, coalesce(z_r >= CAST(0.5 AS FLOAT) AND delta <= CAST(0.0 AS FLOAT), false)::INT AS d FROM j),
-k AS (SELECT bin, CASE WHEN a + b + c + d >= 2 THEN 5 WHEN a = 1 THEN 1 WHEN b = 1 THEN 2 WHEN c = 1 THEN 3 WHEN d = 1 THEN 4 WHEN z_r IS NOT NULL AND (z_ndvi IS NOT NULL OR delta IS NOT NULL) THEN 0 ELSE -1 END AS x FROM f)
-SELECT CAST(bin AS INT) AS bin, {", ".join(f"CAST(count(CASE WHEN x = {code} THEN 1 END) AS INT) AS {name}" for code, name in screening.COUNTS.items())} FROM k GROUP BY 1"""
+k AS (SELECT CAST(bin AS INT) AS bin, "row", col, CASE WHEN a + b + c + d >= 2 THEN 5 WHEN a = 1 THEN 1 WHEN b = 1 THEN 2 WHEN c = 1 THEN 3 WHEN d = 1 THEN 4 WHEN z_r IS NOT NULL AND (z_ndvi IS NOT NULL OR delta IS NOT NULL) THEN 0 ELSE -1 END AS x FROM f),
+counts AS (SELECT bin, {", ".join(f"CAST(count(CASE WHEN x = {code} THEN 1 END) AS INT) AS {name}" for code, name in screening.COUNTS.items())} FROM k GROUP BY 1)"""
+_MOST = "greatest(case_b_pixels, case_d_pixels, multi_signal_pixels, case_a_pixels)"
 
 
-@query("seasonal_classes", _SEASON_CLASSES)
+@query("seasonal_run", f"""{_SEASON_CASES}, mask AS (SELECT bin, "row", col FROM k WHERE x IN (1, 2, 4, 5)), {D.OPENED_BINS}, cells AS (SELECT bin, "row", col FROM opened), {D.LABELLED_BINS},
+sizes AS (SELECT bin, comp_id, count(*) AS n FROM labels GROUP BY 1, 2 HAVING count(*) * 900 >= 20000), found AS (SELECT bin, CAST(count(*) AS INT) AS cluster_count, sum(n) * 0.09::DOUBLE AS total_area_ha FROM sizes GROUP BY 1)
+SELECT bin, bin_start, bin_start + 14 AS bin_end, CAST(bin + 1 AS INT) AS bin_index, {", ".join(screening.COUNTS.values())}, coalesce(cluster_count, 0) AS cluster_count, round(coalesce(total_area_ha, 0), 6) AS total_area_ha,
+  CASE WHEN {_MOST} = 0 THEN 'NORMAL' WHEN case_b_pixels = {_MOST} THEN 'CASE_B' WHEN case_d_pixels = {_MOST} THEN 'CASE_D' WHEN multi_signal_pixels = {_MOST} THEN 'MULTI_SIGNAL' ELSE 'CASE_A' END AS dominant_case
+FROM counts JOIN starts USING (bin) LEFT JOIN found USING (bin)""")
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chain, down to a row for each bin."""
+    return _season(spark, sf_dir).bins.select(F.col("bin").cast("int").alias("bin"), "bin_start", "bin_end", "bin_index", *screening.COUNTS.values(), "cluster_count", _r("total_area_ha"), "dominant_case")
+
+
+@query("seasonal_classes", f"{_SEASON_CASES} SELECT * FROM counts")
 def _(spark, sf_dir):
     return _season(spark, sf_dir).bins.select(F.col("bin").cast("int").alias("bin"), *screening.COUNTS.values())
+
+
+# ---- several files and grids -------------------------------------------------------------
+
+_SOIL_S0 = "s0 AS (SELECT ts AS t, user_id // 15 AS lat_i, user_id % 15 AS lon_i, value / 200 AS s0 FROM events WHERE event_id % 3 <> 0)"
+
+
+@query("concat_parts", f"WITH {D.SOIL}, b AS (SELECT * FROM soil WHERE t >= TIMESTAMP '2024-01-01' AND t <= TIMESTAMP '2024-01-25') SELECT lat_i, lon_i, count(*) AS n, round(avg(s1), 6) AS s1, count(CASE WHEN t < TIMESTAMP '2024-01-10' THEN NULL ELSE 1 END) AS n_quality FROM b GROUP BY 1, 2")
+def _(spark, sf_dir):
+    """Two parts of the archive, of which only the second has a column ``quality``."""
+    soil = D.soil(spark, sf_dir)
+    parts = [soil.where("t < timestamp'2024-01-10'"), soil.where("t >= timestamp'2024-01-10'").withColumn("quality", F.lit(1))]
+    df = gridded.between_times(gridded.read(spark, parts), "2024-01-01", "2024-01-25")
+    return df.groupBy("lat_i", "lon_i").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("s1"), 6).alias("s1"), F.count("quality").alias("n_quality"))
+
+
+@query("merge_variables", f"""WITH {D.SOIL}, {_SOIL_S0}, a AS (SELECT CAST(t AS DATE) AS t, lat_i * 0.1::DOUBLE AS lat, lon_i * 0.1::DOUBLE AS lon, avg(s1) AS s1 FROM soil GROUP BY 1, 2, 3), b AS (SELECT CAST(t AS DATE) AS t, lat_i * 0.1::DOUBLE AS lat, lon_i * 0.1::DOUBLE AS lon, avg(s0) AS s0 FROM s0 GROUP BY 1, 2, 3),
+m AS (SELECT * FROM a FULL JOIN b USING (t, lat, lon) WHERE lat <= 1.05 AND lon <= 1.05 AND t >= DATE '2024-01-03' AND t <= DATE '2024-01-20'), top AS (SELECT max(s1) AS s1, max(CASE WHEN s0 BETWEEN 0 AND 100 THEN s0 END) AS s0 FROM m)
+SELECT m.t, round(lat, 3) AS lat, round(lon, 3) AS lon, round(CASE WHEN m.s1 IS NOT NULL THEN least(m.s1 / CASE WHEN top.s1 > 1.5 THEN 100 ELSE 1 END, 1) END, 6) AS s1, round(CASE WHEN m.s0 BETWEEN 0 AND 100 THEN least(m.s0 / CASE WHEN top.s0 > 1.5 THEN 100 ELSE 1 END, 1) END, 6) AS s0 FROM m, top""")
+def _(spark, sf_dir):
+    """A source for each variable, one of them in two parts, merged on time and place."""
+    daily = lambda df, v: df.groupBy(F.to_date("t").alias("time"), (F.col("lat_i") * 0.1).alias("latitude"), (F.col("lon_i") * 0.1).alias("longitude")).agg(F.avg(v).alias(v))
+    s1 = daily(D.soil(spark, sf_dir), "s1")
+    s0 = daily(D.table(spark, sf_dir, "events").where("event_id % 3 <> 0").selectExpr("ts as t", "user_id div 15 as lat_i", "user_id % 15 as lon_i", "value / 200 as s0"), "s0")
+    source = {"s0": s0, "s1": [s1.where("time < date'2024-01-15'"), s1.where("time >= date'2024-01-15'")]}
+    df = gridded.load_soil(spark, source, (0.0, 0.0, 1.0, 1.0), "2024-01-03", "2024-01-20")
+    return df.select("t", F.round("lat", 3).alias("lat"), F.round("lon", 3).alias("lon"), _r("s1"), _r("s0"))
+
+
+_COARSE = 'near AS (SELECT i AS k, CASE WHEN i <= 1 THEN 0 WHEN i <= 4 THEN 3 WHEN i <= 7 THEN 6 ELSE 9 END AS near_k FROM range(0, 10) a(i))'
+
+
+@query("scl_mask_finer", f"""WITH {D.OPTICAL}, {_COARSE}, classes AS (SELECT CAST(t AS DATE) AS t, "row" AS y, col AS x, CAST(max(scl) AS INT) AS scl FROM optical WHERE "row" % 3 = 0 AND col % 3 = 0 GROUP BY 1, 2, 3)
+SELECT CAST(o.t AS DATE) AS t, o."row" AS y, o.col AS x, c.scl, CAST(CASE WHEN c.scl IN (4, 5, 6) THEN b08 END AS DOUBLE) AS b08 FROM optical o JOIN near a ON a.k = o."row" JOIN near b ON b.k = o.col LEFT JOIN classes c ON c.t = CAST(o.t AS DATE) AND c.y = a.near_k AND c.x = b.near_k""")
+def _(spark, sf_dir):
+    """Scene classes of a grid three times as coarse."""
+    df = D.optical(spark, sf_dir).select(F.to_date("t").alias("t"), F.col("row").alias("y"), F.col("col").alias("x"), "b08", "scl")
+    classes = df.where("y % 3 = 0 and x % 3 = 0").groupBy("t", "y", "x").agg(F.max("scl").cast("int").alias("scl"))
+    out = optical.scl_mask_from_coarser(df.drop("scl"), classes, ["b08"])
+    return out.select("t", "y", "x", "scl", F.col("b08").cast("double").alias("b08"))
+
+
+@query("crop_mask_finer", f"""WITH {D.OPTICAL}, {_COARSE}, m AS (SELECT near_k AS k, (near_k // 3) % 2 AS v FROM (SELECT DISTINCT near_k FROM near))
+SELECT CAST(o.t AS DATE) AS t, o."row" AS y, o.col AS x, CASE WHEN (p.v + q.v) = 1 THEN b08 END AS b08 FROM optical o JOIN near a ON a.k = o."row" JOIN near b ON b.k = o.col JOIN m p ON p.k = a.near_k JOIN m q ON q.k = b.near_k""")
+def _(spark, sf_dir):
+    """A static mask of a coarser grid."""
+    df = D.optical(spark, sf_dir).select(F.to_date("t").alias("t"), F.col("row").alias("y"), F.col("col").alias("x"), "b08")
+    mask = df.where("y % 3 = 0 and x % 3 = 0").select("y", "x").distinct().withColumn("crop_mask", F.expr("(y div 3) % 2 + (x div 3) % 2"))
+    return optical.crop_mask_from_coarser(df, mask, ["b08"]).select("t", "y", "x", "b08")
+
+
+def _utm_forward_sql() -> str:
+    """Snyder's forward series in SQL, with the constants of the ellipsoid."""
+    e2, d = projection.E2, lambda v: f"{v!r}::DOUBLE"
+    ep2 = e2 / (1 - e2)
+    m = [1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256, 3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024, 15 * e2**2 / 256 + 45 * e2**3 / 1024, 35 * e2**3 / 3072]
+    return f"""WITH p AS (SELECT c_custkey, radians(30 + c_custkey % 600 / 100) AS lon, radians(c_custkey % 1200 / 100 - 6) AS lat FROM customer),
+a AS (SELECT *, tan(lat) ** 2 AS t, {d(ep2)} * cos(lat) ** 2 AS c, (lon - radians(33)) * cos(lat) AS a, {d(projection.A)} / sqrt(1 - {d(e2)} * sin(lat) ** 2) AS n,
+  {d(projection.A)} * ({d(m[0])} * lat - {d(m[1])} * sin(2 * lat) + {d(m[2])} * sin(4 * lat) - {d(m[3])} * sin(6 * lat)) AS m FROM p)
+SELECT c_custkey, round(500000 + 0.9996::DOUBLE * n * (a + (1 - t + c) * a ** 3 / 6 + (5 - 18 * t + t * t + 72 * c - 58 * {d(ep2)}) * a ** 5 / 120), 4) AS x,
+round(10000000 + 0.9996::DOUBLE * (m + n * tan(lat) * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * a ** 4 / 24 + (61 - 58 * t + t * t + 600 * c - 330 * {d(ep2)}) * a ** 6 / 720)), 4) AS y FROM a"""
+
+
+@query("utm_forward", _utm_forward_sql())
+def _(spark, sf_dir):
+    lon, lat = 30 + F.col("c_custkey") % 600 / 100, F.col("c_custkey") % 1200 / 100 - 6
+    x, y = projection.utm_xy(lon, lat)
+    return D.table(spark, sf_dir, "customer").select("c_custkey", F.round(x, 4).alias("x"), F.round(y, 4).alias("y"))

@@ -112,3 +112,14 @@ LABELLED = """reach AS (SELECT "row", col, "row" * 1000000 + col AS root FROM ce
   SELECT n."row", n.col, r.root FROM reach r JOIN cells n ON n."row" BETWEEN r."row" - 1 AND r."row" + 1 AND n.col BETWEEN r.col - 1 AND r.col + 1 WHERE n."row" * 1000000 + n.col > r.root),
 roots AS (SELECT "row", col, min(root) AS root FROM reach GROUP BY 1, 2),
 labels AS (SELECT "row", col, CAST(dense_rank() OVER (ORDER BY root) AS INT) AS comp_id FROM roots)"""
+
+
+OPENED_BINS = """around AS (SELECT i, j FROM range(-1, 2) a(i), range(-1, 2) b(j)),
+eroded AS (SELECT bin, "row" + i AS r, col + j AS c FROM mask, around GROUP BY 1, 2, 3 HAVING count(*) = 9),
+opened AS (SELECT DISTINCT bin, r + i AS "row", c + j AS col FROM eroded, around)"""
+
+LABELLED_BINS = """reach AS (SELECT bin, "row", col, "row" * 1000000 + col AS root FROM cells
+  UNION
+  SELECT n.bin, n."row", n.col, r.root FROM reach r JOIN cells n ON n.bin = r.bin AND n."row" BETWEEN r."row" - 1 AND r."row" + 1 AND n.col BETWEEN r.col - 1 AND r.col + 1 WHERE n."row" * 1000000 + n.col > r.root),
+roots AS (SELECT bin, "row", col, min(root) AS root FROM reach GROUP BY 1, 2, 3),
+labels AS (SELECT bin, "row", col, CAST(dense_rank() OVER (PARTITION BY bin ORDER BY root) AS INT) AS comp_id FROM roots)"""

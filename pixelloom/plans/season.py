@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date
@@ -42,8 +43,10 @@ def run(soil: DataFrame, baseline: DataFrame, rain: DataFrame, ndvi: DataFrame,
     z_ndvi = anomaly.zscore(ndvi, anomaly.clim_qa(ndvi_clim), "ndvi", ("row", "col"), t="bin_start", out="z_ndvi")
 
     starts = wet.select("bin", "bin_start").distinct()
-    months = grid.nearest_month(starts.select(F.col("bin_start").alias("t")), rain.select(F.trunc("t", "month").alias("month_start")))
-    monthly = starts.join(months, starts["bin_start"] == months["t"]).select("bin", "month_start")
+    # the month of the bin's first day, or the nearest one there is
+    own = starts.withColumn("month", F.trunc("bin_start", "month"))
+    months = grid.nearest_month(own.select(F.col("month").alias("t")), rain.select(F.trunc("t", "month").alias("month_start")))
+    monthly = own.join(months, own["month"] == months["t"]).select("bin", "month_start")
     rain_bins = z_r.withColumn("month_start", F.trunc("t", "month")).join(monthly, "month_start").select("bin", "lat_i", "lon_i", "lat", "lon", "z_r")
 
     wet_fine = grid.assign_nearest(cells, wet, ("s1", "delta_swi_14d"), ("bin",)).select("bin", "row", "col", F.col("s1").alias("swi"), "delta_swi_14d")
@@ -55,3 +58,22 @@ def run(soil: DataFrame, baseline: DataFrame, rain: DataFrame, ndvi: DataFrame,
     areas = features.select("bin", (F.col("properties.pixel_count") * F.lit(step * step)).alias("area_m2"))
     summary = reporting.bin_summaries(screened, areas)
     return Season(screened, features, report, summary, reporting.persistence(screened), reporting.area_timeline(summary))
+
+
+def export(season: Season, folder: str, scope: dict, sources: dict[str, str], grid_bbox: Sequence[float] | None = None, year: str = "", opened: bool = True) -> dict:
+    """Write a run's files and return their manifest (K1-K4, K6).
+
+    ``folder``/geojson gets a collection for each bin and one for the season, ``folder``/reports
+    the summary as JSON and Markdown.  scope: the area of interest, with aoi_id and aoi_name.
+    """
+    spark, tail = season.screened.sparkSession, f"_{year}" if year else ""
+    document = reporting.summary_document(season.bins, scope, sources)
+    bins = reporting.write_collections(season.features, season.report, season.bins, f"{folder}/geojson", grid_bbox, opened)
+    properties = {k: scope[k] for k in ("aoi_id", "aoi_name", "season") if k in scope} | ({"grid_bbox": list(grid_bbox)} if grid_bbox else {}) | sources
+    whole = reporting.write_seasonal_collection(season.features, f"{folder}/geojson/seasonal_scouting_zones{tail}.geojson", f"seasonal_scouting_zones_{scope.get('aoi_id', 'area')}{tail}", properties)
+    texts = {"summary_json": json.dumps(document, indent=2, ensure_ascii=False, default=str), "summary_markdown": reporting.markdown(document)}
+    paths = {name: f"{folder}/reports/seasonal_executive_summary{tail}.{end}" for name, end in (("summary_json", "json"), ("summary_markdown", "md"))}
+    for name, path in paths.items():
+        with reporting.text_file(spark, path) as write:
+            write(texts[name])
+    return reporting.manifest(document, **paths, seasonal_geojson=whole, bin_geojson=bins)

@@ -1,7 +1,8 @@
 """Sources and their checks.
 
-Sources are Parquet paths or DataFrames.  Aliases of columns are renamed, NaN becomes
-null, filters stay declarative so that they reach the scan.  Only ``validate_*`` and the
+Sources are Parquet paths, DataFrames, or lists of either.  Aliases of columns are renamed
+and NaN becomes null, but not in coordinates: filters on them and on times are on the raw
+columns, so that they reach the scan, and no box holds a NaN.  Only ``validate_*`` and the
 inference of units run a job: one aggregate each.
 """
 
@@ -52,16 +53,43 @@ MODALITIES = {
 }
 
 
-def read(spark: SparkSession, source: str | DataFrame) -> DataFrame:
-    """A source's rows with its aliases renamed and NaN as null."""
+Source = str | DataFrame
+COORDINATES = ("lat", "lon")
+
+
+def read(spark: SparkSession, source: Source | Sequence[Source]) -> DataFrame:
+    """A source's rows with its aliases renamed and NaN as null; of several, all rows."""
+    if not isinstance(source, str | DataFrame):
+        return concat([read(spark, s) for s in source])
     df = spark.read.parquet(source) if isinstance(source, str) else source
     for old, new in ALIASES.items():
         if old in df.columns and new not in df.columns:
             df = df.withColumnRenamed(old, new)
-    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, T.FloatType | T.DoubleType)]
+    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, T.FloatType | T.DoubleType) and f.name not in COORDINATES]
     return df.withColumns({c: known(F.col(c)) for c in floats}) if floats else df
 
 
+def concat(parts: Sequence[DataFrame]) -> DataFrame:
+    """Parts one after the other, such as years; a variable that a part lacks is null there."""
+    if not parts:
+        raise ValueError("nothing to read")
+    out = parts[0]
+    for df in parts[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
+def merge(variables: Mapping[str, DataFrame], keys: Sequence[str] = ("t", "lat", "lon")) -> DataFrame:
+    """One row for each key that any variable has; each part gives its own variable."""
+    if not variables:
+        raise ValueError("no variables")
+    out = None
+    for name, df in variables.items():
+        part = df.select(*keys, name)
+        out = part if out is None else out.join(part, list(keys), "full")
+    return out
+
+
 def between_times(df: DataFrame, start: str | datetime, end: str | datetime, t: str = "t") -> DataFrame:
     """Both ends included; an end given as a date means its midnight."""
     first, last = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
@@ -75,7 +103,7 @@ def in_bbox(df: DataFrame, bbox: Sequence[float], lat: str = "lat", lon: str = "
 
 def axis_step(df: DataFrame, axis: str, default: float) -> float:
     """The distance of the axis's first two coordinates; ``default`` for a single one."""
-    two = [r[0] for r in df.select(axis).distinct().orderBy(axis).limit(2).collect()]
+    two = [r[0] for r in df.where(F.col(axis).isNotNull() & ~F.isnan(F.col(axis).cast("double"))).select(axis).distinct().orderBy(axis).limit(2).collect()]
     return abs(two[1] - two[0]) if len(two) > 1 else default
 
 
@@ -115,16 +143,17 @@ def _check_span(start, end) -> None:
         raise ValueError(f"start {start} is after end {end}")
 
 
-def load_optical(spark, source, bands: Iterable[str], start, end) -> DataFrame:
-    """The wanted bands that exist; integers stay integers."""
+def load_optical(spark, source, bands: Iterable[str], start, end, bbox: Sequence[float] | None = None) -> DataFrame:
+    """The wanted bands that exist; integers stay integers.  bbox: where the source has lat and lon."""
     _check_span(start, end)
     df = read(spark, source)
     lower = {c.lower(): c for c in df.columns}
     chosen = [lower[b.lower()] for b in bands if b.lower() in lower]
     if not chosen:
         raise ValueError("none of the wanted bands is there")
-    keys = [c for c in ("t", "row", "col", "y", "x") if c in df.columns]
-    return between_times(df.select(*keys, *chosen), start, end)
+    keys = [c for c in ("t", "row", "col", "y", "x", "lat", "lon") if c in df.columns]
+    df = df.select(*keys, *chosen)
+    return between_times(in_bbox(df, bbox) if bbox is not None and set(COORDINATES) <= set(keys) else df, start, end)
 
 
 def load_rainfall(spark, source, bbox, start, end, fill: float | None = -9999.0) -> DataFrame:
@@ -134,10 +163,18 @@ def load_rainfall(spark, source, bbox, start, end, fill: float | None = -9999.0)
     return df.withColumn("rainfall", within(F.col("rainfall"), 0.0, fill=fill))
 
 
-def load_soil(spark, source, bbox, start, end, variables: Sequence[str] = ("s0", "s1"), units: str = "auto", default_step: float = 0.1) -> DataFrame:
-    """Padded box, times inclusive, values as shares of 1."""
+def load_soil(spark, source: Source | Sequence[Source] | Mapping[str, Source | Sequence[Source]], bbox, start, end, variables: Sequence[str] = ("s0", "s1"), units: str = "auto", default_step: float = 0.1) -> DataFrame:
+    """Padded box, times inclusive, values as shares of 1.
+
+    source: one source, several (such as years) to be put one after the other, or either of
+    these for each variable, to be merged on time and place (J8).
+    """
     _check_span(start, end)
-    df = between_times(in_padded_bbox(read(spark, source), bbox, default=default_step), start, end)
+    if isinstance(source, Mapping):
+        parts = {v: between_times(in_padded_bbox(read(spark, source[v]), bbox, default=default_step), start, end) for v in variables if v in source}
+        df = merge(parts)
+    else:
+        df = between_times(in_padded_bbox(read(spark, source), bbox, default=default_step), start, end)
     return df.withColumns({v: fraction_of(df, v, units) for v in variables if v in df.columns})
 
 
@@ -252,7 +289,12 @@ def with_retry(open_it: Callable[[], object], tries: int = 3, base: float = 1.5,
 def granules(fetch: Callable[[dict], Mapping], bbox: Sequence[float], start: str, end: str, short_name: str, page_size: int = 2000) -> list[Mapping]:
     """Entries of a metadata search; ``fetch`` does the request and checks certificates."""
     query = {"short_name": short_name, "bounding_box": ",".join(str(v) for v in bbox), "temporal": f"{start},{end}", "page_size": page_size}
-    return list(fetch(query).get("feed", {}).get("entry", []))
+    out: list[Mapping] = []
+    while True:  # pages until one is not full
+        page = list(fetch(query | {"page_num": len(out) // page_size + 1}).get("feed", {}).get("entry", []))
+        out += page
+        if len(page) < page_size:
+            return out
 
 
 #: Fields that a data set's provenance must have.

@@ -76,3 +76,13 @@ def test_utm_central_meridian(spark):
     lat, lon = projection.utm_latlon(F.col("x"), F.col("y"))
     got = spark.createDataFrame([(500000.0, 10000000.0)], "x double, y double").select(lat, lon).first()
     assert got[0] == pytest.approx(0.0, abs=1e-9) and got[1] == pytest.approx(33.0)
+
+
+def test_utm_round_trip(spark):
+    df = spark.createDataFrame([(33.0, 0.5), (35.25, 0.65), (30.1, -5.9), (35.9, -40.0)], "lon double, lat double")
+    x, y = projection.utm_xy(F.col("lon"), F.col("lat"))
+    df = df.select("lon", "lat", x.alias("x"), y.alias("y"))
+    lat, lon = projection.utm_latlon(F.col("x"), F.col("y"))
+    for r in df.select("*", lat.alias("lat2"), lon.alias("lon2")).collect():
+        assert (r["lon2"], r["lat2"]) == (pytest.approx(r["lon"], abs=1e-7), pytest.approx(r["lat"], abs=1e-7))
+    assert df.first()["x"] == 500000.0

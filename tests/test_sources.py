@@ -116,3 +116,60 @@ def test_streaming_bins(spark, tmp_path):
     q.stop()
     got = {str(r["bin_start"]): (r["mean"], r["count"]) for r in spark.table("bins").collect()}
     assert got["2023-03-01"] == (6.5, 2) and got["2023-03-15"] == (14.0, 1)
+
+
+def test_filters_reach_the_scan(spark, tmp_path):
+    rows = [(datetime(2023, 3, 1) + timedelta(days=k), 0.05 * i, 35.0 + 0.05 * i, float(k), 0.5) for k in range(10) for i in range(6)]
+    path = str(tmp_path / "grid")
+    spark.createDataFrame(rows, "time timestamp, latitude double, longitude double, precip double, s1 double").write.parquet(path)
+
+    def pushed(df):
+        plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+        return plan[plan.index("PushedFilters") :]
+
+    for df in (gridded.load_rainfall(spark, path, (35.0, 0.0, 35.1, 0.1), "2023-03-02", "2023-03-04"), gridded.load_soil_subdaily(spark, path, (35.0, 0.0, 35.1, 0.1), "2023-03-02", "2023-03-04")):
+        said = pushed(df)
+        assert all(f"{op}({c}," in said for c in ("latitude", "longitude", "time") for op in ("GreaterThanOrEqual", "LessThanOrEqual"))
+    assert gridded.load_rainfall(spark, path, (35.0, 0.0, 35.1, 0.1), "2023-03-02", "2023-03-04").count() == 9
+
+
+def test_coordinates_that_are_no_number(spark):
+    nan = float("nan")
+    rows = [(datetime(2023, 3, 1), lat, lon, 1.0) for lat, lon in ((0.0, 35.0), (nan, 35.0), (0.0, nan), (None, 35.0), (0.1, 35.1))]
+    df = spark.createDataFrame(rows, "t timestamp, lat double, lon double, s1 double")
+    assert gridded.load_soil(spark, df, (34, -1, 36, 1), "2023-01-01", "2023-12-31").count() == 2
+
+
+def test_parts_and_variables(spark):
+    day = [datetime(2023, 3, k) for k in (1, 2, 3)]
+    s0 = spark.createDataFrame([(day[0], 0.0, 35.0, 50.0), (day[1], 0.0, 35.0, 60.0)], "time timestamp, lat double, lon double, s0 double")
+    s1 = [spark.createDataFrame([(d, 0.0, 35.0, v)], "time timestamp, lat double, lon double, s1 double") for d, v in zip(day[1:], (0.2, 0.3), strict=True)]
+    got = {r["t"].day: (r["s0"], r["s1"]) for r in gridded.load_soil(spark, {"s0": s0, "s1": s1}, (34, -1, 36, 1), "2023-01-01", "2023-12-31").collect()}
+    assert got == {1: (0.5, None), 2: (0.6, 0.2), 3: (None, 0.3)}
+    both = gridded.read(spark, [s0, s1[0]])
+    assert both.columns == ["t", "lat", "lon", "s0", "s1"] and both.count() == 3
+    for bad in (lambda: gridded.concat([]), lambda: gridded.merge({})):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_soil_checks(spark):
+    df = spark.createDataFrame([(1, datetime(2023, 3, 1), 0.2, 50.0), (2, datetime(2023, 3, 2), 1.0, 100.0)], "k int, t timestamp, s0 double, s1 double")
+    gridded.validate_soil(df, ("s0",), ordinal="k")
+    gridded.validate_soil(df, percent=True)
+    with pytest.raises(RangeError):
+        gridded.validate_soil(df)
+    with pytest.raises(ValueError):
+        gridded.validate_soil(df.withColumn("k", -F.col("k")), ("s0",), ordinal="k")
+
+
+def test_pages_of_granules():
+    entries, asked = [{"id": k} for k in range(7)], []
+
+    def fetch(query):
+        asked.append(query["page_num"])
+        a = (query["page_num"] - 1) * query["page_size"]
+        return {"feed": {"entry": entries[a : a + query["page_size"]]}}
+
+    assert gridded.granules(fetch, (35, 0, 36, 1), "2023-03-01", "2023-03-02", "X", page_size=3) == entries and asked == [1, 2, 3]
+    assert gridded.granules(lambda q: {}, (35, 0, 36, 1), "a", "b", "X") == []
