@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN_DIRS: dict[str, str] = {}
 
 
@@ -46,13 +47,29 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts the lineage with files every executor can reach, so a lost executor costs a
-    re-read and never a recomputation; the files go when the driver's Python ends.
+    re-read and never a recomputation.  The write's shuffle files go as soon as it is done;
+    the files themselves go by ``free`` or when the driver's Python ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/pixelloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._pixelloom_path = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``materialize`` returned and that nothing will read again."""
+    for df in tables:
+        path = getattr(df, "_pixelloom_path", None)
+        if path:
+            _drop(df.sparkSession, path)
 
 
 def _drop(spark: SparkSession, path: str) -> None:
