@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.session import materialize
+from pixelloom.session import free, materialize
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -42,7 +42,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         if not row["n"] or (row["n"], row["h"]) == mark:
             break
         mark = (row["n"], row["h"])
-        now = materialize(_small_star(_large_star(now)), "edges")
+        before, now = now, materialize(_small_star(_large_star(now)), "edges")
+        free(before)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return now.select(F.col("src").alias("id"), F.col("dst").alias("component")).unionByName(now.select(F.col("dst").alias("id"), F.col("dst").alias("component")).distinct())

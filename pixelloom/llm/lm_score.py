@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelloom.llm.tokens import Words, mix, text_buffers, text_windows, tidied, windows
-from pixelloom.session import materialize
+from pixelloom.session import free, materialize
 
 CLASSES = 32
 SHORT = 15  # words of a class with an outcome of their own
@@ -321,6 +321,7 @@ def train(training: DataFrame, model: Model, size: int, rounds: int = ROUNDS) ->
         for row in total.toLocalIterator():  # as many rows as chunks of the weights
             flat[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["weights"], np.float32)
         model.put(flat)
+        free(parts)
     return model
 
 

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pixelloom.llm.graph import connected_components
 from pixelloom.llm.sieve import fresh, sieve, sift
 from pixelloom.llm.tokens import Words, mix, text_windows, tidied
-from pixelloom.session import materialize
+from pixelloom.session import free, materialize
 
 TABLES = 16  # hash groups in each of the two collections
 WIDTH = 3  # minhashes in a group
@@ -212,6 +212,11 @@ def _sketched_pairs(ids: DataFrame, own: DataFrame, sets: DataFrame, parts: Data
 
 def near_groups(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
+    return _grouped(docs, width, percent)[0]
+
+
+def _grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The groups, and the written tables that they are read from."""
     marks = materialize(signatures(docs, width), "signatures")
     full = marks.where("digest is not null and doc_id is not null")
     classes = materialize(full.groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
@@ -225,32 +230,38 @@ def near_groups(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -
     buckets = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
     members = materialize(keys.join(buckets.select("key", "lo", "size"), "key"), "buckets")
 
-    sets = materialize(_full_sets(docs, materialize(members.select("id").distinct(), "candidates"), width), "sets")
+    wanted = materialize(members.select("id").distinct(), "candidates")
+    sets = materialize(_full_sets(docs, wanted, width), "sets")
     met = members.where("id <> lo").select("id", F.col("lo").alias("other"), "size")
     twos = met.where("size = 2").select(F.col("id").alias("src"), F.col("other").alias("dst"))
     links = materialize(_confirmed(_closest(met).unionByName(twos).distinct(), sets, percent), "links")
     parts = connected_components(links)
+    done = [wanted]
     for last in (False, True):
         still = materialize(_open(members, parts), "open")
         if still.isEmpty():
             break
         pairs = _sketched_pairs(still.select("id").distinct(), own, sets, parts, percent) if last else _closest(still.where("component <> led").select("id", "other"))
         more = materialize(_confirmed(pairs, sets, percent), "links")
+        done += [still, more]
         if not more.isEmpty():
             links = links.unionByName(more)
             parts = connected_components(links)
+    free(members, sets, *done)
 
     named = _labelled(classes, parts).select(F.col("digest").alias("of"), "component")
     out = marks.select("doc_id", "n_shingles", "digest").join(named, F.col("digest") == F.col("of"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), [marks, classes]
 
 
 def keep_one(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that are kept: one document of each group, every column."""
     (out,) = fresh(docs, "out")
-    gone = materialize(near_groups(docs, width, percent).where("not kept").select(F.col("doc_id").alias(out)).distinct(), "gone")
+    groups, tables = _grouped(docs, width, percent)
+    gone = materialize(groups.where("not kept").select(F.col("doc_id").alias(out)).distinct(), "gone")
+    free(*tables)
     maybe, sure = sift(docs, sieve(gone, out), F.col("doc_id").cast("bigint"))
     return sure.unionByName(maybe.join(gone, F.col("doc_id").cast("bigint") == F.col(out), "left_anti"))
 
