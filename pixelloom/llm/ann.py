@@ -10,8 +10,10 @@ Survivors are scored exactly, in double precision on the original vectors.
 
 Equal vectors are folded before the shuffle: of a vector's copies only the ``k + 1``
 smallest ids can be anyone's neighbours, ties going to the smaller id.  Equal queries are
-searched once.  A task scans about ``BLOCK`` vectors for ``QUERIES`` queries;
-longer lists are split.
+searched once.  Lists are put together to cells of at most about ``BLOCK`` vectors, longer
+ones are split.  A task holds one cell and scans it for ``WAVE`` queries at most, which it
+reads in batches; so of n rows and q queries about n * q / WAVE vectors and q * n / BLOCK
+queries move.
 
 Results for odd input: vectors that are null, empty, zero, or hold null or non-finite
 components take no part, nor do those without a vec_id or of another than the most
@@ -39,8 +41,9 @@ SAMPLE = 16_384  # vectors the centroids are fitted on, at most
 LIST = 400  # vectors in a list, on average, up to MOST_LISTS
 MOST_LISTS = 2_048
 PROBES = 0.75  # share of the lists that a query scans: vectors without clusters need as many
-BLOCK = 16_384  # vectors that a task scans
-QUERIES = 1_024  # queries that a task scans for
+BLOCK = 65_536  # vectors of a cell, at most about; fewer where that would leave cores idle
+LEAST_BLOCK = 2_048
+WAVE = 65_536  # queries that a cell is scanned for in one task
 COLUMNS = 16
 EPSILON = 2.1
 
@@ -157,7 +160,7 @@ def _folded(ids: np.ndarray, x: np.ndarray, most: int) -> np.ndarray:
     return order[place < most]
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: float = PROBES, list_size: int = LIST) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: float = PROBES, list_size: int = LIST, block: int = BLOCK, wave: int = WAVE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of ``vectors`` found for each of ``queries``.
 
     Both have vec_id and embedding; a query's own vec_id is no candidate for it.
@@ -193,11 +196,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: float = P
     sizes = np.zeros(len(sent.value[0]), np.int64)
     for row in indexed.groupBy("list").count().collect():  # MOST_LISTS rows at most
         sizes[row["list"]] = row["count"]
-    # lists go to cells of about BLOCK vectors; a longer list gets cells of its own
-    blocks = np.maximum(1, -(-sizes // BLOCK))
+    # lists go to cells of about ``block`` vectors; a longer list gets cells of its own
+    block = int(min(block, max(LEAST_BLOCK, n // (2 * spark.sparkContext.defaultParallelism))))
+    blocks = np.maximum(1, -(-sizes // block))
     cell_of, cells, filled = np.zeros(len(sizes), np.int64), 0, 0
     for c, size in enumerate(sizes):
-        if blocks[c] > 1 or filled + size > BLOCK:
+        if blocks[c] > 1 or filled + size > block:
             cells, filled = cells + 1, 0
         cell_of[c] = cells
         filled += size
@@ -234,28 +238,50 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, probes: float = P
     place = F.element_at(bases, at) + F.pmod(F.xxhash64("vec_id"), F.element_at(turns, at).cast("bigint"))
     stored = indexed.select(place.cast("bigint").alias("cell"), "list", "vec_id", "embedding")
 
-    def look(left: pa.Table, right: pa.Table) -> pa.Table:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by cell and wave, a cell's vectors before its queries."""
+        key, held, cell = None, [], None
+        for batch in batches:
+            if not len(batch):
+                continue
+            cells, waves, asked = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("cell", "wave", "asked"))
+            head = np.flatnonzero(np.r_[True, (np.diff(cells) != 0) | (np.diff(waves) != 0) | (np.diff(asked) != 0)])
+            for a, b in zip(head, [*head[1:], len(batch)], strict=True):
+                some = batch.slice(a, b - a)
+                if (cells[a], waves[a]) != key:
+                    key, held, cell = (cells[a], waves[a]), [], None
+                if not asked[a]:
+                    held.append((some.column("id").to_numpy(), _matrix(some.column("embedding"), d), some.column("list").to_numpy()))
+                    continue
+                if held:
+                    ids, m, lists = (np.concatenate(x) for x in zip(*held, strict=True))
+                    keep, held = _folded(ids, m, k + 1), []
+                    cell = Cell(ids[keep], m[keep], lists[keep], sent.value[1], top)
+                for part in (some.slice(x, 1024) for x in range(0, len(some), 1024) if cell is not None):
+                    yield scanned(cell, part)
+
+    def scanned(cell: Cell, part: pa.RecordBatch) -> pa.RecordBatch:
         out = [[], [], []]
-        if len(left) and len(right):
-            ids, m = left.column("vec_id").to_numpy(), _matrix(left.column("embedding"), d)
-            keep = _folded(ids, m, k + 1)
-            cell = Cell(ids[keep], m[keep], left.column("list").to_numpy()[keep], sent.value[1], top)
-            qs = _matrix(right.column("embedding"), d)
-            lists = [np.asarray(x) for x in right.column("lists").to_pylist()]
-            for kind, v, found in zip(right.column("kind").to_pylist(), qs, cell.near(qs, lists, k + 1), strict=True):
-                score = (cell.x[found] * v).sum(1)
-                best = np.lexsort((cell.ids[found], -score))[: k + 1]
-                out[0].append(np.full(len(best), kind))
-                out[1].append(cell.ids[found][best])
-                out[2].append(score[best])
-        whole = [np.concatenate(c) if c else np.zeros(0) for c in out]
-        return pa.table([pa.array(whole[0].astype(np.int64)), pa.array(whole[1].astype(np.int64)), pa.array(whole[2].astype(np.float64))], names=["kind", "vec_id", "score"])
-
-    # the queries of a cell are dealt over tasks, each with a copy of the cell
-    waves = max(1, -(-int(kinds.count()) // QUERIES))
-    asked = asked.withColumn("wave", F.pmod(F.xxhash64("kind"), F.lit(waves)))
-    stored = stored.withColumn("wave", F.explode(F.sequence(F.lit(0), F.lit(waves - 1)).cast("array<bigint>")))
-    hits = stored.groupBy("cell", "wave").cogroup(asked.groupBy("cell", "wave")).applyInArrow(look, "kind bigint, vec_id bigint, score double")
+        qs = _matrix(part.column("embedding"), d)
+        lists = [np.asarray(x) for x in part.column("lists").to_pylist()]
+        for kind, v, found in zip(part.column("id").to_pylist(), qs, cell.near(qs, lists, k + 1), strict=True):
+            score = (cell.x[found] * v).sum(1)
+            best = np.lexsort((cell.ids[found], -score))[: k + 1]
+            out[0].append(np.full(len(best), kind))
+            out[1].append(cell.ids[found][best])
+            out[2].append(score[best])
+        whole = [np.concatenate(c) for c in out]
+        return pa.RecordBatch.from_arrays([pa.array(whole[0].astype(np.int64)), pa.array(whole[1].astype(np.int64)), pa.array(whole[2].astype(np.float64))], names=["kind", "vec_id", "score"])
+
+    waves = max(1, -(-int(kinds.count()) // wave))
+    null_lists, no_list = F.lit(None).cast("array<int>"), F.lit(None).cast("int")
+    scans = asked.select("cell", F.pmod(F.xxhash64("kind"), F.lit(waves)).cast("bigint").alias("wave"), F.lit(True).alias("asked"), F.col("kind").alias("id"), no_list.alias("list"), "lists", "embedding")
+    every = F.explode(F.sequence(F.lit(0), F.lit(waves - 1)).cast("array<bigint>")) if waves > 1 else F.lit(0).cast("bigint")
+    stored = stored.select("cell", every.alias("wave"), F.lit(False).alias("asked"), F.col("vec_id").alias("id"), "list", null_lists.alias("lists"), "embedding")
+    # several partitions for each cell and wave, so that few of them meet in one
+    parts = int(min(4 * (cells + 1) * waves, max(1_000, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    dealt = stored.unionByName(scans).repartition(parts, "cell", "wave").sortWithinPartitions("cell", "wave", "asked")
+    hits = dealt.mapInArrow(tidied(look), "kind bigint, vec_id bigint, score double")
     order = [F.desc("score"), F.asc("vec_id")]
     top_of = hits.groupBy("kind", "vec_id").agg(F.max("score").alias("score")).withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(*order))).where(F.col("place") <= k + 1).drop("place")
     names = kinds.withColumnRenamed("embedding", "of")

@@ -143,7 +143,9 @@ def neighbours(x, ids, q, own, k):
     return [int(ids[i]) for i in order]
 
 
-def test_nearest_neighbours(spark):
+@pytest.mark.parametrize(("block", "wave"), [(ann.BLOCK, ann.WAVE), (500, 40)])
+def test_nearest_neighbours(spark, block, wave, monkeypatch):
+    monkeypatch.setattr(ann, "LEAST_BLOCK", min(block, ann.LEAST_BLOCK))
     rng = np.random.default_rng(4)
     centres = rng.standard_normal((12, 24)) * 2
     x = (centres[rng.integers(0, 12, 3000)] + rng.standard_normal((3000, 24))).astype(np.float32)
@@ -152,7 +154,7 @@ def test_nearest_neighbours(spark):
     rows += [(9000, None), (9001, [0.0] * 24), (9002, [float("nan")] * 24), (9020, [None] * 24), (9040, [1.0]), (9060, []), (None, [1.0] * 24), (20, [float(v) for v in x[20]])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").withColumn("score", F.lit("x"))
     got = {}
-    for r in ann.search(df, df.where("vec_id % 20 = 0"), list_size=100).collect():
+    for r in ann.search(df, df.where("vec_id % 20 = 0"), list_size=100, block=block, wave=wave).collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
     wide, ids, hit = x.astype(float), np.arange(3000), 0
     assert set(got) == set(range(0, 3000, 20))
