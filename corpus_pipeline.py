@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pixelloom.llm import exact_dedup, near_dedup, packing, toxicity
 from pixelloom.llm import secrets as secret_scan
-from pixelloom.session import materialize, small_batches
+from pixelloom.session import free, materialize, small_batches
 
 
 def bounded(stage):
@@ -78,5 +78,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each one's result written before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        free(before)
     return STAGES[-1][1](spark, docs, sf_dir)

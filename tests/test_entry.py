@@ -43,3 +43,14 @@ def test_entry(spark):
 
     assert e.entry(spark).count() == 3
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_a_missing_dependency_leaves_the_rest(tmp_path):
+    """With a dependency of the optional queries gone, the others register."""
+    import subprocess
+    import sys
+
+    code = "import sys, warnings; sys.modules['tokenizers'] = None; sys.modules['regex'] = None; sys.modules['public_tokenizers'] = None; warnings.simplefilter('ignore'); import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), any(n.startswith('op') and n[2].isdigit() for n in e.queries()))"
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    said = subprocess.run([sys.executable, "-c", code], cwd=here, capture_output=True, text=True, timeout=120, check=True).stdout.split()
+    assert int(said[0]) > 60 and int(said[1]) > 60 and said[2] == "False"
