@@ -10,7 +10,7 @@ from datetime import date
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.operators import anomaly, grid, hydrology, reporting, screening, zones
+from pixelloom.operators import anomaly, figures, grid, hydrology, reporting, screening, zones
 from pixelloom.session import materialize
 
 
@@ -61,10 +61,11 @@ def run(soil: DataFrame, baseline: DataFrame, rain: DataFrame, ndvi: DataFrame,
 
 
 def export(season: Season, folder: str, scope: dict, sources: dict[str, str], grid_bbox: Sequence[float] | None = None, year: str = "", opened: bool = True) -> dict:
-    """Write a run's files and return their manifest (K1-K4, K6).
+    """Write a run's files and return their manifest (K1-K6).
 
     ``folder``/geojson gets a collection for each bin and one for the season, ``folder``/reports
-    the summary as JSON and Markdown.  scope: the area of interest, with aoi_id and aoi_name.
+    the summary as JSON and Markdown, ``folder``/figures the figures, a map for each bin with
+    zones.  scope: the area of interest, with aoi_id and aoi_name.
     """
     spark, tail = season.screened.sparkSession, f"_{year}" if year else ""
     document = reporting.summary_document(season.bins, scope, sources)
@@ -76,4 +77,28 @@ def export(season: Season, folder: str, scope: dict, sources: dict[str, str], gr
     for name, path in paths.items():
         with reporting.text_file(spark, path) as write:
             write(texts[name])
-    return reporting.manifest(document, **paths, seasonal_geojson=whole, bin_geojson=bins)
+    drawn = _draw(season, f"{folder}/figures", tail, grid_bbox)
+    return reporting.manifest(document, **paths, seasonal_geojson=whole, bin_geojson=bins, **drawn)
+
+
+def _draw(season: Season, folder: str, tail: str, bbox: Sequence[float] | None) -> dict[str, object]:
+    """The figures' paths.  A row for each bin, a bounded heat map and one bin's zones at a time are held."""
+    spark = season.screened.sparkSession
+    means = reporting.series_means(season.screened, ("z_r", "z_ndvi", "swi", "delta_swi_14d"), ("bin", "bin_start")).orderBy("bin")
+    texts = {
+        "temporal_profile_plot": (f"temporal_diagnostic_profile{tail}.svg", figures.profile([r.asDict() for r in means.collect()])),
+        "area_timeline_plot": (f"diagnostic_area_timeline{tail}.svg", figures.timeline([r.asDict() for r in season.timeline.orderBy("bin_index").collect()])),
+        "persistence_heatmap_plot": (f"spatial_persistence_hotspots{tail}.svg", figures.heat_map([r.asDict() for r in figures.heat_blocks(season.persisted).collect()])),
+    }
+    out: dict[str, object] = {}
+    for name, (file, text) in texts.items():
+        out[name] = f"{folder}/{file}"
+        with reporting.text_file(spark, out[name]) as write:
+            write(text)
+    maps = []
+    for row in season.features.groupBy("bin", "bin_start").count().orderBy("bin").collect() if bbox else []:
+        maps.append(f"{folder}/spatial_diagnostic_bin_{row['bin'] + 1:02d}.svg")
+        zones_of = [r["feature"] for r in season.features.where(F.col("bin") == row["bin"]).select("comp_id", "feature").orderBy("comp_id").toLocalIterator()]
+        with reporting.text_file(spark, maps[-1]) as write:
+            write(figures.zone_map(zones_of, bbox, f"Zones from {row['bin_start']}"))
+    return out | {"spatial_maps": maps}

@@ -297,3 +297,15 @@ def test_areas_of_interest(tmp_path):
     (tmp_path / "e.json").write_text("[]")
     with pytest.raises(ValueError):
         aoi.load_config(str(tmp_path / "e.json"))
+
+
+def test_figures_of_odd_tables(spark):
+    from xml.etree import ElementTree
+
+    from pixelloom.operators import figures
+
+    for text in (figures.profile([]), figures.timeline([]), figures.heat_map([]), figures.zone_map([], (0, 0, 1, 1)), figures.profile([{"bin_start": "2023-03-01"}]), figures.profile([{"bin_start": "a<b", "mean_z_r": 1.0, "mean_swi": None}])):
+        assert ElementTree.fromstring(text).tag.endswith("svg")
+    big = spark.range(300 * 250).selectExpr("cast(id div 250 as int) + 7 as row", "cast(id % 250 as int) as col", "cast(id % 250 < 125 as int) as actionable_recurrence_count")
+    blocks = figures.heat_blocks(big, 60).collect()
+    assert max(r["row"] for r in blocks) <= 59 and min(r["row"] for r in blocks) == 0 and {r["value"] for r in blocks} == {0.0, 1.0}

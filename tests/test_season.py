@@ -1,6 +1,7 @@
 """A whole season on made-up inputs, against the totals that are known for it."""
 
 import json
+import xml.etree.ElementTree as ElementTree
 from datetime import date, timedelta
 
 import numpy as np
@@ -90,5 +91,12 @@ def test_files_of_the_season(run, tmp_path):
     assert found == len(whole["features"]) == whole["properties"]["total_features"] == 28
     order = [(f["properties"]["bin_index"], f["properties"]["zone_id"]) for f in whole["features"]]
     assert order == sorted(order) and whole["properties"]["cumulative_candidate_area_ha"] == 3202.47 and whole["properties"]["aoi_name"] == "Área"
+    drawn = sorted(p.name for p in (tmp_path / "figures").glob("*.svg"))
+    assert len(drawn) == 10 and all((tmp_path / "figures" / n).stat().st_size > 1500 for n in drawn)
+    trees = {n: ElementTree.parse(tmp_path / "figures" / n).getroot() for n in drawn}
+    assert {t.tag for t in trees.values()} == {"{http://www.w3.org/2000/svg}svg"} and len(said["exported_artifacts"]["spatial_maps"]) == 7
+    tag = lambda name, t: trees[name].findall(".//{http://www.w3.org/2000/svg}" + t)
+    assert len(tag("spatial_diagnostic_bin_01.svg", "path")) == 22
+    assert len(tag("spatial_persistence_hotspots_2023.svg", "rect")) > 5590
     report = json.loads((tmp_path / "reports" / "seasonal_executive_summary_2023.json").read_text())
     assert report["diagnostic_totals"] == TOTALS and "## 5." in (tmp_path / "reports" / "seasonal_executive_summary_2023.md").read_text()
