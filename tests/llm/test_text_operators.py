@@ -424,7 +424,9 @@ def test_passages_of_texts_of_many_words(spark):
     shared = words(rng, 70, 10**6)
     rows = [(1, "word " * 1_100_000 + " ".join(shared) + " word" * 50_000), (2, " ".join(words(rng, 100, 10**6) + shared)), (3, "word " * 30_000)]
     got = {(r["doc_id"], r["other_doc_id"], r["start_word"], r["end_word"]) for r in passages.near_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert {(2, 1, 100, 170), (1, 2, 1_100_000, 1_100_070)} <= got and any(d == 3 for d, *_ in got)
+    for doc, other, at in ((2, 1, 100), (1, 2, 1_100_000)):  # a little of what is around may come along
+        assert any(d == doc and o == other and at - 16 <= a <= at and at + 70 <= b <= at + 86 for d, o, a, b in got)
+    assert any(d == 3 for d, *_ in got)
 
 
 def test_stars_of_a_chunk():
