@@ -20,7 +20,7 @@ components take no part, nor do those without a vec_id or of another than the mo
 frequent length (the longer one on a tie); repeated rows of one vec_id count once, and
 of different vectors under one vec_id the better one, which can leave fewer than k; with
 fewer candidates than k, all of them are returned; other columns are ignored; an empty
-table gives no rows.
+table gives no rows; ids are cast to bigint, and a string that is no integer raises an error.
 """
 
 from __future__ import annotations

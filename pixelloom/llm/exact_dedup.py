@@ -12,7 +12,8 @@ dropped and nothing is written to local disk.
 Results for odd input: a null text counts as empty, and all empty texts are one group;
 a null ``doc_id`` loses ties against any other and owns a group only if the group has no
 other id; rows that repeat a doc_id are the same document, all of them kept or none;
-other columns are ignored, whatever their names; an empty table gives no rows.
+other columns are ignored, whatever their names; an empty table gives no rows; ids are cast
+to bigint, and a string that is no integer raises an error.
 """
 
 from __future__ import annotations

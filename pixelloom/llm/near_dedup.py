@@ -24,7 +24,8 @@ sets that are not copies only those pairs leave a task that may be.  No bucket i
 Results for odd input: a null or empty text, or one without words, has an empty set and
 is linked with nothing, not even with its like; a text with fewer words than a shingle is
 one shingle; a null doc_id is linked with nothing and has a null component; repeated rows
-get the same result; other columns are ignored; an empty table gives no rows.
+get the same result; other columns are ignored; an empty table gives no rows.  Ids are cast to
+bigint: a string that is no integer raises an error.
 """
 
 from __future__ import annotations

@@ -30,7 +30,7 @@ def queries() -> dict[str, Query]:
         "op4_byte_bpe": bpe.op4_byte_bpe,
         "op5_toxicity": toxicity.op5_toxicity,
         "op6_url_filter": url_filter.op6_url_filter,
-        "op6_alias_verdicts": url_filter.op6_alias_verdicts,
+        "url_alias_verdicts": url_filter.url_alias_verdicts,
         "op7_near_passages": passages.op7_near_passages,
         "op8_near_dedup": near_dedup.op8_near_dedup,
         "op9_exact_dedup": exact_dedup.op9_exact_dedup,
@@ -42,7 +42,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_url_filter": url_filter.OP6_SQL,
-        "op6_alias_verdicts": url_filter.OP6_ALIAS_SQL,
+        "url_alias_verdicts": url_filter.ALIAS_SQL,
         "op8_near_dedup": near_dedup.OP8_SQL,
         "op9_exact_dedup": exact_dedup.OP9_SQL,
     }

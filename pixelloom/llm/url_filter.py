@@ -181,7 +181,7 @@ def op6_url_filter(spark, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-def op6_alias_verdicts(spark, sf_dir: str) -> DataFrame:
+def url_alias_verdicts(spark, sf_dir: str) -> DataFrame:
     """The same operator where links decide: a page for each row of ``pages``, on 40 hosts.
 
     A page links to the page 40 rows before, in one of eight spellings by its number, or
@@ -214,7 +214,7 @@ def op6_alias_verdicts(spark, sf_dir: str) -> DataFrame:
 FOLDERS = ("en", "es", "en", "fr", "it", "en", "it", "nl", "en", "pt", "de")
 
 #: Aliases by row numbers alone: no link is read from a page's text.
-OP6_ALIAS_SQL = r"""
+ALIAS_SQL = r"""
 WITH RECURSIVE p AS (
   SELECT page_id, ['en', 'es', 'en', 'fr', 'it', 'en', 'it', 'nl', 'en', 'pt', 'de'][page_id % 11 + 1] AS folder
   FROM pages WHERE page_id IS NOT NULL),
