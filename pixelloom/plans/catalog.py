@@ -584,6 +584,27 @@ def _(spark, sf_dir):
     return out.withColumns({c: F.round(c, 6) for c in ("west", "south", "east", "north")})
 
 
+_LARGE = f"""WITH RECURSIVE {D.CASES}, cells AS (SELECT CAST(bin AS INT) AS bin, "row", col FROM cases WHERE diagnostic_case IN (1, 2, 4, 5)), {D.LABELLED_BINS},
+z AS (SELECT bin, comp_id, count(*) AS n, {{}} FROM labels GROUP BY 1, 2 HAVING count(*) * 900 >= 20000)"""
+
+
+@query("zone_markers", _LARGE.format('avg("row") AS cy, avg(col) AS cx') + f""" SELECT bin, comp_id, round(n * 0.09::DOUBLE, 4) AS area_ha, {_NORTH("cy")} AS centroid_lat, {_EAST("cx")} AS centroid_lon, n * 0.09 >= 5 AS marked FROM z""")
+def _(spark, sf_dir):
+    features, _ = zones.scouting_zones(_screened(spark, sf_dir), _X0, _Y0, opened=False)
+    out = reporting.zone_markers(features)
+    return out.select(F.col("bin").cast("int").alias("bin"), F.substring("zone_id", -4, 4).cast("int").alias("comp_id"), "area_ha", "centroid_lat", "centroid_lon", "marked")
+
+
+@query("seasonal_collection", _LARGE.format("min(comp_id) AS c") + """ SELECT bin, comp_id, bin + 1 AS bin_index, n AS pixel_count, 14 AS properties FROM z""")
+def _(spark, sf_dir):
+    """K2: the features' text with one more property than those of a bin's file."""
+    features, _ = zones.scouting_zones(_screened(spark, sf_dir), _X0, _Y0, opened=False)
+    text = reporting.seasonal_collection(features)
+    said = lambda name, kind: F.get_json_object("feature", f"$.properties.{name}").cast(kind)
+    keys = F.size(F.json_object_keys(F.get_json_object("feature", "$.properties")))
+    return text.select(F.col("bin").cast("int").alias("bin"), "comp_id", said("bin_index", "int").alias("bin_index"), said("pixel_count", "bigint").alias("pixel_count"), keys.alias("properties"))
+
+
 # ---- the seasonal run --------------------------------------------------------------------
 
 
@@ -710,3 +731,11 @@ def _(spark, sf_dir):
     lon, lat = 30 + F.col("c_custkey") % 600 / 100, F.col("c_custkey") % 1200 / 100 - 6
     x, y = projection.utm_xy(lon, lat)
     return D.table(spark, sf_dir, "customer").select("c_custkey", F.round(x, 4).alias("x"), F.round(y, 4).alias("y"))
+
+
+@query("time_reversals", """WITH s AS (SELECT CAST(ts AS DATE) AS t, min(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) * 7 % 31) AS ordinal FROM events GROUP BY 1),
+b AS (SELECT t, lag(t) OVER (ORDER BY ordinal) AS before FROM s) SELECT t, before FROM b WHERE t < before""")
+def _(spark, sf_dir):
+    """Days that arrive in another order than theirs."""
+    days = D.table(spark, sf_dir, "events").select(F.to_date("ts").alias("t"))
+    return gridded.time_reversals(days.withColumn("ordinal", F.datediff("t", F.lit("2024-01-01")) * 7 % 31), "ordinal")
