@@ -89,9 +89,9 @@ def _chosen(host: Column, path: Column, rules: Sequence[tuple[str, str, str]], g
 
 
 def _attribute(tag: Column, name: str) -> Column:
-    """The value of a tag's attribute with its character references decoded; empty without one."""
+    """The value of a tag's attribute as it is written; empty without one."""
     pattern = r"(?i)(?<=[\s\"'/])" + name + _VALUE
-    return F.trim(_decoded(F.concat(*(F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)))))
+    return F.concat(*(F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)))
 
 
 def _decoded(text: Column) -> Column:
@@ -134,20 +134,23 @@ def page_links(pages: DataFrame) -> DataFrame:
     Targets may be relative in any way, to the page's address or to its first ``<base>``;
     what stands in comments does not count.
     """
-    html = F.regexp_replace("html", r"(?s)<!--.*?-->", "")
+    # a select for each step: what several expressions of the next one use is computed once
     may = pages.where(F.col("url").isNotNull() & F.col("html").rlike("(?i)canonical|refresh"))
-    tags = may.select(F.col("url").alias("src_url"), F.regexp_extract_all(html, F.lit(_TAGS), F.lit(0)).alias("tags"))
-    bases = F.filter(F.transform(F.filter("tags", lambda t: F.lower(t).startswith("<base")), lambda t: _attribute(t, "href")), lambda t: t != "")
-    first = F.get(bases, F.lit(0))
-    tags = tags.select("src_url", F.coalesce(absolute(first, F.col("src_url")), "src_url").alias("base"), F.explode("tags").alias("tag"))
-    link, meta = F.lower("tag").startswith("<link"), F.lower("tag").startswith("<meta")
-    tag = F.col("tag")
-    canonical = link & _attribute(tag, "rel").rlike(r"(?i)(^|\s)canonical(\s|$)")
-    refresh = meta & (F.lower(_attribute(tag, "http-equiv")) == "refresh")
-    goto = F.regexp_extract(_attribute(tag, "content"), r"(?i)^[0-9.\s]*[;,\s]\s*(?:url\s*=\s*)?[\"']?([^\"']*)", 1)
-    target = F.when(canonical, _attribute(tag, "href")).when(refresh, F.trim(goto))
-    found = tags.select("src_url", absolute(target, F.col("base")).alias("dst_url"))
-    return found.where("dst_url is not null")
+    bare = may.select(F.col("url").alias("src_url"), F.regexp_replace("html", r"(?s)<!--.*?-->", "").alias("html"))
+    tags = bare.select("src_url", F.regexp_extract_all("html", F.lit(_TAGS), F.lit(0)).alias("tags"))
+    hrefs = F.transform(F.filter("tags", lambda t: F.lower(t).startswith("<base")), lambda t: _attribute(t, "href"))
+    based = tags.select("src_url", "tags", F.get(F.filter(hrefs, lambda t: t != ""), F.lit(0)).alias("base"))
+    based = based.select("src_url", "tags", F.trim(_decoded(F.col("base"))).alias("base"))
+    based = based.select("src_url", "tags", F.coalesce(absolute(F.col("base"), F.col("src_url")), "src_url").alias("base"))
+    one = based.select("src_url", "base", F.explode("tags").alias("tag"))
+    names = {"rel": "rel", "href": "href", "equiv": "http-equiv", "content": "content"}
+    raw = one.select("src_url", "base", F.lower(F.substring("tag", 1, 5)).alias("kind"), *(_attribute(F.col("tag"), name).alias(c) for c, name in names.items()))
+    read = raw.select("src_url", "base", "kind", *(F.trim(_decoded(F.col(c))).alias(c) for c in names))
+    canonical = (F.col("kind") == "<link") & F.col("rel").rlike(r"(?i)(^|\s)canonical(\s|$)")
+    refresh = (F.col("kind") == "<meta") & (F.lower("equiv") == "refresh")
+    goto = F.regexp_extract("content", r"(?i)^[0-9.\s]*[;,\s]\s*(?:url\s*=\s*)?[\"']?([^\"']*)", 1)
+    aimed = read.select("src_url", "base", F.when(canonical, F.col("href")).when(refresh, F.trim(goto)).alias("target")).where("target <> ''")
+    return aimed.select("src_url", absolute(F.col("target"), F.col("base")).alias("dst_url")).where("dst_url is not null")
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, redirects: DataFrame | None = None) -> DataFrame:
