@@ -28,14 +28,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pixelloom.llm.sampling import hash_sample
 from pixelloom.llm.tokens import hash_words, release, text_buffers, text_windows, tidied, windows, word_bounds
+from pixelloom.session import free, materialize
 
 SAMPLE = 1_200
-SAMPLE_CHARS = 40_000  # longer documents are not in the training sample
+SAMPLE_CHARS = 200_000  # longer documents are not in the training sample
+SAMPLE_TOTAL = 32_000_000  # characters of the whole sample, at most
 LANDMARKS = 160
 SPAN = 6
 DECAY = 0.6
@@ -316,14 +318,19 @@ def held_out(doc_id) -> F.Column:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
     """A model from the labelled documents that are not held out, at most ``sample`` of each
-    class, and none with more than ``chars`` characters, so what the driver gathers is bounded."""
+    class, none with more than ``chars`` characters and ``SAMPLE_TOTAL`` in all, taken by hash
+    order, so what the driver gathers is bounded."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").select("doc_id", "toxic")
     totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     one, two = (hash_sample(known.where(F.col("toxic") == y), ["doc_id"], sample, totals.get(y, 0)) for y in (1, 0))
     chosen = one.unionByName(two)
     rows = docs.select("doc_id", "text").where(F.length("text") <= chars).join(F.broadcast(chosen), "doc_id")
-    table = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic").toArrow()  # repeated rows count once
+    once = materialize(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "labelled")  # repeated rows count once
+    so_far = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # 2 * sample rows
+    fits = once.select("doc_id", so_far.alias("so_far")).where(F.col("so_far") <= SAMPLE_TOTAL).select("doc_id")
+    table = once.join(F.broadcast(fits), "doc_id", "left_semi").select("text", "toxic").toArrow()
+    free(once)
     seen: dict[str, int] = {}
     for text, toxic in zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True):
         seen.setdefault(text, toxic)  # copies of one text train once
