@@ -31,7 +31,7 @@ def bounded(stage):
 
     @functools.wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        small_batches(spark)
+        small_batches(spark, "4m")
         return stage(spark, docs, sf_dir)
 
     return run
