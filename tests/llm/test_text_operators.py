@@ -407,6 +407,46 @@ def test_recall_of_passages_beside_frequent_lines(spark, held):
     assert len(set(spans) - {d for d, _, _ in planted}) <= 6
 
 
+def test_passages_about_a_frequent_line(spark):
+    """All texts hold a line a little shorter than a passage.  Pairs share 14 more words, one word after the
+    line, and 30 texts share the 12 that follow it: each text has its passage."""
+    rng = np.random.default_rng(8)
+    line, texts, group = words(rng, 40, 10**6), [], {}
+    for g, size in enumerate([2] * 60 + [30] + [1] * 100):
+        after = words(rng, 14 if g < 60 else 12, 10**6)
+        for _ in range(size):
+            group[len(texts)] = g
+            own = words(rng, 1, 10**6) if g < 60 else []
+            texts.append([*words(rng, int(rng.integers(30, 60)), 10**6), *line, *own, *after, *words(rng, int(rng.integers(30, 60)), 10**6)])
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(texts)], "doc_id bigint, text string").repartition(6)
+    linked = {}
+    for r in passages.near_passages(df).collect():
+        a, b = texts[r["doc_id"]][r["start_word"] : r["end_word"]], texts[r["other_doc_id"]][r["other_start"] : r["other_end"]]
+        x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+        assert 100 * len(x & y) >= 80 * len(x | y)
+        linked.setdefault(r["doc_id"], set()).add(group[r["other_doc_id"]])
+    assert [d for d, g in group.items() if g <= 60 and g not in linked.get(d, ())] == []
+
+
+def test_all_pairs_under_small_keys():
+    rng = np.random.default_rng(7)
+    key, doc, flag = np.sort(rng.integers(0, 400, 3000)), rng.integers(0, 30, 3000), rng.random(3000) < 0.4
+    left, right, common = passages.all_pairs(key, doc, flag, 8)
+    sizes = np.bincount(key, minlength=400)
+    assert list(common) == list(np.flatnonzero(sizes > 8))
+    want = {(i, j) for i in range(3000) for j in range(3000) if key[i] == key[j] and sizes[key[i]] <= 8 and doc[i] > doc[j] and (flag[i] or flag[j])}
+    assert len(left) == len(want) and set(zip(left.tolist(), right.tolist(), strict=True)) == want
+    assert all(len(x) == n for x, n in zip(passages.all_pairs(key[:1], doc[:1], flag[:1], 8), (0, 0, 0), strict=True))
+
+
+def test_places_near_nodes():
+    start, end = np.array([5, 7, 30]), np.array([10, 12, 31])
+    at, lo, hi, flag = passages.near_nodes(start, end, np.array([3, 6, 20]), np.array([11, 40, 50]), np.array([True, False, False]))
+    assert list(at) == [*range(5, 12), 30]
+    assert list(lo) == [3, 3, 3, 3, 3, 6, 6, 20] and list(hi) == [11, 11, 40, 40, 40, 40, 40, 50]
+    assert list(flag) == [True] * 5 + [False] * 3
+
+
 def test_places_far_into_a_text(spark):
     rng = np.random.default_rng(2)
     n = np.r_[np.arange(5000), rng.integers(0, 2**31 - 1, 5000), 2**31 - 1]
