@@ -458,6 +458,37 @@ def test_places_far_into_a_text(spark):
         assert (mine >= want).all() and (mine <= want * (1 + 1 / 1024) + 1).all()
 
 
+def test_windows_travel_in_bundles(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 10**6, 600))) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    got = passages.windows_of(df).where(f"kind = {passages._WINDOW}").collect()
+    assert sum(len(r["a"]) for r in got) // 8 > 20_000 and len(got) <= 1 << passages.BUCKETS  # not a row for each window
+    held = list(passages._by_bucket(iter([pa.RecordBatch.from_pylist([r.asDict() for r in sorted(got, key=lambda r: r["bucket"])], passages._BUNDLE_ARROW)]), 100, np.int64, np.int64, np.int64))
+    key, doc, _ = (np.concatenate(x) for x in zip(*held, strict=True))
+    assert set(doc.tolist()) == set(range(200)) and (np.diff((key.view(np.uint64) >> np.uint64(64 - passages.BUCKETS)).astype(int)) >= 0).all()
+
+
+def test_merged_intervals():
+    rng = np.random.default_rng(13)
+    n = 3000
+    doc, other, lo, width, other_lo, function = (rng.integers(0, k, n) for k in (9, 9, 4000, 60, 4000, 5))
+    rows = [doc, other, lo, lo + width + 1, other_lo, other_lo + 50, 1 << function]
+    want = {}
+    for d, o, a, b, c, e, m in sorted(zip(*(x.tolist() for x in rows), strict=True)):
+        runs = want.setdefault((d, o), [])
+        if runs and a < runs[-1][1]:
+            x = runs[-1]
+            runs[-1] = [x[0], max(x[1], b), min(x[2], c), max(x[3], e), x[4] | m]
+        else:
+            runs.append([a, b, c, e, m])
+    want = [(*k, *r) for k, runs in sorted(want.items()) for r in runs]
+    assert [tuple(map(int, r)) for r in zip(*passages.merged(*rows), strict=True)] == want
+    parts = [passages.merged(*(x[k::3] for x in rows)) for k in range(3)]  # as tasks and then all
+    again = passages.merged(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+    assert [tuple(map(int, r)) for r in zip(*again, strict=True)] == want and len(want) < n
+
+
 def test_passages_of_texts_of_many_words(spark):
     small_batches(spark)
     rng = np.random.default_rng(4)
