@@ -128,6 +128,11 @@ def hashed_for(tokens: int) -> int:
     return int(np.clip(1 << (int(round(np.log2(max(tokens, 1)) / 2)) + 2), LEAST_HASHED, MOST_HASHED))
 
 
+def _whole(rows: np.ndarray) -> np.ndarray:
+    """The rows of a contiguous array as one value each, so that they are put in place at once."""
+    return rows.view(np.dtype((np.void, rows.shape[1] * rows.itemsize)))[:, 0]
+
+
 class Softmax:
     """Hashed weights of one factor; ``seen`` are each feature's sums of squares of adaptive steps."""
 
@@ -137,16 +142,19 @@ class Softmax:
     def odds(self, features: np.ndarray, prior: np.ndarray) -> np.ndarray:
         """Unnormalised probabilities, tokens x outcomes."""
         s = np.take(self.weights, features[0], axis=0)
+        more = np.empty_like(s)
         for f in features[1:]:
-            s += np.take(self.weights, f, axis=0)
-        return np.exp(np.clip(s, -40, 40, out=s), out=s) * prior
+            s += np.take(self.weights, f, axis=0, out=more, mode="clip")  # with "raise" it would copy once more
+        np.exp(np.clip(s, -40, 40, out=s), out=s)
+        s *= prior
+        return s
 
     def learn(self, features: np.ndarray, prior: np.ndarray, outcomes: np.ndarray, rate: float) -> None:
         if self.seen is None:
             self.seen = np.full(len(self.weights), SEEN, np.float32)
         n = len(outcomes)
         gap = self.odds(features, prior)
-        gap /= gap @ np.ones((gap.shape[1], 1), np.float32)
+        gap /= gap @ np.ones((gap.shape[1], 1), np.float32)  # faster than a sum over the rows
         gap[np.arange(n), outcomes] -= 1
         # a feature's gradient is the sum of its tokens' rows, which sorting brings together
         flat = features.reshape(-1)
@@ -157,9 +165,14 @@ class Softmax:
         size = np.diff(np.r_[head, len(flat)])
         alone = head[size == 1]
         self._move(flat[alone], np.take(gap, order[alone], axis=0), rate)
-        more = np.repeat(size > 1, size)
+        twice = head[size == 2]
+        if len(twice):
+            both = np.take(gap, order[twice], axis=0)
+            both += np.take(gap, order[twice + 1], axis=0)
+            self._move(flat[twice], both, rate)
+        more = np.repeat(size > 2, size)
         if more.any():
-            flat, order, size = flat[more], order[more], size[size > 1]
+            flat, order, size = flat[more], order[more], size[size > 2]
             head = np.cumsum(size) - size
             self._move(flat[head], np.add.reduceat(np.take(gap, order, axis=0), head, axis=0), rate)
 
@@ -167,7 +180,9 @@ class Softmax:
         seen = self.seen[at] + np.einsum("ij,ij->i", step, step) / step.shape[1]
         self.seen[at] = seen
         step *= (rate / np.sqrt(seen))[:, None]
-        self.weights[at] -= step
+        rows = np.take(self.weights, at, axis=0)
+        rows -= step
+        _whole(self.weights)[at] = _whole(rows)
 
 
 class Model:

@@ -779,6 +779,27 @@ def test_lm_probabilities_sum_to_one():
     assert total + sum(unseen.values()) == pytest.approx(1, abs=1e-5)
 
 
+def test_lm_gradient_step():
+    rng = np.random.default_rng(21)
+    features = np.stack([rng.integers(0, k, 300) for k in (5, 120, 2000)])  # rows met once, twice and often
+    start = rng.normal(0, 0.1, (2000, 8)).astype(np.float32)
+    prior, outcomes = np.full(8, 0.125, np.float32), rng.integers(0, 8, 300)
+    model = lm_score.Softmax(start.copy())
+    model.learn(features, prior, outcomes, 0.1)
+    odds = np.exp(start[features].sum(0).astype(float))
+    gap = odds / odds.sum(1, keepdims=True)
+    gap[np.arange(300), outcomes] -= 1
+    grad = np.zeros(start.shape)
+    for f in features:
+        np.add.at(grad, f, gap)
+    seen = lm_score.SEEN + (grad**2).mean(1)
+    assert np.allclose(model.weights, start - 0.1 * grad / np.sqrt(seen)[:, None], atol=1e-5) and np.allclose(model.seen, seen, rtol=1e-4)
+    assert set(np.unique(np.unique(features, return_counts=True)[1])) >= {1, 2, 3}
+    rows = np.arange(12, dtype=np.float32).reshape(3, 4)
+    lm_score._whole(rows)[np.array([0, 2])] = lm_score._whole(rows[[2, 0]])
+    assert rows[:, 0].tolist() == [8, 4, 0]
+
+
 def test_lm_score_by_definition():
     """Token by token, from the weights and the counts."""
     texts = ["der hund lief der katze nach", "der hund lief", "eine katze lief", "12 katzen"]
