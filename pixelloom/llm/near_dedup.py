@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pixelloom.llm.graph import connected_components
 from pixelloom.llm.sieve import fresh, sieve, sift
 from pixelloom.llm.tokens import Words, mix, text_windows, tidied
-from pixelloom.session import free, materialize
+from pixelloom.session import files_for, free, materialize
 
 TABLES = 16  # hash groups in each of the two collections
 WIDTH = 3  # minhashes in a group
@@ -50,6 +50,7 @@ PERCENT = 80
 SKETCH = 1_024
 DEVIATIONS = 4.5
 BLOCK = 2_048  # sets of one group that a task holds, twice
+FILE_SETS = 1_000  # sets for each file of a table with many rows, or wide ones, for a set
 
 _RNG = np.random.default_rng(77)
 _A = _RNG.integers(1, 2**63, 2 * TABLES * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -170,7 +171,7 @@ def _open(members: DataFrame, parts: DataFrame) -> DataFrame:
     return placed.join(spread.select("key", F.col("leader.id").alias("other"), F.col("leader.component").alias("led")), "key")
 
 
-def _sketched_pairs(ids: DataFrame, own: DataFrame, sets: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+def _sketched_pairs(ids: DataFrame, own: DataFrame, sets: DataFrame, parts: DataFrame, percent: int, files: int) -> DataFrame:
     """Pairs of different components among ``ids`` that share a group of the first collection and may be similar enough."""
     least = least_matches(percent)
 
@@ -181,7 +182,7 @@ def _sketched_pairs(ids: DataFrame, own: DataFrame, sets: DataFrame, parts: Data
 
     drawn = sets.join(ids, "id", "left_semi").select("id", "n", "shingles").mapInArrow(tidied(sketches), "id bigint, n bigint, sketch binary")
     rows = _labelled(drawn, parts).join(own.select("id", F.slice("groups", 1, TABLES).alias("a")), "id")
-    rows = materialize(rows.select("id", "component", "n", "a", "sketch"), "sketches")
+    rows = materialize(rows.select("id", "component", "n", "a", "sketch"), "sketches", files)
     keys = rows.select("id", "component", F.posexplode("a").alias("place", "g"))
     groups = keys.groupBy("g", "place").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
     blocks = F.ceil(F.col("size") / BLOCK)
@@ -220,7 +221,9 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, list
     """The groups, and the written tables that they are read from."""
     marks = materialize(signatures(docs, width), "signatures")
     full = marks.where("digest is not null and doc_id is not null")
-    classes = materialize(full.groupBy("digest").agg(F.min("doc_id").alias("id")), "classes")
+    n = marks.count()
+    few, some = files_for(n), files_for(n, FILE_SETS)
+    classes = materialize(full.groupBy("digest").agg(F.min("doc_id").alias("id")), "classes", few)
     own = full.join(classes.select("id"), full["doc_id"] == classes["id"], "left_semi").select(F.col("doc_id").alias("id"), "groups")
 
     rows = own.select("id", F.explode("groups").alias("g"))
@@ -229,25 +232,25 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, list
     sides = left.groupBy("id").agg(F.collect_set(F.when(F.col("g").bitwiseAND(1) == 0, F.col("g"))).alias("a"), F.collect_set(F.when(F.col("g").bitwiseAND(1) == 1, F.col("g"))).alias("b"))  # TABLES at most
     keys = sides.select("id", F.explode("a").alias("a"), "b").select("id", "a", F.explode("b").alias("b")).select("id", F.xxhash64("a", "b").alias("key"))
     buckets = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi")
-    members = materialize(keys.join(buckets.select("key", "lo", "size"), "key"), "buckets")
+    members = materialize(keys.join(buckets.select("key", "lo", "size"), "key"), "buckets", some)
 
-    wanted = materialize(members.select("id").distinct(), "candidates")
-    sets = materialize(_full_sets(docs, wanted, width), "sets")
+    wanted = materialize(members.select("id").distinct(), "candidates", few)
+    sets = materialize(_full_sets(docs, wanted, width), "sets", some)
     met = members.where("id <> lo").select("id", F.col("lo").alias("other"), "size")
     twos = met.where("size = 2").select(F.col("id").alias("src"), F.col("other").alias("dst"))
-    links = materialize(_confirmed(_closest(met).unionByName(twos).distinct(), sets, percent), "links")
-    parts = connected_components(links)
+    links = materialize(_confirmed(_closest(met).unionByName(twos).distinct(), sets, percent), "links", some)
+    parts = connected_components(links, most=links.count())
     done = [wanted]
     for last in (False, True):
-        still = materialize(_open(members, parts), "open")
+        still = materialize(_open(members, parts), "open", some)
         if still.isEmpty():
             break
-        pairs = _sketched_pairs(still.select("id").distinct(), own, sets, parts, percent) if last else _closest(still.where("component <> led").select("id", "other"))
-        more = materialize(_confirmed(pairs, sets, percent), "links")
+        pairs = _sketched_pairs(still.select("id").distinct(), own, sets, parts, percent, some) if last else _closest(still.where("component <> led").select("id", "other"))
+        more = materialize(_confirmed(pairs, sets, percent), "links", some)
         done += [still, more]
         if not more.isEmpty():
             links = links.unionByName(more)
-            parts = connected_components(links)
+            parts = connected_components(links, most=links.count())
     free(members, sets, *done)
 
     named = _labelled(classes, parts).select(F.col("digest").alias("of"), "component")
@@ -261,7 +264,7 @@ def keep_one(docs: DataFrame, width: int = SHINGLE, percent: int = PERCENT) -> D
     """The rows of ``docs`` that are kept: one document of each group, every column."""
     (out,) = fresh(docs, "out")
     groups, tables = _grouped(docs, width, percent)
-    gone = materialize(groups.where("not kept").select(F.col("doc_id").alias(out)).distinct(), "gone")
+    gone = materialize(groups.where("not kept").select(F.col("doc_id").alias(out)).distinct(), "gone", files_for(tables[0].count()))
     free(*tables)
     maybe, sure = sift(docs, sieve(gone, out), F.col("doc_id").cast("bigint"))
     return sure.unionByName(maybe.join(gone, F.col("doc_id").cast("bigint") == F.col(out), "left_anti"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelloom.session import materialize
+from pixelloom.session import files_for, materialize
 
 WORD_BITS = 18
 
@@ -38,10 +38,10 @@ def _word(mark: Column) -> Column:
 
 
 def sieve(keys: DataFrame, key: str) -> DataFrame:
-    """(word, bits): at most 2**WORD_BITS rows."""
+    """(word, bits): at most 2**WORD_BITS rows.  keys: a written table, since they are counted too."""
     marks = keys.select(F.xxhash64(key).alias("mark"))
     bits = F.expr("bit_or(shiftleft(1L, cast(mark & 63 as int)))")
-    return materialize(marks.groupBy(_word(F.col("mark")).alias("word")).agg(bits.alias("bits")), "sieve")
+    return materialize(marks.groupBy(_word(F.col("mark")).alias("word")).agg(bits.alias("bits")), "sieve", files_for(min(keys.count(), 1 << WORD_BITS)))
 
 
 def sift(rows: DataFrame, words: DataFrame, key: Column) -> tuple[DataFrame, DataFrame]:

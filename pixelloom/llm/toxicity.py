@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from pixelloom.llm.sampling import hash_sample
 from pixelloom.llm.tokens import hash_words, release, text_buffers, text_windows, tidied, windows, word_bounds
-from pixelloom.session import free, materialize
+from pixelloom.session import files_for, free, materialize
 
 SAMPLE = 1_200
 SAMPLE_CHARS = 200_000  # longer documents are not in the training sample
@@ -326,7 +326,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = S
     one, two = (hash_sample(known.where(F.col("toxic") == y), ["doc_id"], sample, totals.get(y, 0)) for y in (1, 0))
     chosen = one.unionByName(two)
     rows = docs.select("doc_id", "text").where(F.length("text") <= chars).join(F.broadcast(chosen), "doc_id")
-    once = materialize(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "labelled")  # repeated rows count once
+    once = materialize(rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "labelled", files_for(2 * sample, 100))  # repeated rows count once
     so_far = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # 2 * sample rows
     fits = once.select("doc_id", so_far.alias("so_far")).where(F.col("so_far") <= SAMPLE_TOTAL).select("doc_id")
     table = once.join(F.broadcast(fits), "doc_id", "left_semi").select("text", "toxic").toArrow()

@@ -13,7 +13,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pixelloom.llm import bpe, exact_dedup, lm_score, near_dedup, packing, passages, secrets, tokens, toxicity
+from pixelloom import session
+from pixelloom.llm import bpe, exact_dedup, graph, lm_score, near_dedup, packing, passages, secrets, sieve, tokens, toxicity
 from pixelloom.session import small_batches
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -295,6 +296,33 @@ def test_near_groups_in_large_buckets(spark):
     assert got == near_truth(rows, 4, 80)
 
 
+def test_small_tables_of_near_groups_have_few_files(spark, monkeypatch):
+    # each file costs its executor two child processes; adaptive execution may be told not to merge partitions
+    base = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join(base[:20] + [f"n{i}"] + base[20:])) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    found = {}
+
+    def counted(df, name, *files):
+        out = session.materialize(df, name, *files)
+        found[name] = max(found.get(name, 0), len(out.inputFiles()))
+        return out
+
+    for module in (near_dedup, graph, sieve):
+        monkeypatch.setattr(module, "materialize", counted)
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "12"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert [r["doc_id"] for r in near_dedup.keep_one(df).collect()] == [0]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {"classes", "candidates", "links", "edges", "gone", "sieve"} <= set(found)
+    assert all(n == 1 for name, n in found.items() if name != "signatures"), found
+
+
 def test_near_groups_in_buckets_of_two(spark):
     """The largest id between two sets that are not alike, some without a bucket of all three."""
     rows = []
